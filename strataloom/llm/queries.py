@@ -64,13 +64,13 @@ def p7_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 _P7 = """
 WITH q AS (SELECT query_id, project_id, list_filter(string_split(lower(coalesce(query_text, '')), ' '), lambda w: w <> '') AS words, embedding FROM search_queries),
 s AS (SELECT id AS symbol_id, project_id, coalesce(fts_vector, '') AS fts, embedding FROM symbols),
-u AS (SELECT *, CASE WHEN len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN list_transform(embedding, lambda x: coalesce(CAST(x AS DOUBLE), 0)) END AS v FROM s),
-w AS (SELECT *, CASE WHEN len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN list_transform(embedding, lambda x: coalesce(CAST(x AS DOUBLE), 0)) END AS qv FROM q),
+u AS (SELECT *, CASE WHEN len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN CAST(embedding AS DOUBLE[]) END AS v FROM s),
+w AS (SELECT *, CASE WHEN len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN CAST(embedding AS DOUBLE[]) END AS qv FROM q),
 words AS (SELECT query_id, project_id, unnest(words) AS word FROM w),
 entries AS (SELECT symbol_id, project_id, unnest(string_split(fts, ' ')) AS entry FROM u),
 hits AS (SELECT x.query_id, e.symbol_id, sum(10 * (length(p) - length(replace(p, 'A', ''))) + 4 * (length(p) - length(replace(p, 'B', ''))) + 2 * (length(p) - length(replace(p, 'C', '')))) AS text
   FROM words x JOIN (SELECT symbol_id, project_id, string_split(entry, ''':')[1] AS t, string_split(entry, ''':')[2] AS p FROM entries WHERE entry <> '') e ON e.project_id = x.project_id AND e.t = '''' || x.word GROUP BY 1, 2),
-pairs AS (SELECT w.query_id, u.symbol_id, coalesce(h.text, 0) AS text, CASE WHEN u.v IS NOT NULL AND w.qv IS NOT NULL THEN list_inner_product(u.v, w.qv) / (sqrt(list_inner_product(u.v, u.v)) * sqrt(list_inner_product(w.qv, w.qv))) END AS vector
+pairs AS (SELECT w.query_id, u.symbol_id, coalesce(h.text, 0) AS text, CASE WHEN u.v IS NOT NULL AND w.qv IS NOT NULL THEN list_sum(list_transform(list_zip(u.v, w.qv), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(u.v, lambda z: z * z))) * sqrt(list_sum(list_transform(w.qv, lambda z: z * z)))) END AS vector
   FROM w JOIN u ON u.project_id = w.project_id LEFT JOIN hits h ON h.query_id = w.query_id AND h.symbol_id = u.symbol_id),
 places AS (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY text DESC NULLS LAST) AS place_text, rank() OVER (PARTITION BY query_id ORDER BY vector DESC NULLS LAST) AS place_vector FROM pairs)
 """
