@@ -8,7 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.catalog import table
-from strataloom.llm import bpe_automaton, cooccurrence, outranking
+from strataloom.llm import bpe_automaton, contamination, cooccurrence, outranking, vector_neighbors
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of which one is among the five most similar of the other, by cosine >= 0.9."""
+    parts = []
+    for kind, name in (("symbol", "symbols"), ("chunk", "chunks")):
+        near = vector_neighbors.nearest_neighbors(table(spark, sf_dir, name), "id", "embedding", 5, 0.9)
+        parts.append(vector_neighbors.neighbor_pairs(near).select(F.lit(kind).alias("kind"), "id_a", "id_b"))
+    return parts[0].unionByName(parts[1])
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,13 +97,27 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least half of an evaluation item's own wording."""
+    return contamination.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per leaked item: in how many documents it stands and the largest share found."""
+    found = contamination.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.round(F.max("share"), 4).alias("largest_share"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p4_found": p4_found,
         "p6_found": p6_found,
         "p6_cochange": p6_cochange,
         "p7_found": p7_found,
         "p7_ranking": p7_ranking,
         "p8_ids": p8_ids,
+        "p9_found": p9_found,
+        "p9_report": p9_report,
     }
 
 
