@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.catalog import table
-from strataloom.llm import bpe_automaton, contamination, cooccurrence, outranking, vector_neighbors
+from strataloom.llm import author_names, bpe_automaton, contamination, cooccurrence, outranking, vector_neighbors
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of authors that are one person, team or bot."""
+    return author_names.author_pairs(author_names.link_authors(table(spark, sf_dir, "commits"), table(spark, sf_dir, "projects")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +115,7 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p2_found": p2_found,
         "p4_found": p4_found,
         "p6_found": p6_found,
         "p6_cochange": p6_cochange,
