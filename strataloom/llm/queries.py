@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.catalog import table
-from strataloom.llm import author_names, bpe_automaton, contamination, cooccurrence, outranking, vector_neighbors
+from strataloom.llm import author_names, bpe_automaton, contamination, cooccurrence, outranking, source_origin, vector_neighbors
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are generated, minified, vendored or data kept as code."""
+    return source_origin.file_origins(table(spark, sf_dir, "files")).select("file_id")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path pairs with pair >= 4 and lift >= 3."""
     pairs = cooccurrence.commit_cooccurrence(table(spark, sf_dir, "commits"), table(spark, sf_dir, "commit_files"), 4, 50)
@@ -117,6 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found,
         "p4_found": p4_found,
+        "p5_found": p5_found,
         "p6_found": p6_found,
         "p6_cochange": p6_cochange,
         "p7_found": p7_found,
