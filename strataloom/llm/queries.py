@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.catalog import table
-from strataloom.llm import author_names, bpe_automaton, contamination, cooccurrence, outranking, source_origin, vector_neighbors
+from strataloom.llm import author_names, bpe_automaton, contamination, cooccurrence, mojibake, outranking, source_origin, vector_neighbors
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +118,16 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.round(F.max("share"), 4).alias("largest_share"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with at least one passage garbled by a wrong decoding."""
+    return mojibake.garbled_documents(table(spark, sf_dir, "documents"))
+
+
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled documents' texts, restored as far as the corpus can tell."""
+    return mojibake.restored_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found,
@@ -130,6 +140,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_ids": p8_ids,
         "p9_found": p9_found,
         "p9_report": p9_report,
+        "p10_found": p10_found,
+        "p10_restored": p10_restored,
     }
 
 
