@@ -8,7 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.catalog import table
-from strataloom.llm import author_names, bpe_automaton, contamination, cooccurrence, mojibake, outranking, source_origin, vector_neighbors
+from strataloom.llm import author_names, bpe_automaton, code_docs, contamination, cooccurrence, mojibake, outranking, source_origin, vector_neighbors
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions and methods whose documentation says something."""
+    return code_docs.pairs_with_documentation(table(spark, sf_dir, "symbols")).select("symbol_id")
+
+
+def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code and description pairs themselves."""
+    return code_docs.pairs_with_documentation(table(spark, sf_dir, "symbols"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,6 +140,8 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_pairs": p1_pairs,
         "p2_found": p2_found,
         "p4_found": p4_found,
         "p5_found": p5_found,
