@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.plans import core_p3
+from strataloom.plans import core_p3, graph_queries, history_queries
 
 FLAGSHIP = "p3_found"
+_MODULES = (graph_queries, history_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": core_p3.p3_found}
+    out = {"p3_found": core_p3.p3_found}
+    for module in _MODULES:
+        out |= module.QUERIES
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": core_p3.P3_SQL}
+    out = {"p3_found": core_p3.P3_SQL}
+    for module in _MODULES:
+        out |= module.SQL
+    return out
