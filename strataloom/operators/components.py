@@ -1,4 +1,4 @@
-"""Connected components of an edge table by minimum labels with pointer jumping."""
+"""Connected components of an edge table by minimum labels."""
 
 from __future__ import annotations
 
@@ -8,26 +8,23 @@ from pyspark.sql import functions as F
 from strataloom.session import cut
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 100) -> DataFrame:
     """(node, component) for every node with an edge; the component is its smallest node.
 
-    Each round takes the smallest label of a node's neighbours (combined map-side, so a
-    hub costs one row per partition), then the label of that label. Every round is written
-    to the shared folder, which keeps the plan short and survives a lost executor. Only the
-    count of changed labels reaches the driver. Null ends are ignored; an empty edge table gives no rows.
+    Each round is one join of the links with the labels and one aggregation that takes the
+    smallest label seen (combined map-side, so a hub costs one row per partition). Every round
+    is written to the shared folder, which keeps the plan short and survives a lost executor;
+    only whether a label changed reaches the driver. The callers' edges are stars, so few rounds
+    do. Null ends are ignored; an empty edge table gives no rows.
     """
-    both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
-    links = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
+    both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    links = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.lit(None).cast(links.schema["a"].dataType).alias("old"), F.least("a", "m").alias("component"))
     for _ in range(rounds):
-        near = links.join(labels, links["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
-        step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
-        jump = step.select(F.col("node").alias("n2"), F.col("component").alias("c2"))
-        labels_next = cut(step.join(jump, step["component"] == jump["n2"], "left").select("node", "old", F.least("component", F.coalesce("c2", "component")).alias("component")))
-        changed = labels_next.filter("old <> component").limit(1).count()
-        labels = labels_next.drop("old")
-        if not changed:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return labels
+        labels = cut(labels)
+        if not labels.filter("old IS NULL OR old <> component").limit(1).count():
+            return labels.select("node", "component")
+        mine = labels.select("node", "component", F.col("component").alias("own"))
+        near = links.join(labels.select(F.col("node").alias("b"), "component"), "b").select(F.col("a").alias("node"), "component", F.lit(None).cast(links.schema["a"].dataType).alias("own"))
+        labels = mine.unionByName(near).groupBy("node").agg(F.max("own").alias("old"), F.min("component").alias("component"))
+    raise RuntimeError("components did not settle")
