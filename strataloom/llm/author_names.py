@@ -210,11 +210,16 @@ def _keys(authors: DataFrame) -> DataFrame:
     return authors.mapInPandas(run, _KEY_SCHEMA)
 
 
-def _star(rows: DataFrame, key: Column) -> DataFrame:
-    """Edges from every author of a key to the key's smallest author."""
-    keyed = rows.select("org_id", "author", key.alias("key")).filter("key IS NOT NULL")
-    head = keyed.groupBy("org_id", "key").agg(F.min("author").alias("head"), F.max("author").alias("last")).filter("head <> last").drop("last")
-    return keyed.join(head, ["org_id", "key"]).filter("author <> head").select("org_id", F.col("author").alias("a"), F.col("head").alias("b"))
+def _stars(keys: DataFrame, shared: DataFrame) -> DataFrame:
+    """Edges from every author of a key to the key's smallest author, over all kinds of keys at once."""
+    tag = lambda letter, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(letter + ":"), F.col(c)))
+    named = F.array_distinct(F.array_compact(F.array(tag("name", "full"), tag("mail", "mail"), tag("account", "account"), tag("name", "spelt"))))
+    held = keys.join(shared.withColumn("is_shared", F.lit(True)), ["org_id", "mail"], "left")
+    # What comes from a shared mailbox is no key; the name is.
+    usable = F.when(F.col("is_shared"), F.array_compact(F.array(tag("name", "full")))).otherwise(named)
+    long = held.select("org_id", "author", F.explode(usable).alias("key"))
+    head = long.groupBy("org_id", "key").agg(F.min("author").alias("head"), F.max("author").alias("last")).filter("head <> last").drop("last")
+    return long.join(head, ["org_id", "key"]).filter("author <> head").select("org_id", F.col("author").alias("a"), F.col("head").alias("b"))
 
 
 def _components(edges: DataFrame) -> DataFrame:
@@ -243,18 +248,15 @@ def link_authors(commits: DataFrame, projects: DataFrame, q: int = 3, jaccard: f
     unlike = F.pandas_udf(_unlike, "boolean")
     ends = keys.filter("mail IS NOT NULL AND full IS NOT NULL").groupBy("org_id", "mail").agg(F.min("full").alias("lo"), F.max("full").alias("hi")).filter("lo <> hi")
     shared = ends.filter(unlike("lo", "hi")).select("org_id", "mail")
-    own = keys.join(shared, ["org_id", "mail"], "left_anti")
-    first = _star(own, F.col("mail")).unionByName(_star(keys, F.col("full"))).unionByName(_star(own, F.col("account")))
-    spelt = own.filter("spelt IS NOT NULL").select("org_id", "author", F.col("spelt").alias("full"))
-    first = first.unionByName(_star(keys.select("org_id", "author", "full").unionByName(spelt), F.col("full")))
+    first = cut(_stars(keys, shared))
     persons = cut(_components(first))
     person = F.coalesce("person", F.concat_ws("\x1f", F.col("org_id").cast("string"), "author"))
     known = cut(keys.join(persons, ["org_id", "author"], "left").withColumn("person", person))
 
-    names = known.filter("given IS NOT NULL").groupBy("org_id", "full", "given", "family").agg(F.min("author").alias("author"), F.min("person").alias("person"), F.max("selfspelt").alias("selfspelt"))
-    later = _typing_links(names, q, jaccard).unionByName(_form_links(known, names))
-    edges = first.unionByName(later)
-    return _components(edges)
+    names = cut(known.filter("given IS NOT NULL").groupBy("org_id", "full", "given", "family").agg(F.min("author").alias("author"), F.min("person").alias("person"), F.max("selfspelt").alias("selfspelt")))
+    typed = cut(_typing_links(names, q, jaccard))
+    formed = cut(_form_links(known, names))
+    return _components(first.unionByName(typed).unionByName(formed))
 
 
 def _typing_links(names: DataFrame, q: int, jaccard: float) -> DataFrame:
