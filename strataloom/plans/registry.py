@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.plans import core_p3, graph_queries, history_queries
+from strataloom.plans import context_queries, core_p3, graph_queries, history_queries, text_queries
 
-FLAGSHIP = "p3_found"
-_MODULES = (graph_queries, history_queries)
+FLAGSHIP = "hybrid_search_rrf"
+_MODULES = (graph_queries, history_queries, text_queries, context_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
