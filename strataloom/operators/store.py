@@ -15,8 +15,17 @@ Rule = Callable[[Column, Column], Column]
 replace: Rule = lambda old, new: new
 keep_old: Rule = lambda old, new: F.coalesce(old, new)
 prefer_new: Rule = lambda old, new: F.coalesce(new, old)
-array_union: Rule = lambda old, new: F.array_sort(F.array_distinct(F.array_compact(F.concat(F.coalesce(old, F.array().cast("array<string>")), F.coalesce(new, F.array().cast("array<string>"))))))
-map_merge: Rule = lambda old, new: F.map_concat(F.coalesce(old, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), F.coalesce(new, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
+
+
+def array_union(old: Column, new: Column) -> Column:
+    """Distinct non-null entries of both; null only if both are."""
+    both = F.concat(F.coalesce(old, F.array().cast("array<string>")), F.coalesce(new, F.array().cast("array<string>")))
+    return F.when(old.isNotNull() | new.isNotNull(), F.array_sort(F.array_distinct(F.array_compact(both))))
+
+
+def map_merge(old: Column, new: Column) -> Column:
+    """Shallow merge, the new entries winning; null only if both are."""
+    return F.when(old.isNull(), new).when(new.isNull(), old).otherwise(F.map_concat(old, new))
 
 
 def merge(old: DataFrame, new: DataFrame, keys: list[str], rules: dict[str, Rule], default: Rule = prefer_new) -> DataFrame:
