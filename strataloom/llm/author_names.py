@@ -106,6 +106,8 @@ def author_keys(name: str, address: str) -> dict:
     account, domain = mailbox(address)
     words = re.findall(r"[a-z]+", fold(account))
     role = bool(words) and (all(w in ROLES for w in words) or group and words[-1] == "team")
+    if role and len(tokens) > 1 and any(w in tokens for w in words):
+        group = True  # a name that goes with the role of its mailbox: a team, however it is spelt
     full = [t for t in tokens if len(t) > 1 and not t.isdigit() and t not in PARTICLES]
     joined = "".join(tokens)
     placeholder = not tokens or all(t in ROLES for t in tokens)
