@@ -2,8 +2,12 @@
 
 Every text is lexed once. Identifiers, numbers and strings are masked, comments
 left out, and the masked tokens give five-token shingles whose MinHash signature
-is banded. Files that share a band are compared with the smallest file of the
-band (a star, not all pairs) and verified on the texts: masked similarity of
+is banded. Families are sought among the files of one project that share a band of
+the masked shingles, copies among all files that share a band of the unmasked ones.
+First every file of a band is compared with the band's smallest file (a star); then
+the pairs that the stars leave open are compared too: those with a file that has no
+family yet, and those of files not yet joined by copies. Pairs whose sizes alone rule
+likeness out are passed over. All are verified on the texts: masked similarity of
 ``MASKED`` or more makes a family; if the unmasked shingles agree as well it is a
 copy.
 
@@ -28,6 +32,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,6 +45,8 @@ from strataloom.session import cut
 
 SHINGLE, MASKED, NAMES = 5, 0.8, 0.5
 BANDS, ROWS = 16, 4
+#: Bands of the unmasked shingles: at a similarity of NAMES a pair shares none of them in 1 of 3,000 cases.
+NAME_BANDS, NAME_ROWS = 60, 3
 TINY = 20
 #: Fewest masked shingles of a family member: short texts are alike by chance.
 FAMILY_SHINGLES = 40
@@ -107,18 +114,18 @@ def shingles(tokens: list[str]) -> np.ndarray:
     return np.unique(out)
 
 
-_SEEDS = np.array([xxhash.xxh64_intdigest(str(i)) | 1 for i in range(BANDS * ROWS)], dtype=np.uint64)
+_SEEDS = np.array([xxhash.xxh64_intdigest(str(i)) | 1 for i in range(max(BANDS * ROWS, NAME_BANDS * NAME_ROWS))], dtype=np.uint64)
 
 
-def band_keys(found: np.ndarray) -> list[int]:
+def band_keys(found: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> list[int]:
     """One key per band of the MinHash signature."""
     with np.errstate(over="ignore"):
-        mixed = found[None, :] * _SEEDS[:, None]
+        mixed = found[None, :] * _SEEDS[: bands * rows, None]
         mixed ^= mixed >> np.uint64(32)
         mixed *= np.uint64(0xD6E8FEB86659FD93)
-        low = mixed.min(axis=1).reshape(BANDS, ROWS)
-        key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for k in range(ROWS):
+        low = mixed.min(axis=1).reshape(bands, rows)
+        key = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for k in range(rows):
             key = (key ^ low[:, k]) * np.uint64(0xC2B2AE3D27D4EB4F)
             key ^= key >> np.uint64(29)
     return key.astype(np.int64).tolist()
@@ -186,12 +193,12 @@ def names_library(text: str, path: str) -> bool:
     return False
 
 
-def own_traits(text: str, path: str) -> tuple[list[str], list[str], int]:
+def own_traits(text: str, path: str) -> tuple[list[str], list[str], list[str]]:
     """(reasons found in the file alone, masked tokens, tokens)."""
     masked, raw, literal, comment = lex(text)
     reasons: list[str] = []
     if len(text) < 200 and len(masked) < TINY:
-        return reasons, masked, len(masked)
+        return reasons, masked, raw
     code = max(1, len(text) - comment)
     names = [t for t, m in zip(raw, masked) if m == "I"]
     short = sum(len(t.lstrip("$")) <= 2 for t in names) / len(names) if names else 0.0
@@ -210,55 +217,98 @@ def own_traits(text: str, path: str) -> tuple[list[str], list[str], int]:
         reasons.append("generated")
     if names_library(text, path):
         reasons.append("vendored")
-    return reasons, masked, len(masked)
+    return reasons, masked, raw
 
 
 def _features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         out = []
         for file, project, path, text, sha in part[["id", "project_id", "path", "content", "sha"]].itertuples(index=False):
-            reasons, masked, size = own_traits(text, path or "")
-            found = shingles(masked) if size >= TINY else np.empty(0, np.uint64)
-            out.append((file, project, sha, size, reasons, band_keys(found) if len(found) else [], len(found)))
-        yield pd.DataFrame(out, columns=["id", "project_id", "sha", "tokens", "reasons", "bands", "distinct"])
+            reasons, masked, raw = own_traits(text, path or "")
+            shape = names = np.empty(0, np.uint64)
+            if len(masked) >= TINY:
+                shape, names = shingles(masked), shingles(raw)
+            bands, name_bands = (band_keys(shape), band_keys(names, NAME_BANDS, NAME_ROWS)) if len(shape) else ([], [])
+            out.append((file, project, sha, len(masked), reasons, bands, name_bands, len(shape), len(names)))
+        yield pd.DataFrame(out, columns=["id", "project_id", "sha", "tokens", "reasons", "bands", "name_bands", "distinct", "names"])
+
+
+@lru_cache(maxsize=2048)
+def _both_shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
+    masked, raw, *_ = lex(text)
+    return shingles(masked), shingles(raw)
 
 
 def _verify(a: pd.Series, b: pd.Series) -> pd.Series:
     """0: unlike, 1: alike when masked, 2: alike in names too."""
     out = []
     for x, y in zip(a, b):
-        mx, rx, *_ = lex(x)
-        my, ry, *_ = lex(y)
-        if similarity(shingles(mx), shingles(my)) < MASKED:
+        mx, rx = _both_shingles(x)
+        my, ry = _both_shingles(y)
+        if similarity(mx, my) < MASKED:
             out.append(0)
         else:
-            out.append(2 if similarity(shingles(rx), shingles(ry)) >= NAMES else 1)
-    return pd.Series(out)
+            out.append(2 if similarity(rx, ry) >= NAMES else 1)
+    return pd.Series(out, dtype="int32")
+
+
+def _copies(links: DataFrame) -> DataFrame:
+    """(id, component) of the files with a copy."""
+    return connected_components(links.filter("alike = 2"), "id", "head").select(F.col("node").alias("id"), "component")
+
+
+def _relatives(links: DataFrame, place: DataFrame) -> DataFrame:
+    """(id) of the members of families: alike, not copies, of one and the same project."""
+    family = links.filter("alike = 1").join(place, "id").join(place.select(F.col("id").alias("head"), F.col("project").alias("other")), "head").filter("project = other")
+    return family.select(F.explode(F.array("id", "head")).alias("id")).distinct()
+
+
+def alike_files(classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, head, alike): links between different texts, such that every family member has one and every copy is joined to its copies."""
+    own = texts.select("id", F.col("content").alias("text"))
+    place = classes.filter(F.col("distinct") >= FAMILY_SHINGLES).filter("lo = hi").select("id", F.col("lo").alias("project"))
+    sizes = classes.select("id", "distinct", "names")
+    shapes = classes.join(place, "id").select("id", "distinct", "names", "project", F.explode("bands").alias("band"))
+    named = classes.select("id", "distinct", "names", F.lit(None).cast("int").alias("project"), F.explode("name_bands").alias("band"))
+    bands = shapes.unionByName(named)
+    group = ["project", "band"]
+    heads = bands.groupBy(group).agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    bands = cut(bands.alias("b").join(heads.alias("h"), F.expr("b.band = h.band AND b.project <=> h.project")).select("b.*", "h.head"))
+    # No two sets of these sizes can be as similar as is asked.
+    fits = F.expr("5 * least(distinct, d2) >= 4 * greatest(distinct, d2) AND (project IS NOT NULL OR 2 * least(names, n2) >= greatest(names, n2))")
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(own, "id").join(own.select(F.col("id").alias("head"), F.col("text").alias("other")), "head")
+        return cut(both.select("id", "head", F.pandas_udf(_verify, "int")("text", "other").alias("alike")))
+
+    head_sizes = sizes.select(F.col("id").alias("head"), F.col("distinct").alias("d2"), F.col("names").alias("n2"))
+    stars = judged(bands.filter("id <> head").join(head_sizes, "head").filter(fits).select("id", "head").distinct())
+
+    copies = _copies(stars)
+    state = sizes.select("id").join(copies, "id", "left").join(_relatives(stars, place).withColumn("placed", F.lit(True)), "id", "left")
+    state = cut(state.select("id", F.coalesce("component", "id").alias("component"), F.coalesce("placed", F.lit(False)).alias("placed")))
+    told = cut(bands.drop("head").join(state, "id"))
+    second = told.select(F.col("id").alias("head"), F.col("band").alias("b2"), F.col("project").alias("p2"), F.col("distinct").alias("d2"), F.col("names").alias("n2"), F.col("component").alias("c2"), F.col("placed").alias("placed2"))
+    open_pairs = F.expr("CASE WHEN project IS NULL THEN component <> c2 ELSE NOT (placed AND placed2) END")
+    rest = told.join(second, F.expr("band = b2 AND project <=> p2 AND head < id")).filter(fits & open_pairs).select("id", "head").distinct()
+    return stars.filter("alike > 0").unionByName(judged(rest.join(stars, ["id", "head"], "left_anti")).filter("alike > 0"))
 
 
 def file_origins(files: DataFrame) -> DataFrame:
     """(file_id, reasons): files that are not hand-written source of their project, with the reasons."""
     texts = files.filter("id IS NOT NULL AND content IS NOT NULL").select("id", F.coalesce("project_id", -F.col("id")).cast("int").alias("project_id"), "path", "content", F.sha2("content", 256).alias("sha")).dropDuplicates(["id"])
-    traits = cut(texts.mapInPandas(_features, "id bigint, project_id int, sha string, tokens int, reasons array<string>, bands array<bigint>, distinct int"))
-    classes = traits.filter(F.col("tokens") >= TINY).groupBy("sha").agg(F.min("id").alias("id"), F.min("project_id").alias("lo"), F.max("project_id").alias("hi"), F.min_by("bands", "id").alias("bands"), F.max("distinct").alias("distinct"))
-    classes = cut(classes)
-    bands = classes.select("id", "distinct", F.explode("bands").alias("band"))
-    heads = bands.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1").select("band", "head")
-    pairs = bands.join(heads, "band").filter("id <> head").select("id", "head").distinct()
-    own = texts.select("id", "content")
-    judged = pairs.join(own, "id").join(own.select(F.col("id").alias("head"), F.col("content").alias("other")), "head").select("id", "head", F.pandas_udf(_verify, "int")("content", "other").alias("alike"))
-    links = cut(judged.filter("alike > 0"))
-
-    span = lambda edges: connected_components(edges.select(F.col("id").alias("src"), F.col("head").alias("dst")))
-    copies = span(links.filter("alike = 2")).select(F.col("node").alias("id"), "component")
-    whole = classes.join(copies, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    schema = "id bigint, project_id int, sha string, tokens int, reasons array<string>, bands array<bigint>, name_bands array<bigint>, distinct int, names int"
+    traits = cut(texts.mapInPandas(_features, schema))
+    same = [F.min_by(c, "id").alias(c) for c in ("bands", "name_bands", "distinct", "names")]
+    classes = cut(traits.filter(F.col("tokens") >= TINY).groupBy("sha").agg(F.min("id").alias("id"), F.min("project_id").alias("lo"), F.max("project_id").alias("hi"), *same))
+    links = alike_files(classes, texts)
+
+    whole = classes.join(_copies(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
     wide = whole.groupBy("component").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).filter("a < b").select("component")
     vendored = whole.join(wide, "component", "left_semi").select("sha", F.lit("vendored").alias("reason"))
 
-    place = classes.select("id", "lo", "hi", "distinct").filter(F.col("distinct") >= FAMILY_SHINGLES)
-    family = links.filter("alike = 1").join(place, "id").join(place.select(F.col("id").alias("head"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2")), "head").filter("lo = lo2 AND hi = hi2 AND lo = hi")
-    members = family.select(F.explode(F.array("id", "head")).alias("id")).distinct()
-    generated = classes.join(members, "id", "left_semi").select("sha", F.lit("generated").alias("reason"))
+    place = classes.filter(F.col("distinct") >= FAMILY_SHINGLES).filter("lo = hi").select("id", F.col("lo").alias("project"))
+    generated = classes.join(_relatives(links, place), "id", "left_semi").select("sha", F.lit("generated").alias("reason"))
 
     more = vendored.unionByName(generated).groupBy("sha").agg(F.collect_set("reason").alias("more"))
     all_reasons = traits.join(more, "sha", "left").select(F.col("id").cast("int").alias("file_id"), F.array_sort(F.array_union("reasons", F.coalesce("more", F.array().cast("array<string>")))).alias("reasons"))

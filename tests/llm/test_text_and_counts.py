@@ -202,6 +202,45 @@ def test_source_origin(spark):
     assert source_origin.file_origins(df.limit(0)).count() == 0
 
 
+def test_source_families_against_brute_force(spark):
+    rnd = random.Random(7)
+    lines = ["if (I > N) { I(I, S); }", "for (const I of I) { I.I(N); }", "const I = await I(S, I);", "while (I < N) { I += N; }", "return I ? I(I) : S;", "try { I(I); } catch (I) { throw I; }", "switch (I) { case S: return I; }", "let I = new I(S);"]
+    word = lambda names: lambda m: {"I": names, "N": ["1", "2", "3"], "S": ["'a'", "'b'"]}[m.group()][rnd.randrange(2 if m.group() == "S" else 3)]
+    texts, shapes = [], [[rnd.choice(lines) for _ in range(24)] for _ in range(4)]
+    for i in range(48):
+        shape = list(rnd.choice(shapes))
+        for _ in range(rnd.randrange(4)):
+            shape[rnd.randrange(24)] = rnd.choice(lines)
+        names = [f"v{i}x{k}" for k in range(3)] if rnd.random() < 0.6 else [f"lib{rnd.randrange(3)}x{k}" for k in range(3)]
+        texts.append((i, 1 + rnd.randrange(4), "\n".join(regex.sub(r"\b[INS]\b", word(names), line) for line in shape)))
+    both = {i: source_origin._both_shingles(t) for i, _, t in texts}
+    project = {i: p for i, p, _ in texts}
+    generated, joined = set(), {i: {i} for i in project}
+    for a, b in itertools.combinations(project, 2):
+        if source_origin.similarity(both[a][0], both[b][0]) >= source_origin.MASKED:
+            if source_origin.similarity(both[a][1], both[b][1]) >= source_origin.NAMES:
+                joined[a] |= joined[b]
+                for i in joined[a]:
+                    joined[i] = joined[a]
+            elif project[a] == project[b] and min(len(both[a][0]), len(both[b][0])) >= source_origin.FAMILY_SHINGLES:
+                generated |= {a, b}
+    vendored = {i for i, group in joined.items() if len({project[k] for k in group}) > 1}
+    df = spark.createDataFrame([(i, p, f"f{i}.js", t) for i, p, t in texts], "id int, project_id int, path string, content string")
+    got = {r.file_id: set(r.reasons) for r in source_origin.file_origins(df).collect()}
+    alone = {i: set(source_origin.own_traits(t, f"f{i}.js")[0]) for i, _, t in texts}
+    want = {i: alone[i] | ({"generated"} if i in generated else set()) | ({"vendored"} if i in vendored else set()) for i in project}
+    assert got == {i: r for i, r in want.items() if r} and len(generated) > 4
+
+
+def test_one_generator_in_several_projects(spark):
+    body = "\n".join(f"{x} function K_{k}(K_a) {{ {y} return K_{k}b(K_a, {k}); }}" for k, (x, y) in enumerate(zip("export|async|static|public|if (K) {} else|const K_z =|new K(1);|throw K;|void 0;|class K {}".split("|"), "K_q += 2;|while (K_a < 1) K_a++;|do K_p(); while (0);|for (const i of K_a) K_c(i);|try { K_d(); } catch (K_e) {}|let K_y = [1, 'a'];|K_f.K_g.K_h();|switch (K_a) { default: }|K_a = !K_a && 1;|if (K_a) K_n(K_a, 'b');".split("|"))))
+    named = lambda x, more="": body.replace("K", x) + more
+    files = [(1, 1, named("ab")), (2, 1, named("cd")), (3, 2, named("ef")), (4, 2, named("gh")), (5, 3, named("ij")), (6, 4, named("kl")), (7, 5, named("kl", "\nkl(3);"))]
+    df = spark.createDataFrame([(i, p, f"f{i}.js", t) for i, p, t in files], "id int, project_id int, path string, content string")
+    got = {r.file_id: r.reasons for r in source_origin.file_origins(df).collect()}
+    assert got == {1: ["generated"], 2: ["generated"], 3: ["generated"], 4: ["generated"], 6: ["vendored"], 7: ["vendored"]}
+
+
 def test_minhash_keeps_similar_sets_together():
     rnd = random.Random(1)
     import numpy as np
