@@ -119,6 +119,25 @@ def test_restored(spark):
     assert got[1000] == "The café is naïve." and got[1002] == "A résumé é" and got[1004] == "Граф вызовов читает каждый" and got[1010] == "La función añade"
 
 
+def test_lost_bytes_are_wildcards(spark):
+    said = ["Граф вызовов читает", "規則は静かに", "Проверка удаляет", "La función añade"]
+    once = lambda text, at, real, read: (lambda t: t[:at] + "\ufffd" + t[at + 1 :])(wrong(text, real, read))
+    garbled = [
+        wrong(said[2], "utf-8", "cp1252", "replace"), once(said[0], 1, "koi8_r", "cp1251"), once(said[0], 7, "utf-8", "mac_roman"), said[2].replace("в", "\ufffd"), once(said[2], 0, "cp1251", "koi8_r"), wrong(said[3], "latin-1", "utf-8", "replace"),
+    ]
+    want = [said[2], said[0], said[0], said[2], said[2], said[3]]
+    docs = [(i, t) for i, t in enumerate(said * 4)] + [(1000 + i, t) for i, t in enumerate(garbled)]
+    assert all("\ufffd" in t for t in garbled)
+    got = {r.doc_id: r.restored for r in mojibake.restored_documents(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert [got[1000 + i] for i in range(len(garbled))] == want
+
+
+def test_lattice_readings(spark):
+    known = spark.createDataFrame([("граф", 5), ("гриф", 2), ("графа", 9), ("café", 3)], "word string, n bigint")
+    ask = lambda *t: {(r.token, r.reading) for r in mojibake.lattice_readings(spark.createDataFrame([(x,) for x in t], "token string"), known).collect()}
+    assert ask("гр\ufffdф", "caf\ufffd\ufffd", "\ufffd", "\ufffdр\ufffdфа", "ж\ufffdж") == {("гр\ufffdф", "граф"), ("caf\ufffd\ufffd", "café"), ("\ufffdр\ufffdфа", "графа")}
+
+
 def test_viterbi_prefers_one_channel():
     lattice = [[("a", "x1", -1.0), ("b", "y1", -1.1)], [("a", "x2", -3.0), ("b", "y2", -1.0)], [("a", "x3", -1.0), ("b", "y3", -1.2)]]
     assert mojibake.viterbi(lattice) == ["y1", "y2", "y3"] and mojibake.viterbi([]) == []
