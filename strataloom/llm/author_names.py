@@ -25,6 +25,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -232,11 +233,13 @@ def _components(edges: DataFrame) -> DataFrame:
     return found.select(F.substring("node", F.lit(1), cut_at - 1).cast("int").alias("org_id"), F.substring("node", cut_at + 1, F.length("node")).alias("author"), F.col("component").alias("person"))
 
 
-def _unlike(a: pd.Series, b: pd.Series) -> pd.Series:
-    def unlike(x: str, y: str) -> bool:
-        return not any(t == u or (min(len(t), len(u)) > 3 and typing_distance(t, u) <= 2) or t in u or u in t for t in x.split() for u in y.split())
+def unlike_names(x: str, y: str) -> bool:
+    return not any(t == u or (min(len(t), len(u)) > 3 and typing_distance(t, u) <= 2) or t in u or u in t for t in x.split() for u in y.split())
 
-    return pd.Series([unlike(x, y) for x, y in zip(a, b)])
+
+def _any_unlike(names: pd.Series) -> pd.Series:
+    """Whether two of the names are unlike; mailboxes of many people mostly tell at the first pairs."""
+    return pd.Series([any(unlike_names(x, y) for x, y in combinations(held, 2)) for held in names], dtype=bool)
 
 
 def link_authors(commits: DataFrame, projects: DataFrame, q: int = 3, jaccard: float = 0.4) -> DataFrame:
@@ -246,10 +249,10 @@ def link_authors(commits: DataFrame, projects: DataFrame, q: int = 3, jaccard: f
     authors = authors.groupBy("org_id", F.concat("name", F.lit(" <"), "email", F.lit(">")).alias("author")).agg(F.min(F.struct("name", "email")).alias("x")).select("org_id", "author", "x.name", "x.email")
     keys = cut(_keys(authors))
 
-    # Mailboxes under which unlike names write are shared: the two ends of the sorted names tell.
-    unlike = F.pandas_udf(_unlike, "boolean")
-    ends = keys.filter("mail IS NOT NULL AND full IS NOT NULL").groupBy("org_id", "mail").agg(F.min("full").alias("lo"), F.max("full").alias("hi")).filter("lo <> hi")
-    shared = ends.filter(unlike("lo", "hi")).select("org_id", "mail")
+    # Mailboxes under which unlike names write are shared; every two of a mailbox's names are held against each other.
+    unlike = F.pandas_udf(_any_unlike, "boolean")
+    held = keys.filter("mail IS NOT NULL AND full IS NOT NULL").groupBy("org_id", "mail").agg(F.sort_array(F.collect_set("full")).alias("names")).filter("size(names) > 1")
+    shared = held.filter(unlike("names")).select("org_id", "mail")
     first = cut(_stars(keys, shared))
     persons = cut(_components(first))
     person = F.coalesce("person", F.concat_ws("\x1f", F.col("org_id").cast("string"), "author"))

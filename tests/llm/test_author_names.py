@@ -40,6 +40,14 @@ def test_empty(tables):
     assert rows(an.author_pairs(an.link_authors(commits.filter("author_name = 'dev'"), projects))) == []
 
 
+def test_mailbox_of_several_people_with_alike_ends(spark):
+    people = [("Alex Miller", "am@x.example"), ("John Smith", "js@x.example"), ("Tom Miller", "tm@x.example")]
+    commits = spark.createDataFrame([(1, n, e) for n, own in people for e in (own, "crew9@firm.example")], "project_id int, author_name string, author_email string")
+    projects = spark.createDataFrame([(1, 7)], "id int, org_id int")
+    got = {(r.author_a.split(" <")[0], r.author_b.split(" <")[0]) for r in an.author_pairs(an.link_authors(commits, projects)).collect()}
+    assert got == {(n, n) for n, _ in people}
+
+
 def test_keys():
     assert an.mailbox(" Ann+git@Firm.Exmaple. ") == ("ann", "firm.example")
     assert an.mailbox("12+ann@users.noreply.forge.example")[0] == "ann"
