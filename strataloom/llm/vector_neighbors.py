@@ -41,6 +41,8 @@ BLOCK_ROWS = 4_096
 SUB, CENTRES = 32, 16
 #: What the approximate score may lie below the exact one and still be reranked.
 SLACK = 0.22
+#: Candidate pairs of a block after which only the best of each query and of each row are kept.
+PRUNE_PAIRS = 2_000_000
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -154,8 +156,10 @@ def block_pairs(ids: np.ndarray, x: np.ndarray, is_row: np.ndarray, books: np.nd
             left.append(ids[q[ok]])
             right.append(ids[r[ok]])
             sims.append(exact[ok])
-        if sum(map(len, left)) > 2_000_000:
-            left, right, sims = ([v] for v in _best(np.concatenate(left), np.concatenate(right), np.concatenate(sims), keep))
+        if sum(map(len, left)) > PRUNE_PAIRS:
+            a, b, s = map(np.concatenate, (left, right, sims))
+            best = np.union1d(_best_at(a, b, s, keep), _best_at(b, a, s, keep))
+            left, right, sims = [a[best]], [b[best]], [s[best]]
     if not left:
         return none
     a, b, s = map(np.concatenate, (left, right, sims))
@@ -163,12 +167,18 @@ def block_pairs(ids: np.ndarray, x: np.ndarray, is_row: np.ndarray, books: np.nd
     return tuple(np.concatenate(v) for v in zip(one, two))
 
 
-def _best(a: np.ndarray, b: np.ndarray, s: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _best_at(a: np.ndarray, b: np.ndarray, s: np.ndarray, keep: int) -> np.ndarray:
+    """Places of the ``keep`` best of each ``a``."""
     order = np.lexsort((b, -s, a))
-    a, b, s = a[order], b[order], s[order]
+    a = a[order]
     first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.empty(0, int)
     place = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)]))
-    return a[place < keep], b[place < keep], s[place < keep]
+    return order[place < keep]
+
+
+def _best(a: np.ndarray, b: np.ndarray, s: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at = _best_at(a, b, s, keep)
+    return a[at], b[at], s[at]
 
 
 def _fit(vectors: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:

@@ -74,3 +74,16 @@ def test_anisotropic_codes_err_less_along_the_vector():
     assert along[vn.parallel_weight(64)] < along[1.0]
     scores = vn.scan_tables(x[:5].astype(np.float32), vn.encode_codes(x, books, 2.6), books)
     assert np.abs(scores - (x[:5] @ x.T)).mean() < 0.06
+
+
+def test_pruning_a_dense_block_loses_nothing():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=64) + rng.normal(size=(2400, 64)) * 0.15
+    unit, ids, is_row = vn._unit(x), np.arange(2400), np.arange(2400) < 1000
+    got = set(zip(*(v.tolist() for v in vn.block_pairs(ids, x, is_row, vn.anisotropic_codebooks(unit[:500]), 0.9, 5)[:2])))
+    sims = np.stack([np.round((unit * unit[r]).sum(1), 6) for r in range(1000)], axis=1)  # (queries, rows)
+    sims[np.arange(1000), np.arange(1000)] = -1
+    assert (sims >= 0.9).sum() > 2_000_000
+    by_query = {(q, r) for q in range(2400) for r in np.lexsort((np.arange(1000), -sims[q]))[:5].tolist()}
+    by_row = {(r, q) for r in range(1000) for q in np.lexsort((np.arange(2400), -sims[:, r]))[:5].tolist()}
+    assert got == by_query | by_row
