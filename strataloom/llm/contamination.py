@@ -24,6 +24,7 @@ are reported each; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -33,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataloom.session import cut
+
 WINDOW = 5
 ITEM_BLOCK = 20_000
 #: Edits bridged between two runs, in words of the item.
@@ -88,7 +91,8 @@ def canonical_ids(raw: list[str], ids: _Ids) -> np.ndarray:
 class ItemWindows:
     """The own wording of a block of items, ready for look-up."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], stock: dict[int, set[str]] | None = None):
+        """``stock``: the keys of each item's sentences that are not its own, if ``items`` are not all there are."""
         texts = {}
         for item, text in items:
             if text and text.strip():
@@ -100,7 +104,7 @@ class ItemWindows:
         copies = {item: len(group) for group in alike.values() for item in group}
         self.words: dict[int, tuple[list[str], list[str]]] = {}
         for item, sentences in texts.items():
-            own = [(c, r) for c, r in sentences if seen[tuple(c)] <= copies[item]]
+            own = [(c, r) for c, r in sentences if (seen[tuple(c)] <= copies[item] if stock is None else sentence_key(c) not in stock[item])]
             canon, raw = sum((c for c, _ in own), []), sum((r for _, r in own), [])
             if canon:
                 self.words[item] = canon, raw
@@ -118,6 +122,30 @@ class ItemWindows:
         self.short = sorted({len(c) for c, _ in self.words.values() if len(c) < WINDOW})
 
 
+def sentence_key(canon: list[str]) -> str:
+    return hashlib.sha256(" ".join(canon).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _item_sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if text.strip():
+                keys = [sentence_key(canonical_words(s)[0]) for s in _SENTENCE.split(text)]
+                whole = hashlib.sha256(" ".join(keys).encode()).hexdigest()
+                rows += [(item, whole, key) for key in set(keys)]
+        item, whole, key = zip(*rows) if rows else ((),) * 3
+        yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(whole, pa.string()), pa.array(key, pa.string())], names=["item_id", "whole", "key"])
+
+
+def stock_sentences(items: DataFrame) -> DataFrame:
+    """(item_id, stock): the keys of an item's sentences that more items hold than there are of its equals."""
+    held = cut(items.select("item_id", "text").mapInArrow(_item_sentences, "item_id bigint, whole string, key string"))
+    seen = held.groupBy("key").agg(F.count("*").alias("seen")).filter("seen > 1")
+    copies = held.select("item_id", "whole").distinct().groupBy("whole").agg(F.count("*").alias("copies"))
+    return held.join(seen, "key").join(copies, "whole").filter("seen > copies").groupBy("item_id").agg(F.collect_set("key").alias("stock"))
+
+
 def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
     """One 64-bit hash per window; windows with an unknown word (id 0) get 0."""
     n = len(ids) - size + 1
@@ -224,10 +252,16 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     source = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     stated = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
     blocks = max(1, -(-stated.count() // ITEM_BLOCK))
+    if blocks > 1:
+        # Shared sentences are counted over all items, before the blocks are cut.
+        stated = stated.groupBy("item_id").agg(F.max("text").alias("text"))
+        stated = cut(stated.join(stock_sentences(stated), "item_id", "left"))
     out = None
     for block in range(blocks):
         own = stated.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else stated
-        shared = spark.sparkContext.broadcast(ItemWindows([(r.item_id, r.text) for r in own.orderBy("item_id").collect()]))
+        held = own.orderBy("item_id").collect()
+        stock = {r.item_id: set(r.stock or ()) for r in held} if blocks > 1 else None
+        shared = spark.sparkContext.broadcast(ItemWindows([(r.item_id, r.text) for r in held], stock))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             windows = shared.value

@@ -83,6 +83,15 @@ def test_leaks_in_blocks_of_items(spark, monkeypatch):
     assert leaks(spark, [(1, ITEM), (2, OTHER)]) == [(1, 1), (2, 2)]
 
 
+def test_stock_sentences_are_told_over_all_blocks(spark, monkeypatch):
+    stock = "Answer each question from the notes that were given and from nothing else at all."
+    items = [(i, f"{stock} Own words {w}.") for i, w in enumerate(("flint", "yoke", "plume"))]
+    docs = [(1, stock), (2, items[1][1])]
+    whole = leaks(spark, docs, items)
+    monkeypatch.setattr(con, "ITEM_BLOCK", 1)
+    assert leaks(spark, docs, items) == whole == [(2, 1)]
+
+
 def test_slots_must_be_filled_alike():
     item = "take 3 apples from 3 boxes and put 3 pears into bags"
     w = con.ItemWindows([(1, item)])
