@@ -31,6 +31,7 @@ whole texts are read; other columns are not read; empty input gives no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -147,7 +148,23 @@ def period_share(text: str) -> tuple[float, int]:
     if n < 8:
         return 0.0, n
     a = np.array(shapes)
-    return max(float((a[p:] == a[:-p]).mean()) for p in range(1, min(12, n // 3) + 1)), n
+    return max(float((a[p:] == a[:-p]).mean()) for p in _periods(shapes)), n
+
+
+def _periods(shapes: list[int]) -> list[int]:
+    """Periods to try: up to 12 lines, and the most frequent distances between equal runs of one, two, four or eight lines."""
+    most = len(shapes) // 3
+    found = set(range(1, min(12, most) + 1))
+    for run in (1, 2, 4, 8):
+        last: dict[tuple[int, ...], int] = {}
+        apart: Counter = Counter()
+        for i in range(len(shapes) - run + 1):
+            key = tuple(shapes[i : i + run])
+            if key in last:
+                apart[i - last[key]] += 1
+            last[key] = i
+        found |= {p for p, _ in apart.most_common(8) if p <= most}
+    return sorted(found)
 
 
 def has_banner(text: str) -> bool:
@@ -171,13 +188,23 @@ def has_banner(text: str) -> bool:
 _VERSION = re.compile(r"\bv?\d+\.\d+(?:\.\d+)?\b|licen[cs]e|\(c\)|copyright|__title__|factory\(\)|namespace |package |@module|homepage", re.I)
 
 
+_HEAD_COMMENTS = re.compile(r"(?:\s+|<\?php|/\*.*?(?:\*/|\Z)|//[^\n]*|#[^\n]*|--[^\n]*|<!--.*?(?:-->|\Z)|\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z))", re.S)
+
+
+def _head_end(text: str) -> int:
+    """Where the comments at the head of the file end."""
+    at = 1 if text.startswith("\ufeff") else 0
+    while m := _HEAD_COMMENTS.match(text, at):
+        at = m.end()
+    return at
+
+
 def names_library(text: str, path: str) -> bool:
     """Whether the head names the library that the path is called after, as a library's head does."""
     parts = re.split(r"[/\\]", path.lower())
     stem = parts[-1].split(".")[0] if parts else ""
     names = {re.sub(r"[-_.]?v?\d+(?:\.\d+)+.*$", "", x) for x in (re.sub(r"\.(min\.)?\w+$", "", parts[-1]), stem, *parts[-3:-1])}
-    head = text[:1200]
-    low = head.lower()
+    low = text[: _head_end(text) + 1200].lower()
     for name in names:
         if len(name) < 5 or name not in low:
             continue

@@ -260,6 +260,16 @@ def test_source_families_against_brute_force(spark):
     assert got == {i: r for i, r in want.items() if r} and len(generated) > 4
 
 
+def test_long_periods_and_library_heads_behind_a_licence():
+    rnd = random.Random(3)
+    block = [" ".join(rnd.choice(["if", "x", "(", ")", "=", "3", "+", "'s'", ";", "return", "{", "}"]) for _ in range(9)) for _ in range(17)]
+    assert source_origin.period_share("\n".join(block * 4))[0] == 1.0
+    assert source_origin.period_share("\n".join(b + " ." * k for k, b in enumerate(block * 4)))[0] < 0.5
+    licence = "/*\n" + "".join(f" * Clause {k}: copies keep this notice and every word of it.\n" for k in range(60)) + " */\n"
+    assert source_origin.names_library(licence + "// zipkit9 v1.2.3\n" + ZIP, "vendor/zipkit9.js")
+    assert not source_origin.names_library(licence + ZIP, "vendor/zipkit9.js")
+
+
 def test_one_generator_in_several_projects(spark):
     body = "\n".join(f"{x} function K_{k}(K_a) {{ {y} return K_{k}b(K_a, {k}); }}" for k, (x, y) in enumerate(zip("export|async|static|public|if (K) {} else|const K_z =|new K(1);|throw K;|void 0;|class K {}".split("|"), "K_q += 2;|while (K_a < 1) K_a++;|do K_p(); while (0);|for (const i of K_a) K_c(i);|try { K_d(); } catch (K_e) {}|let K_y = [1, 'a'];|K_f.K_g.K_h();|switch (K_a) { default: }|K_a = !K_a && 1;|if (K_a) K_n(K_a, 'b');".split("|"))))
     named = lambda x, more="": body.replace("K", x) + more
