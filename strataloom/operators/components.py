@@ -1,30 +1,37 @@
-"""Connected components of an edge table by minimum labels."""
+"""Connected components of an edge table by hooking and pointer jumping."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.session import cut
+from strataloom.session import cut, release
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node with an edge; the component is its smallest node.
 
-    Each round is one join of the links with the labels and one aggregation that takes the
-    smallest label seen (combined map-side, so a hub costs one row per partition). Every round
-    is written to the shared folder, which keeps the plan short and survives a lost executor;
-    only whether a label changed reaches the driver. The callers' edges are stars, so few rounds
-    do. Null ends are ignored; an empty edge table gives no rows.
+    Every node points to a smaller node of its component (at first itself). A round looks up the
+    pointer of each pointer, takes the smallest one among a node's neighbours, hooks the node and the
+    node it points to under it and jumps over one step. Trees get flat by doubling, so even a long chain
+    takes a number of rounds about the logarithm of its length, and there is no limit on rounds: pointers
+    only fall, so the last round is reached. Each round is three joins by node and two aggregations
+    (combined map-side, so a hub costs one row per partition). Its table is written to the shared folder,
+    which keeps the plan short and survives a lost executor, and the table before it is deleted; only
+    whether a pointer changed reaches the driver. Null ends and loops are ignored; an empty edge table
+    gives no rows.
     """
     both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     links = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.lit(None).cast(links.schema["a"].dataType).alias("old"), F.least("a", "m").alias("component"))
-    for _ in range(rounds):
-        labels = cut(labels)
-        if not labels.filter("old IS NULL OR old <> component").limit(1).count():
-            return labels.select("node", "component")
-        mine = labels.select("node", "component", F.col("component").alias("own"))
-        near = links.join(labels.select(F.col("node").alias("b"), "component"), "b").select(F.col("a").alias("node"), "component", F.lit(None).cast(links.schema["a"].dataType).alias("own"))
-        labels = mine.unionByName(near).groupBy("node").agg(F.max("own").alias("old"), F.min("component").alias("component"))
-    raise RuntimeError("components did not settle")
+    labels = cut(links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up"), F.lit(True).alias("moved")))
+    while labels.filter("moved").limit(1).count():
+        above = labels.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        jumped = labels.select("node", "up").join(above, "up")
+        near = links.join(jumped.select(F.col("node").alias("b"), "top"), "b").groupBy(F.col("a").alias("node")).agg(F.min("top").alias("least"))
+        seen = jumped.join(near, "node")
+        mine = seen.select("node", F.col("up").alias("old"), F.least("top", "least").alias("new"))
+        hooked = seen.select(F.col("up").alias("node"), F.lit(None).cast(links.schema["a"].dataType).alias("old"), F.col("least").alias("new"))
+        after = mine.unionByName(hooked).groupBy("node").agg(F.max("old").alias("old"), F.min("new").alias("up"))
+        before, labels = labels, cut(after.select("node", "up", (F.col("up") < F.col("old")).alias("moved")))
+        release(before)
+    return labels.select("node", F.col("up").alias("component"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -50,9 +51,45 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
     Unlike a cache it survives the loss of any executor, and unlike a local
-    checkpoint it has no single copy on one executor.
+    checkpoint it has no single copy on one executor. All tables of an application
+    lie in one folder, which goes when the driver ends (``clear_cuts`` earlier).
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{_cut_folder(spark)}/{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
+
+
+_folders: set[str] = set()
+
+
+def _cut_folder(spark: SparkSession) -> str:
+    folder = f"{shared_dir(spark)}/cut-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_delete_quietly, spark, folder)
+    return folder
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _delete_quietly(spark: SparkSession, path: str) -> None:
+    try:
+        _delete(spark, path)
+    except Exception:  # the session is gone; the folder is the operator's to remove
+        return
+
+
+def release(table: DataFrame) -> None:
+    """Delete the table behind a result of ``cut`` that no later plan reads."""
+    _delete(table.sparkSession, table._cut_path)
+
+
+def clear_cuts(spark: SparkSession) -> None:
+    """Delete every table that ``cut`` wrote in this application."""
+    _delete(spark, _cut_folder(spark))

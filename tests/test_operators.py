@@ -1,12 +1,14 @@
 """Core operators on small fixtures."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from strataloom.operators import compose, derive, graph, history, identity, incremental, knowledge, search, store
 from strataloom.operators.components import connected_components
+from strataloom.session import clear_cuts, cut, release
 from tests.conftest import rows
 
 T = lambda d, h=0: dt.datetime(2024, 1, d, h)
@@ -22,8 +24,21 @@ def test_components(spark):
 
 
 def test_components_of_a_long_chain(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(25)], "src bigint, dst bigint")
-    assert {r.component for r in connected_components(edges).collect()} == {0}
+    order = list(range(400))
+    random.Random(5).shuffle(order)
+    edges = spark.createDataFrame([(order[i], order[i + 1]) for i in range(399)] + [(1000 + i, 1001 + i) for i in range(150)], "src bigint, dst bigint")
+    assert {(r.component, r.n) for r in connected_components(edges).groupBy("component").agg(F.count("*").alias("n")).collect()} == {(0, 400), (1000, 151)}
+
+
+def test_cut_tables_are_deleted_when_told(spark):
+    a, b = cut(spark.range(3)), cut(spark.range(4))
+    release(a)
+    assert b.count() == 4
+    with pytest.raises(Exception):
+        spark.read.parquet(a._cut_path).count()
+    clear_cuts(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(b._cut_path).count()
 
 
 def brute_increment(runs, scans, files):
