@@ -1,39 +1,42 @@
 """Generated, minified, vendored source files and data kept as code.
 
-Every text is lexed once. Identifiers, numbers and strings are masked, comments
-left out, and the masked tokens give five-token shingles whose MinHash signature
-is banded. Families are sought among the files of one project that share a band of
-the masked shingles, copies among all files that share a band of the unmasked ones.
-First every file of a band is compared with the band's smallest file (a star); then
-the pairs that the stars leave open are compared too: those with a file that has no
-family yet, and those of files not yet joined by copies. Pairs whose sizes alone rule
-likeness out are passed over. All are verified on the texts: masked similarity of
-``MASKED`` or more makes a family; if the unmasked shingles agree as well it is a
-copy.
-
-* copies that reach across projects are vendored (patched copies too);
-* families inside one project whose members differ in names are generated;
-* texts that repeat one masked shape line after line are generated: a family of
-  blocks within one file;
-* texts that consist of literals are data kept as code;
-* short names in dense text are minified or packed code;
-* a tool's banner at the head of the file (in a comment of its own, not quoted by
-  code and not about the past) marks it as generated, and a head that names the
-  file's own library with version or licence marks it as vendored.
+Every text is lexed once. Identifiers, numbers (with their sign) and strings are
+masked, comments left out, and the tokens give five-token shingles, numbered by
+occurrence so that a text of many common statements is not alike to every other.
+The MinHash signature of the masked shingles is banded inside each project, that of
+the unmasked ones over all projects. Pairs that share a band are verified on the
+stored shingles: first every file with the smallest file of its band (a star), then
+the pairs that the stars leave open. Pairs whose sizes alone rule likeness out are
+passed over; a big band is split by salt.
+
+What the clusters say:
+
+* a family inside one project (masked similarity of ``MASKED`` or more) is generated;
+* texts alike in names too (``NAMES`` or more), or equal, in several projects are vendored
+  (patched copies too);
+* texts whose shingles hold literals and punctuation only are one cluster, the data kept as code;
+* blocks of one file that repeat one masked shape are a family within the file: generated.
+
+What one file says by itself, where clusters can say nothing (a tool's output may look
+like hand-written code and stand alone):
+
+* a tool's signature in a comment of its own (not quoted by code, not about the past, not
+  the description of a declaration), wherever it stands, marks the file as generated;
+* so does a name that build tools reserve for their output (``REGISTERED``);
+* short names in dense text are minified code.
 
 Equal texts are one class from the start, so a hot text costs one row per file.
 
-Defined results: null, empty and tiny texts (fewer than ``TINY`` tokens) are no
-case; a null project counts as a project of its own; repeated rows are one file;
-whole texts are read; other columns are not read; empty input gives no rows.
+Defined results: null, empty and tiny texts (stubs of fewer than ``TINY`` tokens) are in
+no cluster; a null project counts as a project of its own; a null path names nothing;
+repeated rows are one file; whole texts are read; other columns are not read; empty input
+gives no rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -45,12 +48,19 @@ from strataloom.operators.components import connected_components
 from strataloom.session import cut
 
 SHINGLE, MASKED, NAMES = 5, 0.8, 0.5
-BANDS, ROWS = 16, 4
-#: Bands of the unmasked shingles: at a similarity of NAMES a pair shares none of them in 1 of 3,000 cases.
-NAME_BANDS, NAME_ROWS = 60, 3
+#: A pair of similarity 0.8 shares no masked band in 1 of 1,900 cases, one of 0.5 no unmasked band in 1 of 200.
+BANDS, ROWS = 32, 7
+NAME_BANDS, NAME_ROWS = 40, 3
+#: Shorter texts are stubs, alike by nature.
 TINY = 20
-#: Fewest masked shingles of a family member: short texts are alike by chance.
-FAMILY_SHINGLES = 40
+#: A window spans several statements; a file most of whose windows come again is a family of blocks.
+WINDOW, REPEATED = 20, 0.5
+#: Share of shingles without a name, or of characters inside literals, from which a text is nothing but literals.
+LITERAL_SHINGLES, LITERAL_CHARS = 0.85, 0.9
+#: Rows of a band that one task compares with the whole band.
+SALT_ROWS = 1000
+#: Characters of literals from which even a text of few tokens is no stub.
+STUB = 200
 
 #: Words that keep their own shape when identifiers are masked.
 KEYWORDS = frozenset(
@@ -76,6 +86,10 @@ _PAST = re.compile(r"\bused to be\b|\bno longer\b|\bby hand since\b|\bonce (?:wa
 _MARK = re.compile(r"^(?:<\?php)?\s*(?:/\*+!?|\*+|//+!?|#+!?|--|<!--|;+|%+)\s*")
 
 
+#: Names that build tools reserve for what they write.
+REGISTERED = re.compile(r"(?:[._](?:pb2?|gen|generated|designer)(?:_grpc)?|\.g)\.\w+$|(?:^|/)__generated__/|(?:^|/)generated-(?:test-)?sources/|(?:^|/)cache/compiled/")
+
+
 def lex(text: str) -> tuple[list[str], list[str], int, int]:
     """(masked tokens, tokens, characters in strings and numbers, characters in comments)."""
     masked, raw, literal, comment = [], [], 0, 0
@@ -87,31 +101,46 @@ def lex(text: str) -> tuple[list[str], list[str], int, int]:
         if t[:3] in ('"""', "'''") and len(t) > 5:
             comment += len(t)
             continue
-        raw.append(t)
-        if c in "\"'`" and len(t) > 1:
-            masked.append("S")
+        if c.isdigit():
             literal += len(t)
-        elif c.isdigit():
+            if masked and masked[-1] in "+-" and (len(masked) == 1 or masked[-2] in "([{,=:"):
+                masked[-1], raw[-1] = "N", raw[-1] + t
+                continue
             masked.append("N")
+        elif c in "\"'`" and len(t) > 1:
+            masked.append("S")
             literal += len(t)
         elif c.isalpha() or c in "_$":
             masked.append(t if t in KEYWORDS else "I")
         else:
             masked.append(t)
+        raw.append(t)
     return masked, raw, literal, comment
 
 
-def shingles(tokens: list[str]) -> np.ndarray:
-    """Distinct 64-bit hashes of the five-token shingles (of the whole, if shorter)."""
-    ids = [xxhash.xxh64_intdigest(t) for t in tokens]
-    h = np.array(ids, dtype=np.uint64)
-    n = max(1, len(h) - SHINGLE + 1)
+def _hashes(tokens: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(t) for t in tokens], dtype=np.uint64)
+
+
+def _runs(h: np.ndarray, width: int) -> np.ndarray:
+    """One hash per run of ``width`` tokens (one for the whole, if it is shorter)."""
+    n = max(1, len(h) - width + 1)
     out = np.zeros(n, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(min(SHINGLE, len(h))):
+        for k in range(min(width, len(h))):
             part = h[k : k + n]
             out[: len(part)] = (out[: len(part)] ^ part) * np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(31)
+    return out
+
+
+def shingles(tokens: list[str]) -> np.ndarray:
+    """Distinct 64-bit hashes of the five-token shingles, the second and later occurrences of one as shingles of their own."""
+    out = np.sort(_runs(_hashes(tokens), SHINGLE))
+    occurrence = (np.arange(len(out)) - np.searchsorted(out, out)).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        out = (out ^ (occurrence * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        out ^= out >> np.uint64(29)
     return np.unique(out)
 
 
@@ -137,113 +166,73 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def period_share(text: str) -> tuple[float, int]:
-    """(largest share of lines whose masked shape comes again after a fixed number of lines, lines)."""
-    shapes = []
-    for line in text.split("\n"):
-        masked = lex(line)[0]
-        if masked:
-            shapes.append(hash(tuple("I" if m in KEYWORDS else m for m in masked)))
-    n = len(shapes)
-    if n < 8:
-        return 0.0, n
-    a = np.array(shapes)
-    return max(float((a[p:] == a[:-p]).mean()) for p in _periods(shapes)), n
-
-
-def _periods(shapes: list[int]) -> list[int]:
-    """Periods to try: up to 12 lines, and the most frequent distances between equal runs of one, two, four or eight lines."""
-    most = len(shapes) // 3
-    found = set(range(1, min(12, most) + 1))
-    for run in (1, 2, 4, 8):
-        last: dict[tuple[int, ...], int] = {}
-        apart: Counter = Counter()
-        for i in range(len(shapes) - run + 1):
-            key = tuple(shapes[i : i + run])
-            if key in last:
-                apart[i - last[key]] += 1
-            last[key] = i
-        found |= {p for p, _ in apart.most_common(8) if p <= most}
-    return sorted(found)
-
-
-def has_banner(text: str) -> bool:
-    """A tool's signature among the comments at the head of the file."""
-    open_block = False
-    for k, line in enumerate(text.lstrip("﻿").split("\n")):
-        bare = line.strip()
-        if k == 0 and bare in ("<?php", "#!/usr/bin/env python", "#!/bin/sh") or bare.startswith("#!") or not bare:
-            continue
-        mark = _MARK.match(bare)
-        if not mark and not open_block:
-            return False
-        open_block = (open_block or "/*" in bare) and "*/" not in bare
-        said = bare[mark.end() :] if mark else bare
-        said = re.sub(r"'[^']*'|\"[^\"]*\"|“[^”]*”", "", said)  # a quoted banner is spoken of
-        if (_BANNER.match(said) or _BANNER_ELSEWHERE.search(said)) and not _PAST.search(said):
-            return True
-    return False
-
+def repeated_share(masked: list[str]) -> float:
+    """Share of the file's windows of ``WINDOW`` masked tokens, names among them, that come again in the file."""
+    if len(masked) < WINDOW + SHINGLE:
+        return 0.0
+    windows = _runs(_hashes(masked), WINDOW)
+    names = np.concatenate([[0], np.cumsum([_is_name(m) for m in masked])])
+    named = names[WINDOW:] > names[:-WINDOW]
+    _, where, times = np.unique(windows, return_inverse=True, return_counts=True)
+    return float(((times[where] > 1) & named).mean())
 
-_VERSION = re.compile(r"\bv?\d+\.\d+(?:\.\d+)?\b|licen[cs]e|\(c\)|copyright|__title__|factory\(\)|namespace |package |@module|homepage", re.I)
 
+def _is_name(masked: str) -> bool:
+    return masked not in ("N", "S") and (masked[0].isalpha() or masked[0] in "_$")
 
-_HEAD_COMMENTS = re.compile(r"(?:\s+|<\?php|/\*.*?(?:\*/|\Z)|//[^\n]*|#[^\n]*|--[^\n]*|<!--.*?(?:-->|\Z)|\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z))", re.S)
 
+def literal_only(masked: list[str], literal: int, code: int) -> bool:
+    """Whether the text consists of literals: hardly a shingle holds a name, or hardly a character stands outside literals."""
+    if not masked or not literal:
+        return False
+    names = np.concatenate([[0], np.cumsum([_is_name(m) for m in masked])])
+    if len(masked) >= TINY and float((names[SHINGLE:] == names[:-SHINGLE]).mean()) >= LITERAL_SHINGLES:
+        return True
+    return literal >= LITERAL_CHARS * code
 
-def _head_end(text: str) -> int:
-    """Where the comments at the head of the file end."""
-    at = 1 if text.startswith("\ufeff") else 0
-    while m := _HEAD_COMMENTS.match(text, at):
-        at = m.end()
-    return at
 
-
-def names_library(text: str, path: str) -> bool:
-    """Whether the head names the library that the path is called after, as a library's head does."""
-    parts = re.split(r"[/\\]", path.lower())
-    stem = parts[-1].split(".")[0] if parts else ""
-    names = {re.sub(r"[-_.]?v?\d+(?:\.\d+)+.*$", "", x) for x in (re.sub(r"\.(min\.)?\w+$", "", parts[-1]), stem, *parts[-3:-1])}
-    low = text[: _head_end(text) + 1200].lower()
-    for name in names:
-        if len(name) < 5 or name not in low:
-            continue
-        for m in re.finditer(r"(?<![\w])" + re.escape(name) + r"(?![\w])", low):
-            line = low[low.rfind("\n", 0, m.start()) + 1 : (low.find("\n", m.end()) + 1 or len(low) + 1) - 1]
-            before, after = line[: m.start() - (low.rfind("\n", 0, m.start()) + 1)], line[m.end() - (low.rfind("\n", 0, m.start()) + 1) :]
-            if re.match(r"\s*(?:v|version |- |@)?\d+\.\d+", after) or re.search(r"@license\s*$|@preserve\s*$|\(c\) the $|__title__ = ['\"]$|root\.$|namespace lib\\$|package org\.$|@module\s*$", before):
-                return True
-            if re.search(r"^(?:package|module) $", before) and "version = " in low:
+def is_signed(text: str) -> bool:
+    """A tool's signature in a comment of its own: at the head of the file, at its end or between declarations."""
+    lines = text.lstrip("\ufeff").split("\n")
+    open_block, first = False, True  # ``first``: nothing but comments so far
+    waiting = False  # a signature whose comment must not belong to the line that follows
+    for line in lines:
+        bare = line.strip()
+        mark = _MARK.match(bare) if line[:1] not in (" ", "\t") or open_block else None
+        if not bare:
+            if waiting and not open_block:
                 return True
-            if re.match(r" - .*", after) and re.search(r"version:?\s*\d", low):
+            continue
+        if not mark and not open_block:
+            first = first and (bare.startswith("#!") or bare == "<?php")
+            waiting = False
+            continue
+        open_block = (open_block or "/*" in bare) and "*/" not in bare
+        said = bare[mark.end() :] if mark else bare
+        said = re.sub(r"'[^']*'|\"[^\"]*\"|“[^”]*”", "", said)  # a quoted signature is spoken of
+        if (_BANNER.match(said) or _BANNER_ELSEWHERE.search(said)) and not _PAST.search(said):
+            if first:
                 return True
-    return False
+            waiting = True
+    return waiting
 
 
 def own_traits(text: str, path: str) -> tuple[list[str], list[str], list[str]]:
     """(reasons found in the file alone, masked tokens, tokens)."""
     masked, raw, literal, comment = lex(text)
     reasons: list[str] = []
-    if len(text) < 200 and len(masked) < TINY:
-        return reasons, masked, raw
+    if is_signed(text) or REGISTERED.search(path.replace("\\", "/")):
+        reasons.append("generated")
     code = max(1, len(text) - comment)
+    if literal_only(masked, literal, code) and (len(masked) >= TINY or literal >= STUB):
+        reasons.append("data")
+    elif repeated_share(masked) >= REPEATED:
+        reasons.append("generated")
     names = [t for t, m in zip(raw, masked) if m == "I"]
     short = sum(len(t.lstrip("$")) <= 2 for t in names) / len(names) if names else 0.0
     blank = sum(text.count(c) for c in " \t\n\r") / max(1, len(text))
-    share, lines = period_share(text)
-    if has_banner(text):
-        reasons.append("generated")
-    values = masked.count("N") + masked.count("S")
-    if literal / code >= 0.9 or (values > 0.4 * len(masked) and len(masked) > 60):
-        reasons.append("data")
-    if short >= 0.5 and blank < 0.1 and len(names) >= 20:
-        reasons.append("minified")
-    if re.match(r"\s*eval\(", text) and literal > 0.5 * code:
+    if short >= 0.5 and blank < 0.1 and len(names) >= TINY:
         reasons.append("minified")
-    if share >= 0.7 and lines >= 8:
-        reasons.append("generated")
-    if names_library(text, path):
-        reasons.append("vendored")
     return reasons, masked, raw
 
 
@@ -253,30 +242,27 @@ def _features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for file, project, path, text, sha in part[["id", "project_id", "path", "content", "sha"]].itertuples(index=False):
             reasons, masked, raw = own_traits(text, path or "")
             shape = names = np.empty(0, np.uint64)
-            if len(masked) >= TINY:
+            bands: list[int] = []
+            name_bands: list[int] = []
+            if len(masked) >= TINY and "data" not in reasons:
                 shape, names = shingles(masked), shingles(raw)
-            bands, name_bands = (band_keys(shape), band_keys(names, NAME_BANDS, NAME_ROWS)) if len(shape) else ([], [])
-            out.append((file, project, sha, len(masked), reasons, bands, name_bands, len(shape), len(names)))
-        yield pd.DataFrame(out, columns=["id", "project_id", "sha", "tokens", "reasons", "bands", "name_bands", "distinct", "names"])
+                bands, name_bands = band_keys(shape), band_keys(names, NAME_BANDS, NAME_ROWS)
+            out.append((file, project, sha, len(masked), sorted(set(reasons)), bands, name_bands, shape.astype(np.int64), names.astype(np.int64)))
+        yield pd.DataFrame(out, columns=["id", "project_id", "sha", "tokens", "reasons", "bands", "name_bands", "shape", "names"])
 
 
-@lru_cache(maxsize=2048)
-def _both_shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
-    masked, raw, *_ = lex(text)
-    return shingles(masked), shingles(raw)
+def _common(a: str, b: str) -> str:
+    """Jaccard similarity of two columns of shingles."""
+    both = f"size(array_intersect({a}, {b}))"
+    return f"{both} / (size({a}) + size({b}) - {both})"
 
 
-def _verify(a: pd.Series, b: pd.Series) -> pd.Series:
-    """0: unlike, 1: alike when masked, 2: alike in names too."""
-    out = []
-    for x, y in zip(a, b):
-        mx, rx = _both_shingles(x)
-        my, ry = _both_shingles(y)
-        if similarity(mx, my) < MASKED:
-            out.append(0)
-        else:
-            out.append(2 if similarity(rx, ry) >= NAMES else 1)
-    return pd.Series(out, dtype="int32")
+def _judged(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, head, alike) of the pairs: 1 alike when masked, 2 in names too; unlike pairs are 0."""
+    mine = classes.select("id", "shape", "names")
+    other = classes.select(F.col("id").alias("head"), F.col("shape").alias("shape2"), F.col("names").alias("names2"))
+    alike = f"CASE WHEN {_common('shape', 'shape2')} < {MASKED} THEN 0 WHEN {_common('names', 'names2')} < {NAMES} THEN 1 ELSE 2 END"
+    return cut(pairs.join(mine, "id").join(other, "head").select("id", "head", F.expr(alike).alias("alike")))
 
 
 def _copies(links: DataFrame) -> DataFrame:
@@ -285,58 +271,65 @@ def _copies(links: DataFrame) -> DataFrame:
 
 
 def _relatives(links: DataFrame, place: DataFrame) -> DataFrame:
-    """(id) of the members of families: alike, not copies, of one and the same project."""
-    family = links.filter("alike = 1").join(place, "id").join(place.select(F.col("id").alias("head"), F.col("project").alias("other")), "head").filter("project = other")
+    """(id) of the members of families: alike, and of one and the same project."""
+    family = links.filter("alike > 0").join(place, "id").join(place.select(F.col("id").alias("head"), F.col("project").alias("other")), "head").filter("project = other")
     return family.select(F.explode(F.array("id", "head")).alias("id")).distinct()
 
 
-def alike_files(classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, head, alike): links between different texts, such that every family member has one and every copy is joined to its copies."""
-    own = texts.select("id", F.col("content").alias("text"))
-    place = classes.filter(F.col("distinct") >= FAMILY_SHINGLES).filter("lo = hi").select("id", F.col("lo").alias("project"))
-    sizes = classes.select("id", "distinct", "names")
-    shapes = classes.join(place, "id").select("id", "distinct", "names", "project", F.explode("bands").alias("band"))
-    named = classes.select("id", "distinct", "names", F.lit(None).cast("int").alias("project"), F.explode("name_bands").alias("band"))
+def alike_files(classes: DataFrame) -> DataFrame:
+    """(id, head, alike): links between different texts, such that every family member has one and every copy is joined to its copies.
+
+    ``classes``: one row per text (id, lo and hi project, bands, name_bands, shape, names).
+    """
+    place = classes.filter("lo = hi").select("id", F.col("lo").alias("project"))
+    sized = classes.select("id", F.col("lo").alias("project"), F.expr("lo = hi").alias("single"), F.size("shape").alias("n"), F.size("names").alias("m"), "bands", "name_bands")
+    shapes = sized.filter("single").select("id", "n", "m", "project", F.explode("bands").alias("band"))
+    named = sized.select("id", "n", "m", F.lit(None).cast("int").alias("project"), F.explode("name_bands").alias("band"))
     bands = shapes.unionByName(named)
-    group = ["project", "band"]
-    heads = bands.groupBy(group).agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    bands = cut(bands.alias("b").join(heads.alias("h"), F.expr("b.band = h.band AND b.project <=> h.project")).select("b.*", "h.head"))
+    heads = bands.groupBy("project", "band").agg(F.min_by(F.struct("id", "n", "m"), "id").alias("h"), F.count("*").alias("members")).filter("members > 1")
+    heads = heads.select(F.col("project").alias("p1"), F.col("band").alias("b1"), F.col("h.id").alias("head"), F.col("h.n").alias("n2"), F.col("h.m").alias("m2"), F.ceil(F.col("members") / SALT_ROWS).cast("int").alias("salts"))
+    bands = cut(bands.join(heads, F.expr("band = b1 AND project <=> p1")).drop("b1", "p1"))
     # No two sets of these sizes can be as similar as is asked.
-    fits = F.expr("5 * least(distinct, d2) >= 4 * greatest(distinct, d2) AND (project IS NOT NULL OR 2 * least(names, n2) >= greatest(names, n2))")
-
-    def judged(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(own, "id").join(own.select(F.col("id").alias("head"), F.col("text").alias("other")), "head")
-        return cut(both.select("id", "head", F.pandas_udf(_verify, "int")("text", "other").alias("alike")))
-
-    head_sizes = sizes.select(F.col("id").alias("head"), F.col("distinct").alias("d2"), F.col("names").alias("n2"))
-    stars = judged(bands.filter("id <> head").join(head_sizes, "head").filter(fits).select("id", "head").distinct())
+    fits = F.expr(f"least(n, n2) >= {MASKED} * greatest(n, n2) AND (project IS NOT NULL OR least(m, m2) >= {NAMES} * greatest(m, m2))")
+    stars = _judged(bands.filter("id <> head").filter(fits).select("id", "head").distinct(), classes)
 
     copies = _copies(stars)
-    state = sizes.select("id").join(copies, "id", "left").join(_relatives(stars, place).withColumn("placed", F.lit(True)), "id", "left")
+    state = classes.select("id").join(copies, "id", "left").join(_relatives(stars, place).withColumn("placed", F.lit(True)), "id", "left")
     state = cut(state.select("id", F.coalesce("component", "id").alias("component"), F.coalesce("placed", F.lit(False)).alias("placed")))
-    told = cut(bands.drop("head").join(state, "id"))
-    second = told.select(F.col("id").alias("head"), F.col("band").alias("b2"), F.col("project").alias("p2"), F.col("distinct").alias("d2"), F.col("names").alias("n2"), F.col("component").alias("c2"), F.col("placed").alias("placed2"))
-    open_pairs = F.expr("CASE WHEN project IS NULL THEN component <> c2 ELSE NOT (placed AND placed2) END")
-    rest = told.join(second, F.expr("band = b2 AND project <=> p2 AND head < id")).filter(fits & open_pairs).select("id", "head").distinct()
-    return stars.filter("alike > 0").unionByName(judged(rest.join(stars, ["id", "head"], "left_anti")).filter("alike > 0"))
+    told = cut(bands.drop("head", "n2", "m2").join(state, "id"))
+    right = [F.col(c).alias(d) for c, d in (("id", "head"), ("band", "b2"), ("project", "p2"), ("n", "n2"), ("m", "m2"), ("component", "c2"), ("placed", "placed2"))]
+    left = told.withColumn("salt", F.expr("pmod(hash(id), salts)"))
+    second = told.select(*right, F.explode(F.expr("sequence(0, salts - 1)")).alias("s2"))
+    # A pair is open if one of the two has no family yet, or if the two are not yet joined by copies.
+    still = F.expr("CASE WHEN project IS NULL THEN component <> c2 ELSE NOT (placed AND placed2) END")
+    rest = left.join(second, F.expr("band = b2 AND salt = s2 AND project <=> p2 AND head < id")).filter(fits & still).select("id", "head").distinct()
+    return stars.filter("alike > 0").unionByName(_judged(rest.join(stars, ["id", "head"], "left_anti"), classes).filter("alike > 0"))
 
 
 def file_origins(files: DataFrame) -> DataFrame:
-    """(file_id, reasons): files that are not hand-written source of their project, with the reasons."""
+    """(file_id, reasons, class_id, links): files that are not hand-written source of their project.
+
+    ``class_id`` is the smallest file of its class of equal or copied texts, ``links`` the number of
+    verified links of its text; a file told by itself alone has its own id and no links.
+    """
     texts = files.filter("id IS NOT NULL AND content IS NOT NULL").select("id", F.coalesce("project_id", -F.col("id")).cast("int").alias("project_id"), "path", "content", F.sha2("content", 256).alias("sha")).dropDuplicates(["id"])
-    schema = "id bigint, project_id int, sha string, tokens int, reasons array<string>, bands array<bigint>, name_bands array<bigint>, distinct int, names int"
+    schema = "id bigint, project_id int, sha string, tokens int, reasons array<string>, bands array<bigint>, name_bands array<bigint>, shape array<bigint>, names array<bigint>"
     traits = cut(texts.mapInPandas(_features, schema))
-    same = [F.min_by(c, "id").alias(c) for c in ("bands", "name_bands", "distinct", "names")]
-    classes = cut(traits.filter(F.col("tokens") >= TINY).groupBy("sha").agg(F.min("id").alias("id"), F.min("project_id").alias("lo"), F.max("project_id").alias("hi"), *same))
-    links = alike_files(classes, texts)
+    same = [F.min_by(c, "id").alias(c) for c in ("bands", "name_bands", "shape", "names")]
+    classes = cut(traits.filter(F.size("shape") > 0).groupBy("sha").agg(F.min("id").alias("id"), F.min("project_id").alias("lo"), F.max("project_id").alias("hi"), F.count("*").alias("files"), *same))
+    links = cut(alike_files(classes))
 
-    whole = classes.join(_copies(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    whole = classes.select("id", "sha", "lo", "hi").join(_copies(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
     wide = whole.groupBy("component").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).filter("a < b").select("component")
-    vendored = whole.join(wide, "component", "left_semi").select("sha", F.lit("vendored").alias("reason"))
-
-    place = classes.filter(F.col("distinct") >= FAMILY_SHINGLES).filter("lo = hi").select("id", F.col("lo").alias("project"))
-    generated = classes.join(_relatives(links, place), "id", "left_semi").select("sha", F.lit("generated").alias("reason"))
-
-    more = vendored.unionByName(generated).groupBy("sha").agg(F.collect_set("reason").alias("more"))
-    all_reasons = traits.join(more, "sha", "left").select(F.col("id").cast("int").alias("file_id"), F.array_sort(F.array_union("reasons", F.coalesce("more", F.array().cast("array<string>")))).alias("reasons"))
-    return all_reasons.filter("size(reasons) > 0")
+    vendored = whole.join(wide, "component", "left_semi").select("id", F.lit("vendored").alias("reason"))
+
+    place = classes.filter("lo = hi").select("id", F.col("lo").alias("project"))
+    family = _relatives(links, place).unionByName(classes.filter("lo = hi AND files > 1").select("id")).distinct()
+    generated = family.select("id", F.lit("generated").alias("reason"))
+
+    more = vendored.unionByName(generated).groupBy("id").agg(F.collect_set("reason").alias("more"))
+    count = links.select(F.explode(F.array("id", "head")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    told = whole.select("id", "sha", "component").join(more, "id").join(count, "id", "left").drop("id")
+    both = traits.select("id", "sha", "reasons").join(told, "sha", "left")
+    reasons = F.array_sort(F.array_union("reasons", F.coalesce("more", F.array().cast("array<string>"))))
+    return both.select(F.col("id").cast("int").alias("file_id"), reasons.alias("reasons"), F.coalesce("component", "id").cast("int").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")).filter("size(reasons) > 0")
