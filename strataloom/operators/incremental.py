@@ -38,35 +38,51 @@ def covering_runs(runs: DataFrame, ok: str = "ok") -> DataFrame:
     )
 
 
-def counted_changes(observations: DataFrame, runs: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Counted observations in order, each with the version known before it.
+def last_per_run(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The last observation of each key in each run: ``rows`` has the keys, at, run_id, observed_at, row_id, version, is_deleted and maybe more."""
+    rest = [c for c in rows.columns if c not in (*keys, "at", "run_id", "observed_at", "row_id")]
+    last = F.max(F.struct("observed_at", "row_id", *rest)).alias("_last")
+    return rows.groupBy(*keys, "at", "run_id").agg(last).select(*keys, "at", "run_id", "_last.observed_at", *[F.col(f"_last.{c}").alias(c) for c in rest])
 
-    Columns: run_id, project_id, path, hash, observed_at, is_deleted, known_hash.
+
+def counted_changes(rows: DataFrame, state: DataFrame, processed: DataFrame, keys: list[str]) -> DataFrame:
+    """Counted observations in order of (at, run_id), each with the version known before it.
+
+    ``rows`` are those reread (see ``last_per_run``), ``processed`` the pairs of key and version (version,
+    observed_at) already in the ledger, which are taken out by an anti-join, and ``state`` the last counted
+    version, observed_at and is_deleted of each key. An observation counts only if it is later than every
+    counted one before it. Columns: those of ``last_per_run`` and known_version (null after a deletion).
     """
-    ledger = manifest.filter("project_id IS NOT NULL AND path IS NOT NULL").select(
-        "project_id", canonical_path(F.col("path")).alias("path"), F.lower("hash").alias("hash"), F.col("updated_at").alias("observed_at")
-    )
-    rows = observations.filter("error IS NULL AND path IS NOT NULL AND observed_at IS NOT NULL").select(
-        "row_id", "run_id", "project_id", canonical_path(F.col("path")).alias("path"), F.lower("hash").alias("hash"), "observed_at", F.coalesce("is_deleted", F.lit(False)).alias("is_deleted")
-    )
-    # Overlap removal: a row already in the ledger under the same key and version is no news.
-    fresh = rows.join(ledger, ["project_id", "path", "hash", "observed_at"], "left_anti")
-    last = (
-        fresh.join(covering_runs(runs), "run_id")
-        .groupBy("project_id", "path", "by_start", "by_run")
-        .agg(F.max(F.struct("observed_at", "row_id", "hash", "is_deleted")).alias("last"))
-        .select("project_id", "path", F.col("by_start").alias("at"), F.col("by_run").alias("run_id"), "last.observed_at", "last.hash", "last.is_deleted")
-    )
-    start = ledger.select("project_id", "path", F.lit(None).cast("timestamp_ntz").alias("at"), F.lit(None).cast("bigint").alias("run_id"), F.col("observed_at").cast("timestamp_ntz").alias("observed_at"), "hash", F.lit(False).alias("is_deleted"))
-    steps = start.unionByName(last.withColumns({"at": F.col("at").cast("timestamp_ntz"), "observed_at": F.col("observed_at").cast("timestamp_ntz")}))
-    order = Window.partitionBy("project_id", "path").orderBy(F.col("at").asc_nulls_first(), F.col("run_id").asc_nulls_first())
+    fresh = rows.join(processed.select(*keys, "version", "observed_at"), [*keys, "version", "observed_at"], "left_anti")
+    last = last_per_run(fresh, keys)
+    none = [F.lit(None).cast(last.schema[c].dataType).alias(c) for c in last.columns if c not in (*keys, "observed_at", "version", "is_deleted")]
+    start = state.select(*keys, F.col("observed_at").cast(last.schema["observed_at"].dataType).alias("observed_at"), "version", "is_deleted", *none)
+    order = Window.partitionBy(*keys).orderBy(F.col("at").asc_nulls_first(), F.col("run_id").asc_nulls_first())
     before = F.max("observed_at").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    counted = steps.withColumn("seen", before).filter("run_id IS NULL OR seen IS NULL OR observed_at > seen")
-    known = F.lag(F.when(~F.col("is_deleted"), F.col("hash"))).over(order)
-    return counted.withColumn("known_hash", known).filter("run_id IS NOT NULL").select("run_id", "project_id", "path", "hash", "observed_at", "is_deleted", "known_hash")
+    counted = start.unionByName(last).withColumn("_seen", before).filter("run_id IS NULL OR _seen IS NULL OR observed_at > _seen").drop("_seen")
+    known = F.lag(F.when(~F.col("is_deleted"), F.col("version"))).over(order)
+    return counted.withColumn("known_version", known).filter("run_id IS NOT NULL")
+
 
+def news(changes: DataFrame) -> DataFrame:
+    """Counted observations that must be processed: present, and unlike the version known before."""
+    return changes.filter("NOT is_deleted AND (known_version IS NULL OR NOT (version <=> known_version))")
 
-def files_to_process(observations: DataFrame, runs: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(run_id, project_id, path) that each successful run must process."""
-    changes = counted_changes(observations, runs, manifest)
-    return changes.filter("NOT is_deleted AND (known_hash IS NULL OR NOT (hash <=> known_hash))").select("run_id", "project_id", "path")
+
+def files_to_process(observations: DataFrame, runs: DataFrame, manifest: DataFrame, low_water: int | None = None) -> DataFrame:
+    """(run_id, project_id, path) that each successful run must process.
+
+    All runs of the feed are advanced in one plan. ``low_water`` is the oldest run open when the manifest
+    was left; rows of older runs are not read.
+    """
+    keys = ["project_id", "path"]
+    if low_water is not None:
+        observations, runs = observations.filter(F.col("run_id") >= low_water), runs.filter(F.col("run_id") >= low_water)
+    known = manifest.filter("project_id IS NOT NULL AND path IS NOT NULL").select(
+        "project_id", canonical_path(F.col("path")).alias("path"), F.lower("hash").alias("version"), F.col("updated_at").cast("timestamp_ntz").alias("observed_at"), F.lit(False).alias("is_deleted")
+    )
+    rows = observations.filter("error IS NULL AND path IS NOT NULL AND observed_at IS NOT NULL").select(
+        "row_id", "run_id", "project_id", canonical_path(F.col("path")).alias("path"), F.lower("hash").alias("version"), F.col("observed_at").cast("timestamp_ntz").alias("observed_at"), F.coalesce("is_deleted", F.lit(False)).alias("is_deleted")
+    )
+    covered = rows.join(covering_runs(runs), "run_id").drop("run_id").withColumnsRenamed({"by_run": "run_id", "by_start": "at"})
+    return news(counted_changes(covered, known, known, keys)).select("run_id", *keys)

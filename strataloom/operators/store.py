@@ -68,43 +68,87 @@ def changed_files(manifest: DataFrame, present: DataFrame) -> DataFrame:
 class Snapshots:
     """Versions of named tables under one shared folder, with a manifest that names the current ones.
 
-    A version is written whole before the manifest points to it; a run that dies leaves the old
-    version current. The manifest is one small file replaced by a rename in the same folder.
+    A table is a list of parts: ``commit`` replaces them, ``append`` adds one, so that an increment costs its
+    own size. A part is written whole before the manifest names it; a run that dies leaves the old state
+    current. The manifest is one small file under the number after the one that was read; of two writers that
+    read the same manifest the second is refused.
     """
 
+    #: Manifests kept for readers that have just read them.
+    KEEP = 10
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs.mkdirs(path)
+        self._conf = spark._jsc.hadoopConfiguration()
+        self._fs = self._path(self.root).getFileSystem(self._conf)
+        self._fs.mkdirs(self._path(self.root))
+
+    def _numbers(self) -> list[int]:
+        names = (s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)))
+        return sorted(int(n[9:-5]) for n in names if n.startswith("manifest-"))
+
+    def _file(self, number: int) -> str:
+        return f"{self.root}/manifest-{number:012d}.json"
+
+    def _load(self) -> tuple[int, dict]:
+        """(number of the newest manifest, its tables)."""
+        numbers = self._numbers()
+        if not numbers:
+            return -1, {}
+        text = "\n".join(r.value for r in self.spark.read.text(self._file(numbers[-1]), wholetext=True).collect())
+        return numbers[-1], json.loads(text)
 
     def manifest(self) -> dict:
-        """Table to {version, watermark, rows, at}; the newest manifest file counts."""
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)) if s.getPath().getName().startswith("manifest-"))
-        if not names:
-            return {}
-        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.root}/{names[-1]}", wholetext=True).collect()))
+        """Table to {parts, watermark, rows, at}; the newest manifest counts."""
+        return self._load()[1]
 
     def read(self, table: str) -> DataFrame | None:
         entry = self.manifest().get(table)
-        return self.spark.read.parquet(f"{self.root}/{table}/{entry['version']}") if entry else None
+        return self.spark.read.parquet(*[f"{self.root}/{table}/{p}" for p in entry["parts"]]) if entry else None
 
-    def commit(self, table: str, df: DataFrame, watermark: str | None = None, partition_by: list[str] | None = None) -> dict:
-        version = uuid.uuid4().hex
+    def _write(self, table: str, df: DataFrame, partition_by: list[str] | None = None) -> tuple[str, int]:
+        part = uuid.uuid4().hex
         writer = df.write.mode("error")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/{table}/{version}")
-        rows = self.spark.read.parquet(f"{self.root}/{table}/{version}").count()
-        entry = {"version": version, "watermark": watermark, "rows": rows, "at": time.time()}
-        state = self.manifest() | {table: entry}
-        number = len([s for s in self._fs.listStatus(self._path(self.root)) if s.getPath().getName().startswith("manifest-")])
-        draft = self._path(f"{self.root}/.draft-{version}")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/{table}/{part}")
+        return part, self.spark.read.parquet(f"{self.root}/{table}/{part}").count()
+
+    def _move(self, read: int, state: dict) -> None:
+        """Makes ``state`` current unless another manifest came after the one that was read."""
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        draft, target = self._path(f"{self.root}/.draft-{uuid.uuid4().hex}"), self._path(self._file(read + 1))
         out = self._fs.create(draft)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        if not self._fs.rename(draft, self._path(f"{self.root}/manifest-{number:012d}.json")):
-            raise RuntimeError("another writer committed first")
-        return entry
+        context = fs.FileContext.getFileContext(draft.toUri() if draft.toUri().getScheme() else self._fs.getUri(), self._conf)
+        options = self.spark._jvm.java.lang.reflect.Array.newInstance(self.spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+        try:
+            context.rename(draft, target, options)
+        except Exception as e:  # the target exists
+            self._fs.delete(draft, False)
+            raise RuntimeError("another writer committed first") from e
+        for old in self._numbers()[: -self.KEEP]:
+            self._fs.delete(self._path(self._file(old)), False)
+
+    def commit_all(self, replaced: dict[str, DataFrame], appended: dict[str, DataFrame] | None = None, watermark: str | None = None, partition_by: list[str] | None = None) -> dict:
+        """Replaces and extends tables under one move of the manifest: all of them or none."""
+        read, state = self._load()
+        now = time.time()
+        for table, df in replaced.items():
+            part, rows = self._write(table, df, partition_by)
+            state[table] = {"parts": [part], "watermark": watermark, "rows": rows, "at": now}
+        for table, df in (appended or {}).items():
+            part, rows = self._write(table, df, partition_by)
+            old = state.get(table, {"parts": [], "rows": 0})
+            state[table] = {"parts": [*old["parts"], part], "watermark": watermark, "rows": old["rows"] + rows, "at": now}
+        self._move(read, state)
+        return state
+
+    def commit(self, table: str, df: DataFrame, watermark: str | None = None, partition_by: list[str] | None = None) -> dict:
+        return self.commit_all({table: df}, None, watermark, partition_by)[table]
+
+    def append(self, table: str, df: DataFrame, watermark: str | None = None) -> dict:
+        return self.commit_all({}, {table: df}, watermark)[table]
 
     def commit_if_changed(self, table: str, make: Callable[[], DataFrame], watermark: str) -> bool:
         """Runs and commits a derivation unless its watermark is the recorded one; a failure leaves it unset."""
@@ -113,14 +157,23 @@ class Snapshots:
         self.commit(table, make(), watermark)
         return True
 
-    def drop(self, table: str) -> int:
-        """Forgets a table; returns the rows it had (the preview a caller may show first comes from ``manifest``)."""
-        state = self.manifest()
-        entry = state.pop(table, {"rows": 0})
-        number = len([s for s in self._fs.listStatus(self._path(self.root)) if s.getPath().getName().startswith("manifest-")])
-        draft = self._path(f"{self.root}/.draft-{uuid.uuid4().hex}")
-        out = self._fs.create(draft)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
-        self._fs.rename(draft, self._path(f"{self.root}/manifest-{number:012d}.json"))
-        return entry["rows"]
+    def drop(self, *tables: str) -> int:
+        """Forgets tables; returns the rows they had (the preview a caller may show first comes from ``manifest``)."""
+        read, state = self._load()
+        rows = sum(state.pop(t, {"rows": 0})["rows"] for t in tables)
+        self._move(read, state)
+        return rows
+
+    def vacuum(self) -> int:
+        """Deletes parts that no kept manifest names; returns how many."""
+        named = set()
+        for number in self._numbers():
+            text = "\n".join(r.value for r in self.spark.read.text(self._file(number), wholetext=True).collect())
+            named |= {(t, p) for t, e in json.loads(text).items() for p in e["parts"]}
+        gone = 0
+        for folder in self._fs.listStatus(self._path(self.root)):
+            if folder.isDirectory():
+                for part in self._fs.listStatus(folder.getPath()):
+                    if (folder.getPath().getName(), part.getPath().getName()) not in named:
+                        gone += bool(self._fs.delete(part.getPath(), True))
+        return gone

@@ -117,11 +117,11 @@ def test_knowledge_files_round_trip(spark, tmp_path):
     assert [r.memory_key for r in knowledge_files.read_memories(spark, str(tmp_path)).collect()] == ["m2"]
 
 
-FEED = "run_id bigint, key string, version int, deleted boolean, value string"
+FEED = "run_id bigint, key string, version string, observed_at int, is_deleted boolean, value string"
 
 
 def test_ledger_survives_a_crash_and_rereads_open_runs(spark, tmp_path):
-    feed = spark.createDataFrame([(1, "a", 1, False, "x"), (1, "b", 1, False, "y"), (2, "a", 2, False, "z"), (2, "c", 1, False, "w"), (3, "b", 2, True, None), (3, "a", 2, False, "z")], FEED)
+    feed = spark.createDataFrame([(1, "a", "1", 1, False, "x"), (1, "b", "1", 1, False, "y"), (2, "a", "2", 2, False, "z"), (2, "c", "1", 2, False, "w"), (3, "b", "2", 3, True, None), (3, "a", "2", 3, False, "z")], FEED)
     runs = ledger.IncrementalRuns(spark, f"file://{tmp_path}/l")
     seen = []
 
@@ -136,7 +136,53 @@ def test_ledger_survives_a_crash_and_rereads_open_runs(spark, tmp_path):
     assert runs.run(feed, 2, 2, work) and not runs.run(feed, 2, None, work)
     assert runs.run(feed, 3, None, work)
     assert seen == [["a", "b"], ["a", "c"], []]
-    assert rows(runs.store.read("output")) == [("a", "z"), ("c", "w")]
+    assert rows(runs.store.read("output")) == [("a", "x"), ("a", "z"), ("b", "y"), ("c", "w")]
+    assert rows(runs.current().select("key", "version")) == [("a", "2"), ("c", "1")]
+    assert len(runs.store.manifest()["output"]["parts"]) == 3
+
+
+def test_ledger_counts_a_version_that_comes_back_and_orders_by_time(spark, tmp_path):
+    """aaa, bbb, aaa ends at aaa; of two waiting versions the one observed last counts; a late older one does not."""
+    feed = spark.createDataFrame([(1, "f", "aaa", 1, False, ""), (2, "f", "bbb", 2, False, ""), (3, "f", "aaa", 3, False, ""), (4, "g", "zzz", 4, None, ""), (4, "g", "abc", 5, False, ""), (5, "g", "old", 3, False, ""), (5, None, "x", 5, False, ""), (5, "h", "x", None, False, "")], FEED)
+    runs = ledger.IncrementalRuns(spark, f"file://{tmp_path}/l", fold_after=2)
+    got = []
+    for k in range(1, 6):
+        runs.run(feed, k, None, lambda df: (got.append(sorted(tuple(r) for r in df.select("key", "version").collect())), df)[1])
+    assert got == [[("f", "aaa")], [("f", "bbb")], [("f", "aaa")], [("g", "abc")], []]
+    assert rows(runs.current().select("key", "version")) == [("f", "aaa"), ("g", "abc")]
+    assert len(runs.store.manifest()["state"]["parts"]) <= 2 and runs.store.read("ledger").count() == 0
+
+
+def test_ledger_removes_the_overlap_of_an_open_run_and_reads_nothing_older(spark, tmp_path):
+    a, b = [(1, "a", "1", 1, False, ""), (3, "b", "1", 3, False, "")], [(2, "c", "1", 2, False, "")]
+    runs = ledger.IncrementalRuns(spark, f"file://{tmp_path}/l")
+    seen = []
+    work = lambda df: (seen.append(sorted(r.key for r in df.collect())), df)[1]
+    assert runs.run(spark.createDataFrame(a, FEED), 3, 2, work)  # run 2 is still open
+    later = spark.createDataFrame([(1, "q", "1", 1, False, ""), *a, *b, (4, "b", "1", 3, False, "")], FEED)
+    assert runs.run(later, 4, None, work)
+    assert seen == [["a", "b"], ["c"]]  # b is not repeated, c not skipped, run 1 not read again
+    plan = runs._rows(later, 9, runs.marks()[1])._jdf.queryExecution().optimizedPlan().toString()
+    assert "run_id" in plan and ">= 5" in plan
+
+
+def test_two_writers_of_one_manifest(spark, tmp_path):
+    from strataloom.operators.store import Snapshots
+
+    s = Snapshots(spark, f"file://{tmp_path}/s")
+    s.commit("t", spark.range(2))
+    read, state = s._load()
+    s.append("t", spark.range(3))
+    with pytest.raises(RuntimeError):
+        s._move(read, state)
+    assert s.read("t").count() == 5 and s.manifest()["t"]["rows"] == 5
+    s.commit("t", spark.range(1))
+    Snapshots.KEEP, kept = 1, Snapshots.KEEP
+    try:
+        s.commit("u", spark.range(1))
+        assert s.vacuum() == 2 and s.read("t").count() == 1
+    finally:
+        Snapshots.KEEP = kept
 
 
 def test_stream_ingest_is_idempotent(spark, tmp_path):
