@@ -138,9 +138,26 @@ def markdown_chunks(spark, d):
     return docs.chunk_rows(table(spark, d, "documents"))
 
 
-@query()
+def _cue_sql() -> str:
+    """The strongest cue of ``said`` as a struct, as the operator's definition has it."""
+    rows = []
+    for k, (words, confidence) in enumerate(docs.CUES):
+        found = docs.cue_pattern(words).replace("'", "''")
+        before, cue = (f"regexp_extract(said, '{found}', {g})" for g in (1, 2))
+        place = f"regexp_matches({before}, '(^|[—–:;(]|--)[ \t]*$')" if k == 0 else f"NOT regexp_matches({before}, '(?i)(?:^|{docs._EDGE})(?:{docs.STATES}){docs._EDGE}*$')"
+        rows.append(f"WHEN {cue} <> '' AND {place} THEN struct_pack(confidence := CAST({confidence} AS DOUBLE), cue := lower({cue}))")
+    return "CASE " + " ".join(rows) + " END"
+
+
+@query(rf"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?ms)^[ \t]*(?:```.*?(?:^[ \t]*```[^\n]*$|\z)|~~~.*?(?:^[ \t]*~~~[^\n]*$|\z))', '', 'g'), '[ \t\r\f]*\n[ \t\r\f]*', chr(10), 'g') AS t FROM documents WHERE text IS NOT NULL),
+ b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?m)^[ \t\r\f]*[#>|][^\n]*$', '', 'g'), '(?m)^[ \t\r\f]*(?:[-*+]|[0-9]+[.)])[ \t]+', chr(10), 'g') AS t FROM a),
+ p AS (SELECT doc_id, unnest(regexp_split_to_array(t, '\n\n+')) AS p FROM b),
+ s AS (SELECT doc_id, unnest(string_split(regexp_replace(replace(p, chr(10), ' '), '([.!?])[ \t\r\f]+', '\1' || chr(1), 'g'), chr(1))) AS r FROM p),
+ w AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(r, '\*\*|__|`', '', 'g'), '^[ \t\r\f*_-]+', ''), '[ \t\r\f*_]+$', '') AS said FROM s),
+ v AS (SELECT doc_id, said FROM w WHERE length(said) BETWEEN 1 AND {docs.LONGEST} AND NOT suffix(said, '?') AND regexp_matches(said, '^[^ \t]+(?:[ \t]+[^ \t]+){{{docs.FEWEST_WORDS - 1},}}') AND NOT regexp_matches(regexp_replace(said, '[.!]+$', ''), '(?i)(?:^|{docs._EDGE})(?:{docs.OPEN_END})$'))
+ SELECT doc_id, regexp_replace(said, '[.;,]+$', '') AS sentence, c.confidence AS confidence, c.cue AS cue FROM (SELECT *, {_cue_sql()} AS c FROM v) WHERE c IS NOT NULL""")
 def normative_sentences(spark, d):
-    """Sentences that prescribe; the look-behind split has no counterpart in the SQL engine, so it is tested by truth tables."""
+    """Sentences that prescribe, of every document."""
     return docs.rule_sentences(table(spark, d, "documents"))
 
 

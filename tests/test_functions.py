@@ -116,9 +116,12 @@ SENTENCES = [
 ]
 
 
-@pytest.mark.parametrize(("said", "want"), SENTENCES)
-def test_normative_sentences(said, want):
-    assert [(s, c) for s, c, _ in docs.normative_sentences(said)] == want
+def test_normative_sentences(spark):
+    df = spark.createDataFrame(list(enumerate(s for s, _ in SENTENCES)), "doc_id bigint, text string")
+    got = [(r.doc_id, (r.sentence, r.confidence)) for r in docs.rule_sentences(df).collect()]
+    assert got == [(k, w) for k, (_, want) in enumerate(SENTENCES) for w in want]
+    long = spark.createDataFrame([(1, "```\n" + "Never run this here.\n" * 50000), (2, "Word " * 100000 + "must stop now here. You must end it now.")], "doc_id bigint, text string")
+    assert [r.sentence for r in docs.rule_sentences(long).collect()] == ["You must end it now"]
 
 
 def test_front_matter_and_records():
