@@ -1,16 +1,15 @@
 """Functions paired with what their documentation says about them.
 
-The comment of a symbol and the body itself are read as lines of tokens and
-parsed with generalised LL grammars (``gll``) that recover from errors, so an
-unclosed comment, a cut-off docstring or a missing end still gives its sound parts.
-A documentation comment is a sequence of paragraphs, tags with or without a
-description, notices, directives, code and separators; a body is a head and,
-in Python, a string before the first statement.
+Source files and bodies are parsed with generalised LL grammars that recover from
+errors (``gll``, ``source_grammar``): the parse gives the functions of a file, sound ones
+of broken files too, the comment that stands before each, its head over all lines and, in
+Python, the string before the first statement. A documentation comment is a sequence of
+paragraphs, tags with or without a description, notices, directives, code and separators.
 
 What counts as a description is wording that is left after everything else: words
 of the name, the signature and the parameters (also inflected), filler words, type
-names. Short descriptions that are given to many differently named functions of the
-corpus are templates; they are found by hash counts and dropped.
+names. Descriptions of any length that are given to a large share of the differently
+named functions of the corpus are templates; they are found by hash counts and dropped.
 
 Defined results: a null, empty or blank body is no pair; null documentation and a
 null signature count as empty; repeated symbols are judged each; whole texts are
@@ -27,30 +26,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.gll import ANY, Parser
+from strataloom.llm.gll import Parser
+from strataloom.llm.source_grammar import brace_head, functions_of, head_and_docstring
 
-#: A description of at most this many words, given to at least so many differently named functions, is a template.
-TEMPLATE_WORDS, TEMPLATE_NAMES = 5, 25
+#: A description given to at least so large a share of the differently named functions, and to so many of them, is a template.
+TEMPLATE_SHARE, TEMPLATE_NAMES = 0.001, 5
 
 #: Runs of lines of one kind are one token, and a text ends with the token END, so that every parse has
 #: one end and the work is linear in the lines.
 COMMENT_GRAMMAR = {
     "Comment": [("END",), ("Item", "Comment")],
-    "Item": [("Paragraph",), ("TagBlock",), ("Notice",), ("Aside",), ("Example",), ("Error",)],
+    "Item": [("Paragraph",), ("TagBlock",), ("Notice",), ("Aside",), ("Example",)],
     "Paragraph": [("TEXT",)],
     "TagBlock": [("TAG",), ("TAG", "TEXT")],
     "Notice": [("NOTICE",), ("NOTICE", "LEGAL")],
     "Aside": [("BLANK",), ("RULE",), ("MARK",), ("LEGAL",)],
     "Example": [("CODE",)],
-    "Error": [(ANY,)],
-}
-BODY_GRAMMAR = {
-    "Unit": [("Function", "Rest"), ("SKIP", "Function", "Rest"), ("Rest",)],
-    "Function": [("HEAD", "Docstring"), ("HEAD", "SKIP", "Docstring"), ("HEAD",)],
-    "Docstring": [("STRING",)],
-    "Rest": [("END",), ("Line", "Rest")],
-    "Line": [("CODE",), ("SKIP",), ("STRING",), ("HEAD",), ("Error",)],
-    "Error": [(ANY,)],
 }
 
 
@@ -65,8 +56,7 @@ def runs(tokens: list[tuple[str, str]], alone: tuple[str, ...]) -> list[tuple[st
     return [(k, " ".join(t for t in texts if t)) for k, texts in out] + [("END", "")]
 
 
-_comment_parser = Parser(COMMENT_GRAMMAR, "Comment", "Error")
-_body_parser = Parser(BODY_GRAMMAR, "Unit", "Error")
+_comment_parser = Parser(COMMENT_GRAMMAR, "Comment")
 
 #: Words that say nothing about a function by themselves.
 FILLER = frozenset(
@@ -212,72 +202,20 @@ def described(comment: str, known: set[str], stems: set[str]) -> list[str]:
     return out
 
 
-_STRING = re.compile(r"[rRuUbBfF]{0,2}(\"\"\"|''')(.*?)(?:\1|\Z)", re.S)
-_SHORT_STRING = re.compile(r"[rRuUbBfF]{0,2}([\"'])((?:\\.|(?!\1)[^\\\n])*)\1[ \t]*(?=\n|\Z)")
-_HEAD = re.compile(r"(?:async[ \t]+)?def\b[^\n]*")
-
-
-def body_tokens(body: str) -> list[tuple[str, str]]:
-    """(kind, text) of a Python-like body, a string or a head spanning several lines being one token."""
-    out: list[tuple[str, str]] = []
-    at, n = 0, len(body)
-    while at < n:
-        end = body.find("\n", at)
-        end = n if end < 0 else end
-        line = body[at:end]
-        bare = line.strip()
-        start = at + len(line) - len(line.lstrip())
-        head = _HEAD.match(body, start)
-        if head:
-            # up to the colon that ends the head: brackets are balanced there, or the text is broken
-            depth, k = 0, start
-            while k < n:
-                c = body[k]
-                if c in "([{":
-                    depth += 1
-                elif c in ")]}":
-                    depth -= 1
-                elif c == ":" and depth <= 0:
-                    break
-                elif c == "\n" and depth <= 0:
-                    break
-                k += 1
-            rest = body[k + 1 : body.find("\n", k) if body.find("\n", k) >= 0 else n].strip() if k < n and body[k] == ":" else ""
-            out.append(("HEAD", body[start:k]))
-            at = k + 1 if rest and not rest.startswith("#") else (body.find("\n", k) + 1 or n)
-            continue
-        string = _STRING.match(body, start)
-        if string:
-            out.append(("STRING", string[2]))
-            at = string.end()
-            stop = body.find("\n", at)
-            if body[at : n if stop < 0 else stop].strip():
-                out[-1] = ("CODE", string[0])
-            at = n if stop < 0 else stop + 1
-            continue
-        short = _SHORT_STRING.match(body, start)
-        if short:
-            out.append(("STRING", short[2]))
-        elif not bare:
-            out.append(("BLANK", ""))
-        elif bare.startswith("#"):
-            out.append(("REMARK", bare))
-        elif bare.startswith("@"):
-            out.append(("DECORATOR", bare))
-        else:
-            out.append(("CODE", bare))
-        at = end + 1
-    return out
+_QUOTES = re.compile(r"^[rRuUbBfF]{0,2}(\"\"\"|'''|[\"'])(.*?)(?:\1|\Z)", re.S)
 
 
 def docstring(body: str) -> str:
     """The string that documents the function, also of a broken body; empty if there is none."""
     if "def" not in body or ('"' not in body and "'" not in body):
         return ""
-    skip = {"BLANK": "SKIP", "REMARK": "SKIP", "DECORATOR": "SKIP"}
-    tokens = runs([(skip.get(k, k), t) for k, t in body_tokens(body)], ("STRING", "HEAD"))
-    found = _body_parser.pieces([k for k, _ in tokens], ("Docstring",))
-    return tokens[found[0][1]][1] if found else ""
+    quoted = _QUOTES.match(head_and_docstring(body)[1])
+    return quoted[2] if quoted else ""
+
+
+def head_of(body: str) -> str:
+    """The head of a function, over all its lines; the first line if the parse finds none."""
+    return head_and_docstring(body)[0] or brace_head(body) or body.lstrip().split("\n", 1)[0]
 
 
 def describe(name: str | None, signature: str | None, doc: str | None, body: str | None) -> tuple[str, bool] | None:
@@ -286,7 +224,7 @@ def describe(name: str | None, signature: str | None, doc: str | None, body: str
         return None
     known = set(words_of((name or "") + " " + (signature or "")))
     if not signature:
-        known |= set(words_of(body.split("\n", 1)[0][:400]))
+        known |= set(words_of(head_of(body)))
     joined = re.sub(r"[^A-Za-z]", "", (name or "").rpartition("::")[2]).lower()
     known.add(joined)
     stems = {w[:-1] for w in known if len(w) > 3 and w[-1] in "ey"}
@@ -302,31 +240,60 @@ def describe(name: str | None, signature: str | None, doc: str | None, body: str
     return None
 
 
+def _judged(rows: Iterator[tuple]) -> list[tuple]:
+    """(key, name, description, inside, template, body, what else a row has) of the rows with a description."""
+    out = []
+    for key, name, signature, doc, body, *rest in rows:
+        found = describe(name, signature, doc, body)
+        if found:
+            known = set(words_of((name or "") + " " + (signature or "")))
+            masked = " ".join("\x00" if w in known else w for w in words_of(found[0]))
+            out.append((key, name, found[0], found[1], xxhash.xxh64_intdigest(masked) - (1 << 63), body, *rest))
+    return out
+
+
+def _without_templates(found: DataFrame) -> DataFrame:
+    """Pairs whose description, the name's words masked, is not given to ``TEMPLATE_SHARE`` of all differently named functions (``TEMPLATE_NAMES`` at least)."""
+    given = found.select("template", "name").distinct().groupBy("template").agg(F.count("*").alias("names")).filter(F.col("names") >= TEMPLATE_NAMES)
+    total = found.agg(F.approx_count_distinct("name", 0.01).alias("total"))
+    # The total is one row.
+    templates = given.join(F.broadcast(total), F.col("names") >= TEMPLATE_SHARE * F.col("total")).select("template")
+    return found.join(templates, "template", "left_anti").drop("template")
+
+
+_FOUND = "name string, description string, inside boolean, template bigint, body string"
+_TYPES = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.string()]
+
+
+def _batch(out: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    cells = list(zip(*out)) if out else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types)], names=names)
+
+
 def pairs_with_documentation(symbols: DataFrame, kinds: tuple[str, ...] = ("function", "method")) -> DataFrame:
     """(symbol_id, description, inside, body): code and description of every function that has one."""
-    source = symbols.filter(F.col("kind").isin(*kinds) & F.col("id").isNotNull() & (F.trim("body") != "")).select("id", "name", "signature", "doc", "body")
+    source = symbols.filter(F.col("kind").isin(*kinds) & F.col("id").isNotNull() & (F.trim("body") != "")).select(F.col("id").cast("bigint").alias("id"), "name", "signature", "doc", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, names, said, inside, words, hashes, bodies = [], [], [], [], [], [], []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                found = describe(*row[1:])
-                if found:
-                    known = set(words_of((row[1] or "") + " " + (row[2] or "")))
-                    masked = " ".join("\x00" if w in known else w for w in words_of(found[0]))
-                    ids.append(row[0])
-                    names.append(row[1])
-                    said.append(found[0])
-                    inside.append(found[1])
-                    words.append(masked.count(" ") + 1)
-                    hashes.append(xxhash.xxh64_intdigest(masked) - (1 << 63))
-                    bodies.append(row[4])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(said, pa.string()), pa.array(inside, pa.bool_()), pa.array(words, pa.int32()), pa.array(hashes, pa.int64()), pa.array(bodies, pa.string())],
-                names=["symbol_id", "name", "description", "inside", "words", "template", "body"],
-            )
-
-    found = source.mapInArrow(run, "symbol_id bigint, name string, description string, inside boolean, words int, template bigint, body string")
-    short = found.filter(F.col("words") <= TEMPLATE_WORDS).select("template", "name").distinct()
-    templates = short.groupBy("template").agg(F.count("*").alias("names")).filter(F.col("names") >= TEMPLATE_NAMES).select("template")
-    return found.join(templates, "template", "left_anti").select("symbol_id", "description", "inside", "body")
+            yield _batch(_judged(zip(*(c.to_pylist() for c in batch.columns))), [pa.int64(), *_TYPES], ["symbol_id", "name", "description", "inside", "template", "body"])
+
+    return _without_templates(source.mapInArrow(run, f"symbol_id bigint, {_FOUND}")).select("symbol_id", "description", "inside", "body")
+
+
+def pairs_in_files(files: DataFrame) -> DataFrame:
+    """(file_id, name, start_line, end_line, description, inside, repairs, body): functions that a parse of the whole
+    file finds, with the comment before them or the string inside; ``repairs`` is 0 for those that are sound, also of broken files.
+
+    Null ids and contents are ignored, a text without functions gives no rows, a file that stands twice is read twice.
+    """
+    source = files.filter(F.col("id").isNotNull() & F.col("content").isNotNull()).select(F.col("id").cast("bigint").alias("id"), "content")
+    more = ["start_line", "end_line", "repairs"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = ((k, f.name, f.signature, f.doc, f.body, f.start_line, f.end_line, f.repairs) for k, text in zip(*(c.to_pylist() for c in batch.columns)) for f in functions_of(text))
+            yield _batch(_judged(rows), [pa.int64(), *_TYPES, *[pa.int32()] * 3], ["file_id", "name", "description", "inside", "template", "body", *more])
+
+    found = source.mapInArrow(run, f"file_id bigint, {_FOUND}, start_line int, end_line int, repairs int")
+    return _without_templates(found).select("file_id", "name", "start_line", "end_line", "description", "inside", "repairs", "body")

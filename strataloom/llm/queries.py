@@ -21,6 +21,11 @@ def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_docs.pairs_with_documentation(table(spark, sf_dir, "symbols"))
 
 
+def p1_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs taken from the files themselves by a parse that recovers from errors."""
+    return code_docs.pairs_in_files(table(spark, sf_dir, "files"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of authors that are one person, team or bot."""
     return author_names.author_pairs(author_names.link_authors(table(spark, sf_dir, "commits"), table(spark, sf_dir, "projects")))
@@ -142,6 +147,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_pairs": p1_pairs,
+        "p1_sources": p1_sources,
         "p2_found": p2_found,
         "p4_found": p4_found,
         "p5_found": p5_found,
