@@ -1,14 +1,17 @@
 """Variant spellings of names typed by people, linked when they mean one person, team or bot.
 
-1. Every distinct author gets keys: the mailbox (case, tag, trailing dot and misspelt
-   ending of a known domain put right), the account name of a mailbox, the full name as
-   folded, sorted tokens (initials, titles and remarks dropped), and the name a mailbox spells.
+1. Every distinct author gets keys: the mailbox (case, tag, trailing dot and a misspelt domain put
+   right, a rare domain being one slip away from a frequent one), the account name of a mailbox, the full
+   name as folded, sorted tokens (initials, titles and remarks dropped), and the name a mailbox spells.
    Equal keys inside an org link to the smallest author of the key (a star, not all pairs).
-2. Names that differ by typing are found by a prefix-filtered set-similarity join on token
-   q-grams (rarest grams first) and verified by a soft weighted token similarity in which
-   rare tokens count more; two names that each have a mailbox of their own spelling stay apart.
-3. Initials, nicknames and account names are matched with the forms that a person's full name
-   can take, and only where exactly one person of the org has that form.
+2. All spellings (full names, names with initials, account names) are joined with the full names of the org
+   by a prefix-filtered set-similarity join on token q-grams: grams weigh more the rarer they are, a spelling
+   must share ``SHARE`` of its weight, and only the heaviest grams that this leaves no way around are looked up,
+   so the grams of common names join nothing.
+3. A pair is verified by a soft weighted token similarity, in which rare tokens count more and a token may be
+   slipped, abbreviated to an initial, a nickname, or run together with the next. Slips link if not both
+   mailboxes spell the token as it stands there; initials, nicknames and account names link where exactly one
+   person of the org is meant.
 4. The links' connected components are the persons; their authors are paired.
 
 Mailboxes of roles, and mailboxes under which unlike names write, link nobody by themselves;
@@ -23,8 +26,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import pandas as pd
@@ -48,6 +50,8 @@ NICKNAMES = {
     "stephen": "steve", "susannah": "sue susie anna", "theodora": "thea teddy dora", "theodore": "ted teddy theo", "thomas": "tom tommy", "timothy": "tim", "victoria": "vicky tori", "vladimir": "vova volodya", "william": "bill will billy willy liam", "zachary": "zach",
 }
 SHORT_FORMS = {short: tuple(sorted(full for full, forms in NICKNAMES.items() if short in forms.split())) for forms in NICKNAMES.values() for short in forms.split()}
+#: Share of a spelling's gram weight that it must have in common with a full name.
+SHARE = 0.5
 _LETTERS = str.maketrans({"ø": "o", "æ": "ae", "œ": "oe", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ß": "ss", "ı": "i"})
 PARTICLES = frozenset("de la van von der den di da del du le al el bin ibn ter ten".split())
 
@@ -74,12 +78,11 @@ def name_parts(name: str) -> tuple[list[str], bool]:
 
 
 def mailbox(address: str) -> tuple[str, str]:
-    """(account without tag, domain), both put right; empty if there is none."""
+    """(account without tag, domain); empty if there is none."""
     address = re.sub(r"\s+", "", address.lower()).strip("<>.,;")
     account, at, domain = address.rpartition("@")
     if not at:
         return "", ""
-    domain = re.sub(r"\.(exmaple|exampel|exampl|examle|exapmle|eaxmple|exmple|xample)$", ".example", domain)
     if "noreply" in domain:
         account = account.split("+")[-1]
     else:
@@ -112,7 +115,7 @@ def author_keys(name: str, address: str) -> dict:
     full = [t for t in tokens if len(t) > 1 and not t.isdigit() and t not in PARTICLES]
     joined = "".join(tokens)
     placeholder = not tokens or all(t in ROLES for t in tokens)
-    out = {"mail": None, "account": None, "full": None, "spelt": None, "given": None, "family": None, "initial": None, "handle": None, "group": group, "selfspelt": False}
+    out = {"mail": None, "account": None, "full": None, "spelt": None, "given": None, "family": None, "initial": None, "handle": None, "group": group, "letters": "".join(words)}
     if group:
         rest = sorted(t for t in tokens if not t.isdigit() and t not in ("bot",))
         out["full"] = "group:" + " ".join(rest) if len(rest) > 1 else None
@@ -133,27 +136,21 @@ def author_keys(name: str, address: str) -> dict:
         if person:
             out["given"], out["family"] = person
             out["full"] = " ".join(sorted((person[0], person[1])))
-            out["selfspelt"] = bool(words) and person[1] in "".join(words)
-    elif len(full) == 1 and any(len(t) == 1 for t in tokens):
-        out["initial"] = full[0] + "|" + next(t for t in tokens if len(t) == 1)
-    elif len([t for t in tokens if len(t) > 1 and not t.isdigit()]) >= 2 and any(len(t) == 1 for t in tokens):
-        out["initial"] = "".join(t for t in tokens if len(t) > 1 and not t.isdigit()) + "|" + next(t for t in tokens if len(t) == 1)
+            # A name without a blank may be an account name.
+            out["handle"] = None if re.search(r"\s", name.strip()) else "".join(t for t in tokens if not t.isdigit())
+    elif any(len(t) == 1 for t in tokens) and full:
+        out["initial"] = next(t for t in tokens if len(t) == 1) + " " + "".join(t for t in tokens if len(t) > 1 and not t.isdigit())
     elif single and joined and not account:
         out["handle"] = re.sub(r"\d+", "", joined)
     return out
 
 
-def full_given(given: str) -> list[str]:
-    """The given name and the names it may be short for."""
-    return [given, *SHORT_FORMS.get(given, ())]
-
-
-def person_forms(given: str, family: str) -> list[str]:
-    """Account names and short forms that a full name can take."""
-    forms = {given + family, family + given, given[0] + family, family + given[0], given + family[0], family + given[:2], family + "|" + given[0]}
+def person_forms(given: str, family: str) -> set[str]:
+    """Account names that a full name can take."""
+    forms = {given + family, family + given, given[0] + family, family + given[0], given + family[0], family + given[:2]}
     for short in NICKNAMES.get(given, "").split():
         forms |= {short + family, family + short, short + family[0]}
-    return sorted(forms)
+    return forms
 
 
 def typing_distance(a: str, b: str, most: int = 2) -> int:
@@ -177,6 +174,23 @@ def token_grams(text: str, q: int = 3) -> list[str]:
     return sorted({t[k : k + q] for w in text.split() for t in (f"#{w}#",) for k in range(max(1, len(t) - q + 1))})
 
 
+#: Likeness of a nickname and of an initial to the name they stand for.
+NICKNAME, INITIAL = 0.95, 0.9
+
+
+def token_likeness(a: str, b: str) -> float:
+    """1 for equal tokens, less for a slip in a longer one, a nickname or an initial, 0 for others."""
+    if a == b:
+        return 1.0
+    short, long = sorted((a, b), key=len)
+    if len(short) == 1:
+        return INITIAL if long[0] == short else 0.0
+    if b in NICKNAMES.get(a, "").split() or a in NICKNAMES.get(b, "").split():
+        return NICKNAME
+    slips = typing_distance(a, b)
+    return 1 - slips / len(long) if slips <= (1 if len(short) < 8 else 2) and len(short) >= 4 else 0.0
+
+
 def soft_similarity(a: str, b: str, weight: dict[str, float] | None = None) -> float:
     """Share of the token weight that finds a like token on the other side; rare tokens weigh more."""
     one, two = a.split(), b.split()
@@ -185,29 +199,41 @@ def soft_similarity(a: str, b: str, weight: dict[str, float] | None = None) -> f
         for t in mine:
             w = (weight or {}).get(t, 1.0)
             total += w
-            got += w * max((1 - typing_distance(t, u) / max(len(t), len(u)) if typing_distance(t, u) <= 2 else 0.0 for u in theirs), default=0.0)
+            got += w * max((token_likeness(t, u) for u in theirs), default=0.0)
     return got / total if total else 0.0
 
 
-def same_by_typing(a: str, b: str, weight: dict[str, float] | None = None, least: float = 0.85) -> bool:
-    """One typing slip in one token of otherwise equal names, and soft weighted similarity of ``least``."""
-    one, two = a.split(), b.split()
-    if len(one) != len(two) or Counter(one) == Counter(two):
-        return False
-    left, right = sorted(set(one) - set(two)), sorted(set(two) - set(one))
-    if len(left) != 1 or len(right) != 1 or min(len(left[0]), len(right[0])) < 4:
-        return False
-    return typing_distance(left[0], right[0]) == 1 and soft_similarity(a, b, weight) >= least
+def verdict(spelling: str, full: str, kind: str, spelt: Sequence[bool] = (False, False), other_spelt: Sequence[bool] = (False, False), weight: dict[str, float] | None = None, least: float = 0.85) -> str | None:
+    """How a spelling means a full name (given and family): "slip", "short" (to be unique in the org), or None.
+
+    ``spelt`` and ``other_spelt`` say whether a mailbox of the one or the other spells its given and its family name.
+    """
+    given, family = full.split()
+    if kind == "handle":
+        return "short" if spelling in person_forms(given, family) else None
+    if spelling == full or soft_similarity(spelling, full, weight) < least:
+        return None
+    one, two = spelling.split(), full.split()
+    if sorted(one) == sorted(two):
+        return None  # the same tokens are one key
+    pairs = min(([(one[0], two[i]), (one[1], two[1 - i])] for i in (0, 1)), key=lambda ps: -sum(token_likeness(x, y) for x, y in ps)) if len(one) == 2 else []
+    unlike = [(x, y) for x, y in pairs if x != y]
+    if not unlike or any(token_likeness(x, y) == 0 for x, y in unlike):
+        return None
+    if any(min(len(x), len(y)) == 1 or token_likeness(x, y) == NICKNAME for x, y in unlike):
+        return "short" if len(unlike) == 1 else None
+    # Two mailboxes that each spell the token as it stands there belong to two persons.
+    return None if any(spelt[one.index(x)] and other_spelt[two.index(y)] for x, y in unlike) else "slip"
 
 
-_KEY_SCHEMA = "org_id int, author string, mail string, account string, full string, spelt string, given string, family string, initial string, handle string, `group` boolean, selfspelt boolean"
+_KEY_SCHEMA = "org_id int, author string, mail string, account string, full string, spelt string, given string, family string, initial string, handle string, `group` boolean, letters string"
 
 
 def _keys(authors: DataFrame) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = [author_keys(n, e) for n, e in zip(part["name"], part["email"])]
-            keys = pd.DataFrame(rows, columns=["mail", "account", "full", "spelt", "given", "family", "initial", "handle", "group", "selfspelt"])
+            keys = pd.DataFrame(rows, columns=["mail", "account", "full", "spelt", "given", "family", "initial", "handle", "group", "letters"])
             yield pd.concat([part[["org_id", "author"]].reset_index(drop=True), keys], axis=1)
 
     return authors.mapInPandas(run, _KEY_SCHEMA)
@@ -242,12 +268,16 @@ def _any_unlike(names: pd.Series) -> pd.Series:
     return pd.Series([any(unlike_names(x, y) for x, y in combinations(held, 2)) for held in names], dtype=bool)
 
 
-def link_authors(commits: DataFrame, projects: DataFrame, q: int = 3, jaccard: float = 0.4) -> DataFrame:
+def link_authors(commits: DataFrame, projects: DataFrame, q: int = 3, share: float = SHARE) -> DataFrame:
     """(org_id, author, person): authors that share a person with another author."""
     source = commits.select("project_id", "author_name", "author_email").join(projects.filter("org_id IS NOT NULL").select(F.col("id").alias("project_id"), "org_id"), "project_id")
     authors = source.select("org_id", F.coalesce("author_name", F.lit("")).alias("name"), F.coalesce("author_email", F.lit("")).alias("email")).distinct()
     authors = authors.groupBy("org_id", F.concat("name", F.lit(" <"), "email", F.lit(">")).alias("author")).agg(F.min(F.struct("name", "email")).alias("x")).select("org_id", "author", "x.name", "x.email")
-    keys = cut(_keys(authors))
+    keys = _keys(authors)
+    fixes = _domain_fixes(keys)
+    domain = F.regexp_extract("mail", "@(.*)$", 1)
+    put_right = F.concat(F.regexp_extract("mail", "^(.*@)", 1), F.coalesce("better", "domain"))
+    keys = cut(keys.withColumn("domain", domain).join(fixes, "domain", "left").withColumn("mail", F.when(F.col("mail").isNotNull(), put_right)).drop("domain", "better"))
 
     # Mailboxes under which unlike names write are shared; every two of a mailbox's names are held against each other.
     unlike = F.pandas_udf(_any_unlike, "boolean")
@@ -257,57 +287,64 @@ def link_authors(commits: DataFrame, projects: DataFrame, q: int = 3, jaccard: f
     persons = cut(_components(first))
     person = F.coalesce("person", F.concat_ws("\x1f", F.col("org_id").cast("string"), "author"))
     known = cut(keys.join(persons, ["org_id", "author"], "left").withColumn("person", person))
+    return _components(first.unionByName(_spelling_links(known, q, share)))
+
+
+def _domain_fixes(keys: DataFrame) -> DataFrame:
+    """(domain, better): domains one slip away from a domain that is ten times as frequent, found by equal spellings with one letter left out."""
+    domains = keys.filter("mail IS NOT NULL").groupBy(F.regexp_extract("mail", "@(.*)$", 1).alias("domain")).agg(F.count("*").alias("n"))
+    cuts = F.expr("array_distinct(array_append(transform(sequence(1, length(domain)), k -> concat(substring(domain, 1, k - 1), substring(domain, k + 1))), domain))")
+    each = domains.filter("length(domain) > 3").select("domain", "n", F.explode(cuts).alias("cut"))
+    near = each.alias("a").join(each.alias("b"), F.expr("a.cut = b.cut AND a.domain <> b.domain AND b.n >= 10 * a.n"))
+    one_slip = F.pandas_udf(lambda x, y: pd.Series([typing_distance(a, b, 1) <= 1 for a, b in zip(x, y)], dtype=bool), "boolean")
+    pairs = near.select(F.col("a.domain").alias("domain"), F.col("b.domain").alias("to"), F.col("b.n").alias("n")).distinct().filter(one_slip("domain", "to"))
+    return pairs.groupBy("domain").agg(F.max_by("to", F.struct("n", "to")).alias("better"))
+
+
+def _spelling_links(known: DataFrame, q: int, share: float) -> DataFrame:
+    """(org_id, a, b): links that the q-gram join of spellings with full names gives."""
+    own = ["org_id", "kind", "spelling"]
+    meant = [F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("kind"), F.col(c).alias("spelling"))) for c in ("named", "initial", "handle")]
+    each = known.withColumn("named", F.concat_ws(" ", "given", "family")).withColumn("named", F.when(F.col("given").isNotNull(), F.col("named")))
+    # What the mailboxes under a spelling spell of it, taken together.
+    spelt = [F.coalesce(F.contains("letters", F.col(c)), F.lit(False)).alias(f"{c}_spelt") for c in ("given", "family")]
+    each = each.select("org_id", "author", "person", *spelt, F.explode(F.array_compact(F.array(*meant))).alias("m")).select("org_id", "author", "person", "given_spelt", "family_spelt", "m.*")
+    whole = cut(each.groupBy(*own, "person").agg(F.min("author").alias("author"), F.max("given_spelt").alias("given_spelt"), F.max("family_spelt").alias("family_spelt")))
+    flags = [F.max(f"{c}_spelt").alias(f"{c}_spelt") for c in ("given", "family")]
+    spellings = cut(whole.groupBy(*own).agg(F.min("author").alias("author"), F.min("person").alias("person"), F.max("person").alias("person_to"), *flags))
 
-    names = cut(known.filter("given IS NOT NULL").groupBy("org_id", "full", "given", "family").agg(F.min("author").alias("author"), F.min("person").alias("person"), F.max("selfspelt").alias("selfspelt")))
-    typed = cut(_typing_links(names, q, jaccard))
-    formed = cut(_form_links(known, names))
-    return _components(first.unionByName(typed).unionByName(formed))
-
-
-def _typing_links(names: DataFrame, q: int, jaccard: float) -> DataFrame:
-    """Prefix-filtered q-gram join of full names inside an org, verified by soft weighted similarity."""
-    plain = names.groupBy("org_id", "full").agg(F.min("author").alias("author"), F.max("selfspelt").alias("selfspelt"))
     grams = F.pandas_udf(lambda s: s.map(lambda x: token_grams(x, q)), "array<string>")
-    each = plain.select("org_id", "full", F.explode(grams("full")).alias("gram"))
-    rare = each.groupBy("org_id", "gram").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("org_id", "full").orderBy("df", "gram")
-    size = Window.partitionBy("org_id", "full")
-    ranked = each.join(rare, ["org_id", "gram"]).withColumn("r", F.row_number().over(order)).withColumn("n", F.count("*").over(size))
-    # Of n grams the rarest n - ceil(j n) + 1 must share one with any name of Jaccard similarity j.
-    prefix = ranked.filter("r <= n - ceil(%s * n) + 1" % jaccard).select("org_id", "gram", "full", "n")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    near = F.expr(f"x.n >= {jaccard} * y.n AND y.n >= {jaccard} * x.n AND x.full < y.full")
-    pairs = x.join(y, [F.expr("x.org_id = y.org_id"), F.expr("x.gram = y.gram"), near]).select("x.org_id", F.col("x.full").alias("one"), F.col("y.full").alias("two")).distinct()
-    tokens = names.select("org_id", "full", F.explode(F.split("full", " ")).alias("token")).distinct()
-    total = names.select("org_id", "full").distinct().groupBy("org_id").agg(F.count("*").alias("all"))
-    weight = tokens.groupBy("org_id", "token").agg(F.count("*").alias("c")).join(total, "org_id").select("org_id", "token", F.log(1 + F.col("all") / F.col("c")).alias("w"))
-    side = lambda c: tokens.join(weight, ["org_id", "token"]).groupBy("org_id", F.col("full").alias(c)).agg(F.map_from_entries(F.collect_list(F.struct("token", "w"))).alias(f"w_{c}"))
-
-    def verify(a: pd.Series, b: pd.Series, wa: pd.Series, wb: pd.Series) -> pd.Series:
-        return pd.Series([same_by_typing(x, y, dict(p or {}) | dict(r or {})) for x, y, p, r in zip(a, b, wa, wb)])
-
-    good = pairs.join(side("one"), ["org_id", "one"]).join(side("two"), ["org_id", "two"]).filter(F.pandas_udf(verify, "boolean")("one", "two", "w_one", "w_two"))
-    p, r = plain.alias("p"), plain.alias("r")
-    linked = good.alias("g").join(p, F.expr("p.org_id = g.org_id AND p.full = g.one")).join(r, F.expr("r.org_id = g.org_id AND r.full = g.two"))
-    return linked.filter("NOT (p.selfspelt AND r.selfspelt)").select("g.org_id", F.col("p.author").alias("a"), F.col("r.author").alias("b"))
-
-
-def _form_links(known: DataFrame, names: DataFrame) -> DataFrame:
-    """Links of initials, nicknames and account names to the one person of the org that has the form."""
-    forms_of = F.pandas_udf(lambda g, f: pd.Series([person_forms(x, y) for x, y in zip(g, f)]), "array<string>")
-    fulls_of = F.pandas_udf(lambda g, f: pd.Series([[" ".join(sorted((x, f))) for x in full_given(g)[1:]] for g, f in zip(g, f)]), "array<string>")
-    forms = names.select("org_id", "person", "author", F.explode(forms_of("given", "family")).alias("form"))
-    forms = forms.unionByName(names.select("org_id", "person", "author", F.concat(F.lit("full:"), "full").alias("form")))
-    one = forms.groupBy("org_id", "form").agg(F.min("person").alias("p"), F.max("person").alias("p2"), F.min("author").alias("head")).filter("p = p2").drop("p2")
-    # What each author asks for, the surest first; names with both parts do not go by their account.
-    asks = (
-        known.filter("initial IS NOT NULL").select("org_id", "author", "person", F.col("initial").alias("form"))
-        .unionByName(known.filter("handle IS NOT NULL AND given IS NULL").select("org_id", "author", "person", F.col("handle").alias("form")))
-        .unionByName(names.select("org_id", "author", "person", F.explode(fulls_of("given", "family")).alias("full")).select("org_id", "author", "person", F.concat(F.lit("full:"), "full").alias("form")))
-    )
-    hits = asks.join(one, ["org_id", "form"]).filter("p <> person")
-    sure = hits.groupBy("org_id", "author").agg(F.min("p").alias("p"), F.max("p").alias("p2"), F.min("head").alias("head")).filter("p = p2")
-    return sure.select("org_id", F.col("author").alias("a"), F.col("head").alias("b"))
+    texts = spellings.select(*own).distinct()
+    long = texts.select(*own, F.explode(grams("spelling")).alias("gram"))
+    names = long.filter("kind = 'named'")
+    total = texts.filter("kind = 'named'").groupBy("org_id").agg(F.count("*").alias("all"))
+    weight = names.groupBy("org_id", "gram").agg(F.count("*").alias("df")).join(total, "org_id").select("org_id", "gram", F.log(1 + F.col("all") / F.col("df")).alias("w"))
+    # Grams of no full name weigh nothing here: no pair can share them, so the share is of what can be shared.
+    weighed = long.join(weight, ["org_id", "gram"])
+    heavy = Window.partitionBy(*own).orderBy(F.col("w").desc(), "gram")
+    before = F.coalesce(F.sum("w").over(heavy.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ranked = weighed.withColumn("before", before).withColumn("sum", F.sum("w").over(Window.partitionBy(*own)))
+    # What the grams after these weigh together is less than the share asked for, so a pair shares one of these.
+    prefix = ranked.filter(F.col("before") <= (1 - share) * F.col("sum")).select(*own, "gram")
+    target = names.select("org_id", "gram", F.col("spelling").alias("full"))
+    pairs = prefix.join(target, ["org_id", "gram"]).filter("NOT (kind = 'named' AND spelling = full)").select(*own, "full").distinct()
+
+    tokens = texts.select("org_id", "spelling", F.explode(F.split("spelling", " ")).alias("token")).distinct()
+    rare = tokens.groupBy("org_id", "token").agg(F.countDistinct("spelling").alias("c")).join(total, "org_id").select("org_id", "token", F.log(1 + F.col("all") / F.col("c")).alias("w"))
+    side = lambda c: tokens.join(rare, ["org_id", "token"]).groupBy("org_id", F.col("spelling").alias(c)).agg(F.map_from_entries(F.collect_list(F.struct("token", "w"))).alias(f"w_{c}"))
+    fulls = spellings.filter("kind = 'named'").select("org_id", F.col("spelling").alias("full"), F.col("author").alias("author2"), F.col("person").alias("person2"), F.col("person_to").alias("person3"), F.array("given_spelt", "family_spelt").alias("spelt2"))
+    sides = spellings.select(*own, F.array("given_spelt", "family_spelt").alias("spelt"))
+    known_pairs = pairs.join(side("spelling"), ["org_id", "spelling"]).join(side("full"), ["org_id", "full"]).join(sides, own).join(fulls, ["org_id", "full"])
+
+    def judge(s: pd.Series, f: pd.Series, k: pd.Series, x: pd.Series, y: pd.Series, wa: pd.Series, wb: pd.Series) -> pd.Series:
+        return pd.Series([verdict(*row[:5], dict(row[5] or {}) | dict(row[6] or {})) for row in zip(s, f, k, x, y, wa, wb)], dtype=object)
+
+    told = cut(known_pairs.withColumn("verdict", F.pandas_udf(judge, "string")("spelling", "full", "kind", "spelt", "spelt2", "w_spelling", "w_full")).filter("verdict IS NOT NULL").select(*own, "verdict", "author2", "person2", "person3"))
+    by = whole.select(*own, "author", "person")
+    slips = told.filter("verdict = 'slip'").join(by, own).filter("person <> person2").select("org_id", F.col("author").alias("a"), F.col("author2").alias("b"))
+    # Initials, nicknames and account names: one person of the org in all, and another than the one who asks.
+    one = told.filter("verdict = 'short'").groupBy(*own).agg(F.min("person2").alias("p"), F.max("person3").alias("p2"), F.min("author2").alias("b")).filter("p = p2")
+    return slips.unionByName(one.join(by, own).filter("person <> p").select("org_id", F.col("author").alias("a"), "b"))
 
 
 def author_pairs(linked: DataFrame) -> DataFrame:

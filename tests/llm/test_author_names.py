@@ -49,15 +49,33 @@ def test_mailbox_of_several_people_with_alike_ends(spark):
 
 
 def test_keys():
-    assert an.mailbox(" Ann+git@Firm.Exmaple. ") == ("ann", "firm.example")
+    assert an.mailbox(" Ann+git@Firm.Example. ") == ("ann", "firm.example")
     assert an.mailbox("12+ann@users.noreply.forge.example")[0] == "ann"
     assert an.split_person(["de", "la", "marski", "yuki"]) == ("yuki", "delamarski")
     assert an.author_keys("Odile O’Velbury, PhD", "")["full"] == "odile ovelbury"
-    assert an.author_keys("C. Körvane", "")["initial"] == "korvane|c"
+    assert an.author_keys("C. Körvane", "")["initial"] == "c korvane" and an.author_keys("E de la Korvane", "")["initial"] == "e delakorvane"
 
 
 def test_typing_distance_and_similarity():
     assert an.typing_distance("ulworth", "uwlorth") == 1 and an.typing_distance("abc", "abcdef") == 3 and an.typing_distance("", "a") == 1
-    assert an.same_by_typing("rosa thuland", "rosa thurland") and not an.same_by_typing("rosa thurland", "rosa thurborg") and not an.same_by_typing("ann li", "ann lo")
+    said = lambda a, b, kind="named", x=(0, 0), y=(0, 0): an.verdict(a, b, kind, x, y)
+    assert said("rosa thuland", "rosa thurland") == "slip" and said("rosa thurland", "rosa thurborg") is None and said("ann li", "ann lo") is None
+    assert said("thurlnad jhoannes", "johannes thurland") == "slip" and said("rosa velland", "rosa belland", "named", (1, 1), (1, 1)) is None and said("rosa velland", "rosa belland", "named", (1, 0), (1, 1)) == "slip"
+    assert said("bill zeldahl", "william zeldahl") == "short" == said("w zeldahl", "william zeldahl", "initial") == said("wzeldahl", "william zeldahl", "handle") and said("wz", "william zeldahl", "handle") is None
     rare, common = {"rosa": 0.2, "thurland": 3.0}, {"rosa": 3.0, "thurland": 0.2}
     assert an.soft_similarity("rosa thurland", "rosa velborg", common) > an.soft_similarity("rosa thurland", "rosa velborg", rare)
+
+
+def test_a_misspelt_domain_is_told_by_its_frequency(spark):
+    rows_ = [(1, f"Person{'abcdefghijklmno'[k]} Holm", f"p{k}@firm.example") for k in range(12)] + [(1, "", "p3@firm.exampel"), (1, "", "p4@firn.example"), (1, "", "p5@form.sample")]
+    commits = spark.createDataFrame(rows_, "project_id int, author_name string, author_email string")
+    got = {(r.author_a, r.author_b) for r in an.author_pairs(an.link_authors(commits, spark.createDataFrame([(1, 7)], "id int, org_id int"))).collect()}
+    assert got == {(" <p3@firm.exampel>", "Persond Holm <p3@firm.example>"), (" <p4@firn.example>", "Persone Holm <p4@firm.example>")}
+
+
+def test_a_common_given_name_joins_nobody(spark):
+    """A third of all names share a given name: no pair of them comes out of the join but through the family name."""
+    names = [f"Maximilian {a}{b}{c}" for a in ("Ul", "Ver", "Kor", "Hol") for b in ("ba", "di", "gro", "mu") for c in ("rens", "tigg", "pol")] + ["Maximilian Verdirens", "Maxi Ulbarens", "M. Kormupol"]
+    commits = spark.createDataFrame([(1, n, None) for n in names], "project_id int, author_name string, author_email string")
+    got = {(r.author_a, r.author_b) for r in an.author_pairs(an.link_authors(commits, spark.createDataFrame([(1, 7)], "id int, org_id int"))).collect()}
+    assert got == {("Maxi Ulbarens <>", "Maximilian Ulbarens <>"), ("M. Kormupol <>", "Maximilian Kormupol <>")}
