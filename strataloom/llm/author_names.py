@@ -331,15 +331,16 @@ def _spelling_links(known: DataFrame, q: int, share: float) -> DataFrame:
 
     tokens = texts.select("org_id", "spelling", F.explode(F.split("spelling", " ")).alias("token")).distinct()
     rare = tokens.groupBy("org_id", "token").agg(F.countDistinct("spelling").alias("c")).join(total, "org_id").select("org_id", "token", F.log(1 + F.col("all") / F.col("c")).alias("w"))
-    side = lambda c: tokens.join(rare, ["org_id", "token"]).groupBy("org_id", F.col("spelling").alias(c)).agg(F.map_from_entries(F.collect_list(F.struct("token", "w"))).alias(f"w_{c}"))
+    weights = cut(tokens.join(rare, ["org_id", "token"]).groupBy("org_id", "spelling").agg(F.map_from_entries(F.collect_list(F.struct("token", "w"))).alias("weights")))
     fulls = spellings.filter("kind = 'named'").select("org_id", F.col("spelling").alias("full"), F.col("author").alias("author2"), F.col("person").alias("person2"), F.col("person_to").alias("person3"), F.array("given_spelt", "family_spelt").alias("spelt2"))
     sides = spellings.select(*own, F.array("given_spelt", "family_spelt").alias("spelt"))
-    known_pairs = pairs.join(side("spelling"), ["org_id", "spelling"]).join(side("full"), ["org_id", "full"]).join(sides, own).join(fulls, ["org_id", "full"])
+    theirs = weights.select("org_id", F.col("spelling").alias("full"), F.col("weights").alias("weights2"))
+    known_pairs = pairs.join(sides, own).join(weights, ["org_id", "spelling"]).join(fulls.join(theirs, ["org_id", "full"]), ["org_id", "full"])
 
     def judge(s: pd.Series, f: pd.Series, k: pd.Series, x: pd.Series, y: pd.Series, wa: pd.Series, wb: pd.Series) -> pd.Series:
         return pd.Series([verdict(*row[:5], dict(row[5] or {}) | dict(row[6] or {})) for row in zip(s, f, k, x, y, wa, wb)], dtype=object)
 
-    told = cut(known_pairs.withColumn("verdict", F.pandas_udf(judge, "string")("spelling", "full", "kind", "spelt", "spelt2", "w_spelling", "w_full")).filter("verdict IS NOT NULL").select(*own, "verdict", "author2", "person2", "person3"))
+    told = cut(known_pairs.withColumn("verdict", F.pandas_udf(judge, "string")("spelling", "full", "kind", "spelt", "spelt2", "weights", "weights2")).filter("verdict IS NOT NULL").select(*own, "verdict", "author2", "person2", "person3"))
     by = whole.select(*own, "author", "person")
     slips = told.filter("verdict = 'slip'").join(by, own).filter("person <> person2").select("org_id", F.col("author").alias("a"), F.col("author2").alias("b"))
     # Initials, nicknames and account names: one person of the org in all, and another than the one who asks.

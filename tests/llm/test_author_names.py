@@ -67,10 +67,12 @@ def test_typing_distance_and_similarity():
 
 
 def test_a_misspelt_domain_is_told_by_its_frequency(spark):
-    rows_ = [(1, f"Person{'abcdefghijklmno'[k]} Holm", f"p{k}@firm.example") for k in range(12)] + [(1, "", "p3@firm.exampel"), (1, "", "p4@firn.example"), (1, "", "p5@form.sample")]
+    given = "Oswin Tamsin Beatriz Quentin Farid Leena Ulrike Wanja Zeno Ximena Hye Dilnoza".split()
+    family = "Holm Brack Vesper Lund Tarn Quill Moss Yarrow Fenn Dace Ruck Ilex".split()
+    rows_ = [(1, f"{g} {f}", f"{chr(97 + k)}qz@firm.example") for k, (g, f) in enumerate(zip(given, family))] + [(1, "", "dqz@firm.exampel"), (1, "", "eqz@firn.example"), (1, "", "fqz@form.sample")]
     commits = spark.createDataFrame(rows_, "project_id int, author_name string, author_email string")
     got = {(r.author_a, r.author_b) for r in an.author_pairs(an.link_authors(commits, spark.createDataFrame([(1, 7)], "id int, org_id int"))).collect()}
-    assert got == {(" <p3@firm.exampel>", "Persond Holm <p3@firm.example>"), (" <p4@firn.example>", "Persone Holm <p4@firm.example>")}
+    assert got == {(" <dqz@firm.exampel>", "Quentin Lund <dqz@firm.example>"), (" <eqz@firn.example>", "Farid Tarn <eqz@firm.example>")}
 
 
 def test_a_common_given_name_joins_nobody(spark):
