@@ -76,14 +76,14 @@ SELECT project_id, path_a, path_b, pair AS pair_commits, a AS a_commits, b AS b_
   round(pair * n / CAST(a * b AS DOUBLE), 6) AS lift, round(log2(pair * n / CAST(a * b AS DOUBLE)), 6) AS pmi FROM s WHERE pair >= 2"""
 
 
-def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ranked(spark: SparkSession, sf_dir: str, flows: bool) -> DataFrame:
     scores = outranking.query_scores(table(spark, sf_dir, "search_queries"), table(spark, sf_dir, "symbols"))
-    return outranking.net_flow_ranking(scores, ["query_id"], "symbol_id", {"text": 1.0, "vector": 1.0})
+    return outranking.ranked_scores(scores, ["query_id"], "symbol_id", {"text": 1.0, "vector": 1.0}, flows)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols that are in place 8 or better in both scores."""
-    return _ranked(spark, sf_dir).filter("place_text <= 8 AND place_vector <= 8").select("query_id", "symbol_id")
+    """Symbols that are in place 8 or better in both scores; the case is defined by places, so the flows are left out."""
+    return _ranked(spark, sf_dir, False).filter("place_text <= 8 AND place_vector <= 8").select("query_id", "symbol_id")
 
 
 def p7_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,10 +91,12 @@ def p7_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     best = Window.partitionBy("query_id").orderBy(F.round("net_flow", 9).desc(), "symbol_id")
-    top = _ranked(spark, sf_dir).withColumn("rank", F.row_number().over(best)).filter("rank <= 10")
+    top = _ranked(spark, sf_dir, True).withColumn("rank", F.row_number().over(best)).filter("rank <= 10")
     return top.select("query_id", "rank", "symbol_id", "place_text", "place_vector", F.round("net_flow", 6).alias("net_flow"))
 
 
+#: The preference by its definition, for every pair.
+_PREFERS = f"least(greatest(({{}} - {outranking.INDIFFERENCE}) / ({outranking.PREFERENCE} - {outranking.INDIFFERENCE}), 0), 1)"
 _P7 = """
 WITH q AS (SELECT query_id, project_id, list_filter(string_split(lower(coalesce(query_text, '')), ' '), lambda w: w <> '') AS words, embedding FROM search_queries),
 s AS (SELECT id AS symbol_id, project_id, coalesce(fts_vector, '') AS fts, embedding FROM symbols),
@@ -112,7 +114,10 @@ P7_FOUND_SQL = _P7 + "SELECT query_id, symbol_id FROM places WHERE place_text <=
 P7_RANKING_SQL = _P7 + """,
 per AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM places),
 pct AS (SELECT *, CASE WHEN n > 1 THEN (n - place_text) / CAST(n - 1 AS DOUBLE) ELSE 1.0 END AS pt, CASE WHEN n > 1 THEN (n - place_vector) / CAST(n - 1 AS DOUBLE) ELSE 1.0 END AS pv FROM per),
-flow AS (SELECT *, ((n * pt - sum(pt) OVER (PARTITION BY query_id)) + (n * pv - sum(pv) OVER (PARTITION BY query_id))) / 2 / greatest(n - 1, 1) AS net FROM pct),
+tt AS (SELECT query_id, pt AS y, count(*) AS c FROM pct GROUP BY 1, 2), tv AS (SELECT query_id, pv AS y, count(*) AS c FROM pct GROUP BY 1, 2),
+ft AS (SELECT a.query_id, a.y, sum(b.c * (""" + _PREFERS.format("a.y - b.y") + " - " + _PREFERS.format("b.y - a.y") + """)) AS f FROM tt a JOIN tt b USING (query_id) GROUP BY 1, 2),
+fv AS (SELECT a.query_id, a.y, sum(b.c * (""" + _PREFERS.format("a.y - b.y") + " - " + _PREFERS.format("b.y - a.y") + """)) AS f FROM tv a JOIN tv b USING (query_id) GROUP BY 1, 2),
+flow AS (SELECT pct.*, (ft.f + fv.f) / 2 / greatest(n - 1, 1) AS net FROM pct JOIN ft ON ft.query_id = pct.query_id AND ft.y = pct.pt JOIN fv ON fv.query_id = pct.query_id AND fv.y = pct.pv),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(net, 9) DESC, symbol_id) AS rank FROM flow)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, symbol_id, place_text, place_vector, round(net, 6) AS net_flow FROM r WHERE rank <= 10"""
 

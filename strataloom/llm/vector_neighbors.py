@@ -19,7 +19,7 @@ either side counts for both. Against brute force on the test tables more than
 0.99 of the pairs are found (tests/llm/test_vector_neighbors.py).
 
 Defined results: null, short, long, all-zero or not finite vectors are left out
-(``usable_vector``); a null id is left out; ties in the rounded similarity go to
+(``usable``); a null id is left out; ties in the rounded similarity go to
 the smaller id; a repeated (id, vector) row counts once; empty input gives no rows.
 """
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataloom.llm.outranking import usable_vector
+from strataloom.functions.vectors import usable
 
 SAMPLE_BOUND = 65_536
 CELL_ROWS = 512
@@ -202,7 +202,7 @@ def _fit(vectors: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def nearest_neighbors(vectors: DataFrame, id_col: str, vector_col: str, k: int = 5, floor: float = 0.9, dim: int = 64, probes: int = 3) -> DataFrame:
     """(id, neighbor, similarity): up to ``k`` most similar others of each vector, at or above ``floor``."""
     spark: SparkSession = vectors.sparkSession
-    clean = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v")).filter(F.col("id").isNotNull() & usable_vector(F.col("v"), dim).isNotNull())
+    clean = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v"), dim).isNotNull())
     made = _fit(clean, dim)
     if made is None:
         return spark.createDataFrame([], "id bigint, neighbor bigint, similarity double")

@@ -179,6 +179,16 @@ def test_cooccurrence_against_brute_force(spark):
     assert cooccurrence.cooccurrence(m.limit(0), b.limit(0), "g0", "k0", "i0").count() == 0
 
 
+def prefers(d):
+    return min(max((d - outranking.INDIFFERENCE) / (outranking.PREFERENCE - outranking.INDIFFERENCE), 0), 1)
+
+
+def test_places_of_a_heavy_tailed_score_fill_their_buckets(spark):
+    df = spark.range(2000).select(F.lit(1).alias("q"), F.col("id").alias("i"), F.exp(F.col("id") / 3.0).alias("s"))
+    ties = outranking.score_places(df, ["q"], "s", 16)
+    assert [r.place for r in ties.orderBy(F.desc("value")).limit(3).collect()] == [1, 2, 3] and ties.count() == 2000
+
+
 def test_net_flow_against_brute_force(spark):
     rnd = random.Random(5)
     data = [(q, i, rnd.choice([None, float("nan"), 0.0, 1.0, 2.0, 2.0]), rnd.choice([rnd.random(), 0.5, None])) for q in (1, 2) for i in range(60)] + [(3, 1, 5.0, None), (None, 1, 1.0, 1.0)]
@@ -195,7 +205,7 @@ def test_net_flow_against_brute_force(spark):
             pct = {i: (n - p) / (n - 1) if n > 1 else 1.0 for i, p in place.items()}
             for i in flow:
                 assert got[q, i][f"place_{'s' if c == 2 else 't'}"] == place[i]
-                flow[i] += weight * sum(pct[i] - pct[j] for j in pct) / max(n - 1, 1)
+                flow[i] += weight * sum(prefers(pct[i] - pct[j]) - prefers(pct[j] - pct[i]) for j in pct) / max(n - 1, 1)
         for i, f in flow.items():
             assert got[q, i].net_flow == pytest.approx(f, abs=1e-9)
     assert outranking.net_flow_ranking(df.limit(0), ["q"], "i", {"s": 1.0}).count() == 0
