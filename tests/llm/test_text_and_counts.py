@@ -37,6 +37,21 @@ def test_automaton_equals_a_known_encoder(vocabulary, text):
     assert made.decode(ids).decode() == text
 
 
+def test_tables_equal_the_walk_through_the_gadgets(vocabulary):
+    made, _ = vocabulary
+    gadgets = bpe.MergeGadgets(made.labels)
+    rnd = random.Random(6)
+    for _ in range(60_000):
+        t, u = (rnd.randrange(rnd.choice((300, 3000, len(made.labels)))) for _ in range(2))
+        assert made.arc(t, u) is gadgets.arc(t, u)
+    for t, u in list(gadgets.merge)[::37]:
+        assert not made.arc(t, u)
+    words = [bytes(rnd.choice(b" etaoinshrdlu\xc3\xa9\xe6\x97\xa5=-") for _ in range(rnd.randrange(40))) for _ in range(1500)]
+    assert all(made.encode(w) == gadgets.encode(w) for w in words)
+    with pytest.raises(ValueError):
+        bpe.MergeAutomaton([b"a", b"b"]).encode(b"c")
+
+
 def test_small_automaton_by_hand():
     labels = [b"a", b"b", b"aa", b"ab", b"aab"]
     made = bpe.MergeAutomaton(labels)
