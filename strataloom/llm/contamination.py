@@ -1,20 +1,23 @@
 """Evaluation texts leaking into a corpus, by template canonicalisation.
 
-Both sides are reduced to canonical words: lower case, punctuation and layout
-dropped, numbers, names that mix letters and digits, and units after a number
-replaced by typed placeholders. Windows of ``WINDOW`` canonical words of the
-items are hash-joined with those of the documents. A document whose windows
-cover a share of an item is verified: runs that match on one diagonal are
-joined over small edits, placeholder slots must be filled consistently (one
-value of the item always by one value of the document), and the share of the
-item's own words covered decides.
+Both sides are reduced to canonical words: lower case, punctuation and layout dropped, numbers,
+words that mix letters and digits, units after a number and currencies before one replaced by typed
+placeholders. In a second reading capitalised words inside a sentence are names and get a placeholder
+too, so that a question re-asked with other names, numbers and units reads the same; a text in another
+letter case reads the same in the first. Windows of ``WINDOW`` canonical words of the items are
+hash-joined with those of the documents; beside the plain windows there are gapped ones, which leave
+one inner word open, so an item of which every fifth word was changed is still met; they count where they
+go on for ``CHAIN`` words or more, as phrases of one mould differ in single words too. Every document
+with a window is verified: words that match on one diagonal form runs, runs are joined over small
+edits, placeholder slots must be filled consistently (one value of the item always by one value of the
+document), and the share of the item's own words covered decides.
 
 Sentences that stand in several items (stock openings) are not an item's own
 wording and give no windows.
 
-Scale. The items are a stated query set: they are taken in blocks of at most
-``ITEM_BLOCK``, each broadcast, and every block is held against all documents in
-one narrow pass without a shuffle; a document is handled whole and alone.
+Scale. The items are a stated query set: they are broadcast in blocks of at most ``ITEM_CHARS``
+characters, and a block is held against all documents in one narrow pass without a shuffle; a
+document is handled whole. Up to that size, as here, there is one block and one pass.
 
 Defined results: null, empty and blank texts match nothing; items without own
 wording leak nowhere; repeated items (equal texts) share their sentences and are
@@ -27,7 +30,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,55 +40,110 @@ from pyspark.sql import functions as F
 from strataloom.session import cut
 
 WINDOW = 5
-ITEM_BLOCK = 20_000
+#: Characters of item texts broadcast at once.
+ITEM_CHARS = 32_000_000
 #: Edits bridged between two runs, in words of the item.
 EDIT = 3
-#: Least share of an item's own words that windows must cover before edits are bridged.
-EXACT = 0.25
-_WORD = re.compile(r"[^\W_]+")
+#: Least words of a chain of gapped windows.
+CHAIN = 2 * WINDOW
+#: Documents looked at in one stroke; changes only speed.
+STROKE = 256
+#: Offsets of the words of a window: plain, and with one inner word left open.
+PATTERNS = [tuple(range(WINDOW))] + [tuple(k for k in range(WINDOW + 1) if k != gap) for gap in range(1, WINDOW)]
+_PIECE = re.compile(r"[^\W_]+|[.!?:\n。！？]")
+_MARKS = frozenset(".!?:\n。！？")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+")
-#: Units that follow a number.
+#: Units that follow a number, and currencies that stand before one.
 UNITS = frozenset("ms s sec secs second seconds min mins minute minutes h hour hours day days week weeks month months year years b kb mb gb tb px percent km m cm mm kg g mg".split())
-_NUMBER, _NAME, _UNIT = "\x01", "\x02", "\x03"
+CURRENCIES = frozenset("usd eur gbp jpy cny inr chf pln rub try vnd".split())
+NUMBER, NAME, UNIT, FIRST_WORD = 1, 2, 3, 4
+_DIGITS, _UNIT_AFTER, _UNIT_BEFORE, _CAPITAL, _MARK, _BITS = 1, 2, 4, 8, 16, 5
 
 
-def canonical_words(text: str) -> tuple[list[str], list[str]]:
-    """(canonical words, words as written in lower case)."""
-    raw = _WORD.findall(text.lower())
-    out = []
-    for w in raw:
-        if w.isalpha():
-            out.append(_UNIT if w in UNITS and out and out[-1] == _NUMBER else w)
-        else:
-            out.append(_NUMBER if w.isdigit() else _NAME)
-    return out, raw
-
-
-class _Ids(dict):
-    """Word as written to the id of its canonical word (0: in no item); units are told by their place, in ``canonical_ids``."""
+class Codes(dict):
+    """A piece of text as written to the id of its canonical word (0: in no item) and what it may be by its place."""
 
     def __init__(self, known: dict[str, int]):
         super().__init__()
         self.known = known
-        self.number, self.unit = known.get(_NUMBER, 0), known.get(_UNIT, 0)
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, piece: str) -> int:
         if len(self) > 1_000_000:
             self.clear()
-        plain = word.isalpha()
-        found = self.known.get(word if plain else _NUMBER if word.isdigit() else _NAME, 0)
-        # Two bits beside the id: is a number, may be a unit.
-        self[word] = code = found * 4 + 2 * word.isdigit() + (plain and word in UNITS)
+        word = piece.lower()
+        if piece in _MARKS:
+            code = _MARK
+        elif not word.isalpha():
+            code = (NUMBER << _BITS | _DIGITS) if word.isdigit() else NAME << _BITS
+        else:
+            capital = piece[0].isupper() and len(piece) > 1 and not piece.isupper()
+            code = self.known.get(word, 0) << _BITS | _UNIT_AFTER * (word in UNITS) | _UNIT_BEFORE * (word in CURRENCIES) | _CAPITAL * capital
+        self[piece] = code
         return code
 
 
-def canonical_ids(raw: list[str], ids: _Ids) -> np.ndarray:
-    code = np.array(list(map(ids.__getitem__, raw)), dtype=np.uint64)
-    out = code >> np.uint64(2)
-    if len(code) > 1:
-        unit = ((code[:-1] & np.uint64(2)) > 0) & ((code[1:] & np.uint64(1)) > 0)
-        out[1:][unit] = ids.unit
-    return out
+def read_words(pieces: list[str], codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which pieces are words, ids in the first reading, ids with names as placeholders)."""
+    code = np.fromiter(map(codes.__getitem__, pieces), dtype=np.uint64, count=len(pieces))
+    word = np.flatnonzero((code & _MARK) == 0)
+    after_mark = np.ones(len(pieces), dtype=bool)
+    after_mark[1:] = (code[:-1] & _MARK) > 0
+    code, starts = code[word], after_mark[word]
+    plain = code >> _BITS
+    digits = (code & _DIGITS) > 0
+    plain[1:][digits[:-1] & ((code[1:] & _UNIT_AFTER) > 0)] = UNIT
+    plain[:-1][digits[1:] & ((code[:-1] & _UNIT_BEFORE) > 0)] = UNIT
+    named = plain.copy()
+    named[((code & _CAPITAL) > 0) & ~starts] = NAME
+    return word, plain, named
+
+
+def window_hashes(ids: np.ndarray, offsets: Sequence[int], seed: int, same: np.ndarray | None = None) -> np.ndarray:
+    """One 64-bit hash per place; 0 where a word is unknown (id 0) or the window leaves its text (``same``: number of the text)."""
+    n = len(ids) - offsets[-1]
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    h = np.full(n, seed + 1, dtype=np.uint64)
+    known = np.ones(n, dtype=bool)
+    with np.errstate(over="ignore"):
+        for k in offsets:
+            part = ids[k : k + n]
+            h = (h ^ part) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+            known &= part != 0
+    if same is not None:
+        known &= same[:n] == same[offsets[-1] :]
+    h[~known] = 0
+    return h
+
+
+def _readings(plain: np.ndarray, named: np.ndarray, short: Sequence[int], same: np.ndarray | None = None) -> Iterator[tuple[int, tuple[int, ...], np.ndarray]]:
+    """(seed, offsets, hashes) of every kind of window; in the second reading only those that a name makes different."""
+    for seed, offsets in enumerate(PATTERNS):
+        yield seed, offsets, window_hashes(plain, offsets, seed, same)
+    unlike = np.flatnonzero(plain != named)
+    if len(unlike):
+        offsets, seed = PATTERNS[0], len(PATTERNS)
+        h = window_hashes(named, offsets, seed, same)
+        near = np.zeros(len(h), dtype=bool)
+        for k in offsets:
+            at = unlike - k
+            near[at[(at >= 0) & (at < len(h))]] = True
+        h[~near] = 0
+        yield seed, offsets, h
+    for size in short:
+        yield len(PATTERNS) + size, tuple(range(size)), window_hashes(plain, tuple(range(size)), len(PATTERNS) + size, same)
+
+
+def canonical_words(text: str) -> list[str]:
+    """The canonical words of a text by themselves, placeholders as control characters: what sentences are compared by."""
+    known: dict[str, int] = {}
+    pieces = _PIECE.findall(text)
+    for piece in pieces:
+        known.setdefault(piece.lower(), len(known) + FIRST_WORD)
+    word, plain, _ = read_words(pieces, Codes(known)) if pieces else ((), (), ())
+    names = {i: w for w, i in known.items()} | {NUMBER: "\x01", NAME: "\x02", UNIT: "\x03"}
+    return [names[i] for i in np.asarray(plain).tolist()]
 
 
 class ItemWindows:
@@ -93,33 +151,38 @@ class ItemWindows:
 
     def __init__(self, items: list[tuple[int, str]], stock: dict[int, set[str]] | None = None):
         """``stock``: the keys of each item's sentences that are not its own, if ``items`` are not all there are."""
-        texts = {}
-        for item, text in items:
-            if text and text.strip():
-                texts[item] = [canonical_words(s) for s in _SENTENCE.split(text)]
+        texts = {item: [(canonical_words(s), s) for s in _SENTENCE.split(text)] for item, text in items if text and text.strip()}
         seen = Counter(key for sentences in texts.values() for key in {tuple(c) for c, _ in sentences})
         alike = defaultdict(list)
         for item, sentences in texts.items():
             alike[tuple(tuple(c) for c, _ in sentences)].append(item)
         copies = {item: len(group) for group in alike.values() for item in group}
-        self.words: dict[int, tuple[list[str], list[str]]] = {}
+        own: dict[int, list[str]] = {}
+        known: dict[str, int] = {}
         for item, sentences in texts.items():
-            own = [(c, r) for c, r in sentences if (seen[tuple(c)] <= copies[item] if stock is None else sentence_key(c) not in stock[item])]
-            canon, raw = sum((c for c, _ in own), []), sum((r for _, r in own), [])
-            if canon:
-                self.words[item] = canon, raw
-        self.ids = {w: i + 1 for i, w in enumerate(sorted({w for c, _ in self.words.values() for w in c}))}
-        hashes, where = [], []
-        for item, (canon, _) in self.words.items():
-            h = window_hashes(np.array([self.ids[w] for w in canon], dtype=np.uint64), min(WINDOW, len(canon)))
-            hashes.append(h)
-            where += [(item, p) for p in range(len(h))]
-        flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+            said = [s for c, s in sentences if c and (seen[tuple(c)] <= copies[item] if stock is None else sentence_key(c) not in stock[item])]
+            if said:
+                own[item] = _PIECE.findall("\n".join(said))
+                for piece in own[item]:
+                    known.setdefault(piece.lower(), len(known) + FIRST_WORD)
+        self.codes = Codes(known)
+        #: Item to (words as written in lower case, whether each is a slot).
+        self.words: dict[int, tuple[list[str], np.ndarray]] = {}
+        read = {}
+        for item, pieces in own.items():
+            word, plain, named = read_words(pieces, self.codes)
+            self.words[item] = [pieces[k].lower() for k in word], (named == NUMBER) | (named == NAME)
+            read[item] = plain, named
+        self.short = sorted({len(p) for p, _ in read.values() if len(p) < WINDOW})
+        hashes, where = [np.empty(0, np.uint64)], [np.empty((0, 3), np.int64)]
+        for item, (plain, named) in read.items():
+            for seed, _, h in _readings(plain, named, [len(plain)] if len(plain) < WINDOW else []):
+                at = np.flatnonzero(h)
+                hashes.append(h[at])
+                where.append(np.stack([np.full(len(at), item), at, np.full(len(at), seed)], axis=1))
+        flat = np.concatenate(hashes)
         order = np.argsort(flat, kind="stable")
-        self.hashes = flat[order]
-        self.where = np.array(where, dtype=np.int64).reshape(-1, 2)[order]
-        self.lookup = _Ids(self.ids)
-        self.short = sorted({len(c) for c, _ in self.words.values() if len(c) < WINDOW})
+        self.hashes, self.where = flat[order], np.concatenate(where)[order]
 
 
 def sentence_key(canon: list[str]) -> str:
@@ -131,7 +194,7 @@ def _item_sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         rows = []
         for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if text.strip():
-                keys = [sentence_key(canonical_words(s)[0]) for s in _SENTENCE.split(text)]
+                keys = [sentence_key(c) for c in map(canonical_words, _SENTENCE.split(text)) if c]
                 whole = hashlib.sha256(" ".join(keys).encode()).hexdigest()
                 rows += [(item, whole, key) for key in set(keys)]
         item, whole, key = zip(*rows) if rows else ((),) * 3
@@ -146,112 +209,119 @@ def stock_sentences(items: DataFrame) -> DataFrame:
     return held.join(seen, "key").join(copies, "whole").filter("seen > copies").groupBy("item_id").agg(F.collect_set("key").alias("stock"))
 
 
-def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
-    """One 64-bit hash per window; windows with an unknown word (id 0) get 0."""
-    n = len(ids) - size + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    h = np.full(n, size, dtype=np.uint64)
-    known = np.ones(n, dtype=bool)
-    with np.errstate(over="ignore"):
-        for k in range(size):
-            part = ids[k : k + n]
-            h = (h ^ part) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-            known &= part != 0
-    h[~known] = 0
-    return h
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it in any of the columns."""
+    out = np.ones(len(columns[0]), dtype=bool)
+    if len(out):
+        out[1:] = False
+        for c in columns:
+            out[1:] |= c[1:] != c[:-1]
+    return out
 
 
-def covered_share(canon: list[str], raw: list[str], doc_raw: list[str], hits: list[tuple[int, int]], size: int) -> float:
-    """Share of the item's words covered by runs of the document. ``hits`` has (item position, document position)."""
-    by_diagonal = defaultdict(list)
-    for i, d in hits:
-        by_diagonal[d - i].append(i)
-    runs = []  # item begin, end, document begin
-    for diagonal, starts in by_diagonal.items():
-        starts.sort()
-        begin = end = None
-        for i in starts:
-            if begin is None or i > end:
-                if begin is not None:
-                    runs.append((begin, end, begin + diagonal))
-                begin, end = i, i + size
-            else:
-                end = i + size
-        runs.append((begin, end, begin + diagonal))
-    slots: dict[tuple[str, str], Counter] = defaultdict(Counter)
-    for begin, end, at in runs:
-        for i in range(begin, end):
-            if canon[i] in (_NUMBER, _NAME):
-                slots[canon[i], raw[i]][doc_raw[at + i - begin]] += 1
-    filled = {slot: values.most_common(1)[0][0] for slot, values in slots.items()}
-    hit = np.zeros(len(canon), dtype=bool)
-    for begin, end, at in runs:
-        for i in range(begin, end):
-            if canon[i] not in (_NUMBER, _NAME) or doc_raw[at + i - begin] == filled[canon[i], raw[i]]:
-                hit[i] = True
-    runs.sort()
-    for k, (_, end, at_end) in enumerate((b, e, d + e - b) for b, e, d in runs):
-        for begin, _, at in runs[k + 1 :]:
-            gap, there = begin - end, at - at_end
+def covered_share(words: list[str], slot: np.ndarray, document: list[str], item_at: np.ndarray, diagonal: np.ndarray) -> float:
+    """Share of the item's words covered by the document, of which ``item_at`` are matched at ``item_at + diagonal``; sorted by diagonal and place."""
+    begins = np.flatnonzero(_changes(diagonal, item_at - np.arange(len(item_at))))
+    at_slot = np.flatnonzero(slot[item_at])
+    values: dict[str, Counter] = defaultdict(Counter)
+    for k in at_slot.tolist():
+        values[words[item_at[k]]][document[item_at[k] + diagonal[k]]] += 1
+    filled = {word: min(seen.items(), key=lambda x: (-x[1], x[0]))[0] for word, seen in values.items()}
+    good = np.ones(len(item_at), dtype=bool)
+    for k in at_slot.tolist():
+        good[k] = document[item_at[k] + diagonal[k]] == filled[words[item_at[k]]]
+    hit = np.zeros(len(words), dtype=bool)
+    hit[item_at[good]] = True
+    ends = np.r_[begins[1:], len(item_at)] - 1
+    runs = sorted(zip(item_at[begins].tolist(), (item_at[ends] + 1).tolist(), (item_at[begins] + diagonal[begins]).tolist()))
+    for k, (begin, end, at) in enumerate(runs):
+        for begin2, _, at2 in runs[k + 1 :]:
+            gap, there = begin2 - end, at2 - (at + end - begin)
             if gap > EDIT:
                 break
             if 0 < gap and 0 <= there <= EDIT + 1:
-                hit[end:begin] = True
+                hit[end:begin2] = True
                 break
     return float(hit.mean())
 
 
-def document_matches(text: str, items: ItemWindows, at_least: float) -> list[tuple[int, float]]:
-    """(item, covered share) of the items that the text holds."""
-    raw = _WORD.findall(text.lower())
-    return _matches(raw, canonical_ids(raw, items.lookup), items, at_least)
-
-
-def _matches(raw: list[str], ids: np.ndarray, items: ItemWindows, at_least: float) -> list[tuple[int, float]]:
-    out = []
-    if not len(items.hashes):
+def matches(texts: Sequence[str], items: ItemWindows, at_least: float) -> list[tuple[int, int, float]]:
+    """(number of the text, item, covered share) of the items that the texts hold."""
+    out: list[tuple[int, int, float]] = []
+    pieces, sizes = [], []
+    for text in texts:
+        found = _PIECE.findall(text)
+        pieces += found
+        pieces.append("\n")
+        sizes.append(len(found) + 1)
+    if not len(items.hashes) or not pieces:
         return out
-    for size in [WINDOW, *items.short]:
-        h = window_hashes(ids, size)
+    word, plain, named = read_words(pieces, items.codes)
+    text_of = np.repeat(np.arange(len(sizes)), sizes)[word]
+    hits = []
+    for seed, offsets, h in _readings(plain, named, items.short, text_of):
         at = np.flatnonzero(h)
-        if not len(at):
-            continue
         lo = np.searchsorted(items.hashes, h[at], "left")
         ok = lo < len(items.hashes)
         ok[ok] = items.hashes[lo[ok]] == h[at[ok]]
         if not ok.any():
             continue
         at, lo = at[ok], lo[ok]
-        hi = np.searchsorted(items.hashes, h[at], "right")
-        count = hi - lo
-        doc_pos = np.repeat(at, count)
-        slot = np.repeat(lo, count) + np.arange(len(doc_pos)) - np.repeat(np.cumsum(count) - count, count)
-        item, pos = items.where[slot, 0], items.where[slot, 1]
-        order = np.argsort(item, kind="stable")
-        item, pos, doc_pos = item[order], pos[order], doc_pos[order]
-        bounds = np.flatnonzero(np.r_[True, item[1:] != item[:-1], True])
-        for b, e in zip(bounds[:-1], bounds[1:]):
-            words, written = items.words[int(item[b])]
-            # What windows cover without any edit must reach EXACT of the item.
-            exact = np.zeros(len(words), dtype=bool)
-            for k in range(size):
-                exact[pos[b:e] + k] = True
-            if exact.sum() < EXACT * len(words):
-                continue
-            share = covered_share(words, written, raw, list(zip(pos[b:e].tolist(), doc_pos[b:e].tolist())), size)
-            if share >= at_least:
-                out.append((int(item[b]), share))
+        count = np.searchsorted(items.hashes, h[at], "right") - lo
+        place = np.repeat(at, count)
+        slot = np.repeat(lo, count) + np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count)
+        item, pos, kind = items.where[slot].T
+        right = kind == seed
+        for k in offsets:
+            hits.append(np.stack([text_of[place[right]], item[right], pos[right] + k, place[right] - pos[right], np.full(int(right.sum()), 0 < seed < len(PATTERNS))]))
+    if not hits:
+        return out
+    number, item, item_at, diagonal, gapped = np.concatenate(hits, axis=1)
+    if not len(number):
+        return out
+    order = np.lexsort((gapped, item_at, diagonal, item, number))
+    number, item, item_at, diagonal, gapped = number[order], item[order], item_at[order], diagonal[order], gapped[order] > 0
+    keep = _changes(number, item, diagonal, item_at)
+    number, item, item_at, diagonal, gapped = number[keep], item[keep], item_at[keep], diagonal[keep], gapped[keep]
+    # Gapped windows count in chains only, in which no two words running are missing.
+    links = _changes(number, item, diagonal)
+    links[1:] |= item_at[1:] > item_at[:-1] + 2
+    chain = np.cumsum(links) - 1
+    keep = ~gapped | (np.bincount(chain)[chain] >= CHAIN)
+    number, item, item_at, diagonal = number[keep], item[keep], item_at[keep], diagonal[keep]
+    if not len(number):
+        return out
+    bounds = np.flatnonzero(np.append(_changes(number, item), True))
+    # Runs can be lengthened by EDIT words each at most; what can not reach the share is not looked at.
+    runs = np.add.reduceat(_changes(number, item, diagonal, item_at - np.arange(len(item_at))), bounds[:-1])
+    length = np.array([len(items.words[i][0]) for i in item[bounds[:-1]].tolist()])
+    may = np.diff(bounds) + EDIT * runs >= at_least * length
+    lower: dict[int, list[str]] = {}
+    first = np.searchsorted(text_of, np.arange(len(sizes)))
+    for b, e in zip(bounds[:-1][may].tolist(), bounds[1:][may].tolist()):
+        of = int(number[b])
+        if of not in lower:
+            last = first[of + 1] if of + 1 < len(sizes) else len(word)
+            lower.clear()  # texts come in order
+            lower[of] = [pieces[k].lower() for k in word[first[of] : last]]
+        words, slots = items.words[int(item[b])]
+        share = covered_share(words, slots, lower[of], item_at[b:e], diagonal[b:e] - first[of])
+        if share >= at_least and share > 0:
+            out.append((of, int(item[b]), share))
     return out
 
 
+def document_matches(text: str, items: ItemWindows, at_least: float) -> list[tuple[int, float]]:
+    """(item, covered share) of the items that the text holds."""
+    return [(item, share) for _, item, share in matches([text], items, at_least)]
+
+
 def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", at_least: float = 0.5) -> DataFrame:
     """(doc_id, item_id, share): the documents that hold at least ``at_least`` of an item's own wording."""
     spark: SparkSession = documents.sparkSession
     source = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     stated = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
-    blocks = max(1, -(-stated.count() // ITEM_BLOCK))
+    blocks = max(1, -(-(stated.agg(F.sum(F.length("text"))).first()[0] or 0) // ITEM_CHARS))
     if blocks > 1:
         # Shared sentences are counted over all items, before the blocks are cut.
         stated = stated.groupBy("item_id").agg(F.max("text").alias("text"))
@@ -267,8 +337,10 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
             windows = shared.value
             for batch in batches:
                 found: list[tuple[int, int, float]] = []
-                for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    found += [(doc, item, share) for item, share in document_matches(value, windows, at_least)]
+                for begin in range(0, batch.num_rows, STROKE):
+                    part = batch.slice(begin, STROKE)
+                    ids = part.column(0).to_pylist()
+                    found += [(ids[k], item, share) for k, item, share in matches(part.column(1).to_pylist(), windows, at_least)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.float64())], names=["doc_id", "item_id", "share"]
                 )

@@ -94,7 +94,7 @@ def test_leaks(spark):
 
 
 def test_leaks_in_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(con, "ITEM_BLOCK", 1)
+    monkeypatch.setattr(con, "ITEM_CHARS", 60)
     assert leaks(spark, [(1, ITEM), (2, OTHER)]) == [(1, 1), (2, 2)]
 
 
@@ -103,7 +103,7 @@ def test_stock_sentences_are_told_over_all_blocks(spark, monkeypatch):
     items = [(i, f"{stock} Own words {w}.") for i, w in enumerate(("flint", "yoke", "plume"))]
     docs = [(1, stock), (2, items[1][1])]
     whole = leaks(spark, docs, items)
-    monkeypatch.setattr(con, "ITEM_BLOCK", 1)
+    monkeypatch.setattr(con, "ITEM_CHARS", 60)
     assert leaks(spark, docs, items) == whole == [(2, 1)]
 
 
@@ -115,6 +115,39 @@ def test_slots_must_be_filled_alike():
     assert alike == 1.0 and mixed < 1.0
 
 
+def test_every_fifth_word_edited_and_names_asked_anew():
+    rnd = random.Random(8)
+    words = [f"{rnd.choice('bcdfglmnprst')}{rnd.choice('aeiou')}{rnd.choice('bcdfglmnprst')}{rnd.choice('aeiou')}{k}".translate(str.maketrans("0123456789", "qwertzuiop")) for k in range(60)]
+    item = " ".join(words)
+    share = lambda text, of=item: dict(con.document_matches(text, con.ItemWindows([(1, of)]), 0.0)).get(1, 0.0)
+    assert share(" ".join("edited" if k % 5 == 4 else w for k, w in enumerate(words))) > 0.9
+    assert share(" ".join(words[:30])) == 0.5 and share("nothing of it") == 0.0
+    asked = "A clerk named Odile Fenland sent 3 letters to Rosa Thurland in Velbury for USD 20 and Odile Fenland kept 5 kg of it"
+    again = asked.replace("Odile Fenland", "Hye Korvane").replace("Rosa Thurland", "Jo Ulbury").replace("Velbury", "Garwick").replace("3", "8").replace("USD 20", "EUR 35").replace("5 kg", "7 lb").replace("lb", "g")
+    assert share(again, asked) == 1.0 and share(asked.upper(), asked) == 1.0 == share(asked.lower(), asked)
+    assert share(asked.replace("Odile Fenland kept", "Wanja Fenland kept"), asked) < 1.0
+    assert con.document_matches("x", con.ItemWindows([]), 0.0) == [] == con.document_matches("", con.ItemWindows([(1, item)]), 0.5)
+
+
+def test_leaks_against_brute_force():
+    """Share of an item by an exhaustive comparison: longest runs of equal words on every diagonal of five words or more."""
+    rnd = random.Random(11)
+    vocabulary = ["ash", "bog", "cot", "dew", "elm", "fig"]
+    items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randrange(6, 30)))) for i in range(8)]
+    windows = con.ItemWindows(items)
+    for _ in range(60):
+        text = " ".join(rnd.choice(vocabulary) for _ in range(40))
+        if rnd.random() < 0.5:
+            text += " " + rnd.choice(items)[1]
+        words = text.split()
+        got = dict(con.document_matches(text, windows, 0.0))
+        for item, said in items:
+            said = said.split()
+            runs = {i for i in range(len(said) - 4) for d in range(len(words) - 4) if said[i : i + 5] == words[d : d + 5]}
+            exact = len({i + k for i in runs for k in range(5)}) / len(said)
+            assert got.get(item, 0.0) >= exact - 1e-9 and (exact < 1 or got[item] == 1.0)
+
+
 CLEAN = ["The café is naïve, see § 4 … later.", "A résumé for the café, see § 9 … later.", "Граф вызовов читает каждый путь после выпуска.", "Проверка удаляет последние изменения.", "規則は静かに次の処理を並べ替える。", "Každá větev čeká.", "La función añade párrafos rápidos.", "∀x ∈ ℕ: x ≤ 2", "═══╦═══ ░▒▓", "L’étape d’été"] * 4
 
 
