@@ -176,6 +176,28 @@ def test_restored(spark):
     assert got[1000] == "The café is naïve." and got[1002] == "A résumé é" and got[1004] == "Граф вызовов читает каждый" and got[1010] == "La función añade"
 
 
+def test_sound_entities_stay_as_they_were_written(spark):
+    text = "Write &lt;b&gt; and &amp;amp; for caf&eacute; &#233;t&#xe9;, then " + GARBLED[0] + " na&Atilde;&macr;ve &copy;"
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(CLEAN + ["a naïve café"] * 4)] + [(1000, text)], "doc_id bigint, text string")
+    got = {r.doc_id: r.restored for r in mojibake.restored_documents(df).collect()}
+    assert got == {1000: "Write &lt;b&gt; and &amp;amp; for caf&eacute; &#233;t&#xe9;, then The café is naïve. naïve &copy;"}
+
+
+def test_evidence_does_not_depend_on_the_size_of_the_corpus(spark):
+    docs = [(i, t) for i, t in enumerate(CLEAN)] + [(1000 + i, t) for i, t in enumerate(GARBLED)]
+    once = spark.createDataFrame(docs, "doc_id bigint, text string")
+    seven = spark.createDataFrame([(i + 10_000 * k, t) for k in range(7) for i, t in docs], "doc_id bigint, text string")
+    got = {r.doc_id for r in mojibake.garbled_documents(once).collect()}
+    assert {r.doc_id for r in mojibake.garbled_documents(seven).collect()} == {i + 10_000 * k for k in range(7) for i in got}
+
+
+def test_words_beside_a_place():
+    text = "see  Â§ 4 |x| … later\nÃ© end" + "z" * 90 + " é"
+    around = mojibake.Words(text)
+    at = lambda token: around.beside(text.index(token), text.index(token) + len(token))
+    assert at("Â§") == ("", "4") and at("…") == ("x", "later") and at("Ã©") == ("later", "end" + "z" * 90) and around.beside(len(text) - 1, len(text)) == ("end" + "z" * 90, "")
+
+
 def test_lost_bytes_are_wildcards(spark):
     said = ["Граф вызовов читает", "規則は静かに", "Проверка удаляет", "La función añade"]
     once = lambda text, at, real, read: (lambda t: t[:at] + "\ufffd" + t[at + 1 :])(wrong(text, real, read))
