@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataloom.session import cut
+
 #: Words before a bracket that are no calls.
 NOT_CALLS = "if for while switch catch return function def class elif with and or not in except print assert lambda yield func go defer range typeof sizeof array isset empty unset list echo super foreach raise throw new match".split()
 NODE_CAP = 60
@@ -77,20 +79,27 @@ def hubs(resolved: DataFrame, symbols: DataFrame) -> DataFrame:
 def subgraph(resolved: DataFrame, seeds: DataFrame, depth: int = 2, cap: int = NODE_CAP) -> DataFrame:
     """(seed, id, depth): symbols within ``depth`` (at most 4) hops of each seed in either direction, the nearest ``cap`` by (depth, id).
 
-    Each hop is two equi-joins (source side and target side) in place of a join on an OR.
+    The links are written once and every hop is written before the next, so the plan of a hop does not hold the
+    hops and the resolution before it. Each hop is an equi-join in place of a join on an OR.
     """
     both = resolved.filter("dst IS NOT NULL AND src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    seen = seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth"))
-    frontier = seen
+    both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    seen = frontier = cut(seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth")))
     for hop in range(1, min(max(depth, 1), 4) + 1):
         reached = frontier.join(both, frontier["id"] == both["a"]).select("seed", F.col("b").alias("id")).distinct().join(seen.select("seed", "id"), ["seed", "id"], "left_anti")
-        frontier = reached.withColumn("depth", F.lit(hop))
+        frontier = cut(reached.withColumn("depth", F.lit(hop)))
         seen = seen.unionByName(frontier)
     nearest = Window.partitionBy("seed").orderBy("depth", "id")
     return seen.withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= cap).drop("r")
 
 
+def subgraph_edges(resolved: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(seed, src, dst, relation, dst_name, inside): edges that leave the nodes of each subgraph, also to symbols that its cap left out and to names that are no symbol."""
+    out = resolved.select("src", "dst", "relation", "dst_name").join(nodes.select("seed", F.col("id").alias("src")), "src")
+    ends = nodes.select("seed", F.col("id").alias("dst"), F.lit(True).alias("inside"))
+    return out.join(ends, ["seed", "dst"], "left").select("seed", "src", "dst", "relation", "dst_name", F.coalesce("inside", F.lit(False)).alias("inside")).distinct()
+
+
 def outline(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """The symbols of every file in order of their lines."""
     order = Window.partitionBy("file_id").orderBy(F.col("start_line").asc_nulls_last(), "id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strataloom.catalog import table
 from strataloom.functions.ranking import with_rank
 from strataloom.operators import graph, identity
+from strataloom.session import cut
 
 QUERIES, SQL = {}, {}
 
@@ -106,14 +107,30 @@ def callees(spark, d):
     return graph.neighbours(_resolved(spark, d), table(spark, d, "symbols"), table(spark, d, "files"), inbound=False)
 
 
-@query("WITH RECURSIVE " + EDGES + """, l AS (SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM resolved WHERE dst IS NOT NULL AND src <> dst UNION ALL SELECT dst, src FROM resolved WHERE dst IS NOT NULL AND src <> dst)),
+_NODES = "WITH RECURSIVE " + EDGES + """, l AS (SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM resolved WHERE dst IS NOT NULL AND src <> dst UNION ALL SELECT dst, src FROM resolved WHERE dst IS NOT NULL AND src <> dst)),
 seeds AS (SELECT project_id, min(src) AS seed FROM resolved WHERE dst IS NOT NULL GROUP BY 1),
 g AS (SELECT seed, seed AS id, 0 AS depth FROM seeds UNION SELECT g.seed, l.b, g.depth + 1 FROM g JOIN l ON l.a = g.id WHERE g.depth < 2),
-m AS (SELECT seed, id, min(depth) AS depth FROM g GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, id) AS n FROM m) SELECT seed, id, depth FROM r WHERE n <= 60""")
+m AS (SELECT seed, id, min(depth) AS depth FROM g GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, id) AS n FROM m)"""
+
+
+@query(_NODES + " SELECT seed, id, depth FROM r WHERE n <= 60")
 def bfs_depth2(spark, d):
-    resolved = _resolved(spark, d)
+    return _subgraph(spark, d)[1]
+
+
+def _subgraph(spark, d):
+    """(resolved edges, the nodes within two hops of each project's first calling symbol)."""
+    resolved = cut(_resolved(spark, d))
     seeds = resolved.filter("dst IS NOT NULL").groupBy("project_id").agg(F.min("src").alias("seed")).select("seed")
-    return graph.subgraph(resolved, seeds, 2)
+    return resolved, graph.subgraph(resolved, seeds, 2)
+
+
+@query(_NODES + """, n AS (SELECT seed, id FROM r WHERE n <= 60)
+SELECT DISTINCT a.seed, e.src, e.dst, e.relation, e.dst_name, b.id IS NOT NULL AS inside FROM n a JOIN resolved e ON e.src = a.id LEFT JOIN n b ON b.seed = a.seed AND b.id = e.dst""")
+def subgraph_edges(spark, d):
+    resolved, nodes = _subgraph(spark, d)
+    return graph.subgraph_edges(resolved, nodes)
+
 
 
 @query("""SELECT f.id AS file_id, f.path, row_number() OVER (PARTITION BY f.id ORDER BY s.start_line NULLS LAST, s.id) AS ord, s.id AS symbol_id, s.name, s.kind, s.signature, s.start_line, s.end_line FROM symbols s JOIN files f ON f.id = s.file_id""")

@@ -63,8 +63,7 @@ def hybrid_search_rrf(spark, d):
 @query(f"WITH {_Q}, {_SYMBOL_INDEX}, {_lexical('lx', 'si', 50)} SELECT query_id, k AS symbol_id, rank FROM lx")
 def fts_and_topk(spark, d):
     rows = table(spark, d, "symbols").withColumn("symbol_id", F.col("id"))
-    index = search.inverted_index(rows, "symbol_id", search.FIELD_WEIGHTS, "project_id")
-    return search.lexical(index, table(spark, d, "search_queries"), "symbol_id", ["project_id"], 50).select("query_id", "symbol_id", "rank")
+    return search.lexical_search(rows, table(spark, d, "search_queries"), "symbol_id", search.FIELD_WEIGHTS, ["project_id"], 50).select("query_id", "symbol_id", "rank")
 
 
 @query(f"WITH {_Q}, {_nearest('nv', 'symbols', 'id', 10)} SELECT query_id, k AS symbol_id, rank FROM nv")
