@@ -6,12 +6,15 @@ import re
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor, TimeoutError
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.ranking import CHANNEL_WEIGHTS, item_cost, pack, reciprocal_ranks, with_rank
 from strataloom.functions.text import path_in_scope
+from strataloom.operators import search
+from strataloom.session import cut
 
 #: Words without retrieval signal in a task, and the extensions that make a word a path.
 TASK_STOPWORDS = frozenset(
@@ -116,13 +119,63 @@ def fuse_channels(items: DataFrame, by: list[str] = [], weights: dict[str, float
     return with_rank(rows, by, F.col("score").desc(), F.col("key"))
 
 
-def compose(items: DataFrame, rules: DataFrame, budget: int) -> DataFrame:
-    """The packed context: rules pinned first, then fused items that fit. Columns: key, type, title, ref, snippet, score, taken, tokens_after, over_budget."""
-    fused = fuse_channels(items).withColumn("pinned", F.lit(False))
-    pinned = rules.select(F.concat(F.lit("rule:"), F.col("rule_id").cast("string")).alias("key"), F.lit("rule").alias("type"), F.col("statement").alias("title"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("string").alias("snippet"), F.lit(None).cast("double").alias("score"), "rank", F.lit(True).alias("pinned"))
+def compose(items: DataFrame, rules: DataFrame, budget: int, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """The packed context of each ``by``: rules pinned first, then fused items that fit. Columns: by, key, type, title, ref, snippet, score, channels, taken, tokens_after, over_budget."""
+    fused = fuse_channels(items, by).withColumn("pinned", F.lit(False))
+    null = F.lit(None).cast("string")
+    pinned = rules.select(*by, F.concat(F.lit("rule:"), F.col("rule_id").cast("string")).alias("key"), F.lit("rule").alias("type"), F.col("statement").alias("title"), null.alias("ref"), null.alias("snippet"), F.lit(None).cast("double").alias("score"), F.array(F.lit("rules")).alias("channels"), "rank", F.lit(True).alias("pinned"))
     both = fused.select(*pinned.columns).unionByName(pinned).withColumn("cost", item_cost(F.col("title"), F.col("snippet"), F.col("ref")))
-    packed = pack(both.withColumn("one", F.lit(1)), ["one"], budget).drop("one")
-    return both.join(packed, "key").select("key", "type", "title", "ref", "snippet", "score", "taken", "tokens_after", (F.col("tokens_after") > budget).alias("over_budget"))
+    packed = pack(both.withColumn("one", F.lit(1)), ["one", *by], budget).drop("one")
+    return both.join(packed, [*by, "key"]).select(*by, "key", "type", "title", "ref", "snippet", "score", "channels", "taken", "tokens_after", (F.col("tokens_after") > budget).alias("over_budget"))
+
+
+#: Items that each channel gives, and the code hits whose neighbours the graph channel takes.
+CHANNEL_ITEMS, GRAPH_SEEDS = 20, 3
+
+
+def channel_items(tasks: DataFrame, symbols: DataFrame, chunks: DataFrame, memories: DataFrame, fixes: DataFrame, resolved: DataFrame, with_vectors: bool = False) -> dict[str, DataFrame]:
+    """The five channels of a context, each (project_id, channel, rank, key, type, title, ref, snippet).
+
+    ``tasks``: query_id (the project's id), project_id, query_text and, ``with_vectors``, embedding; ``memories``:
+    memory_id, project_id, content, supersedes; ``fixes``: project_id, sha, short_sha, subject, authored_at of
+    commits that fix something; ``resolved``: edges with src and dst. Every channel gives ``CHANNEL_ITEMS``.
+    """
+    null = F.lit(None).cast("string")
+    shape = lambda df, channel, kind, title, ref, text: df.select("project_id", F.lit(channel).alias("channel"), "rank", "key", F.lit(kind).alias("type"), title.alias("title"), ref.alias("ref"), text.alias("snippet"))
+    keyed = lambda df, kind, key: df.filter(F.col(key).isNotNull()).withColumn("key", F.concat(F.lit(kind + ":"), F.col(key).cast("string")))
+
+    def found(rows: DataFrame, fields: dict[str, float]) -> DataFrame:
+        lists = {"fts": search.lexical_search(rows, tasks, "key", fields, ["project_id"], search.pool_size(CHANNEL_ITEMS))}
+        if with_vectors and "embedding" in rows.columns:
+            lists["vector"] = search.nearest(rows, tasks, "key", ["project_id"], search.pool_size(CHANNEL_ITEMS))
+        return search.fuse(lists, "key", CHANNEL_ITEMS).select("key", "rank")
+
+    sym, chunk = keyed(symbols, "code", "id"), keyed(chunks, "doc", "id")
+    hits = cut(found(sym, search.FIELD_WEIGHTS).join(sym.select("key", "id", "project_id", "name", "signature", F.substring("body", 1, 600).alias("text")), "key"))
+    alive = memories.join(memories.filter("supersedes IS NOT NULL").select(F.col("supersedes").alias("memory_id")), "memory_id", "left_anti")
+    memory = keyed(alive, "memory", "memory_id")
+    # One hop from the best code hits, in either direction.
+    links = resolved.filter("dst IS NOT NULL AND src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    seeds = hits.filter(F.col("rank") <= GRAPH_SEEDS).select(F.col("id").alias("a"), "rank")
+    near = links.join(seeds, "a").groupBy(F.col("b").alias("id")).agg(F.min("rank").alias("from_rank")).join(seeds.select(F.col("a").alias("id")), "id", "left_anti")
+    near = keyed(near.join(symbols.select("id", "project_id", "name", "signature"), "id"), "code", "id")
+    near = with_rank(near, ["project_id"], F.col("from_rank"), F.col("key"), keep=CHANNEL_ITEMS)
+    last = with_rank(fixes.filter("sha IS NOT NULL").withColumn("key", F.concat(F.lit("commit:"), "sha")), ["project_id"], F.col("authored_at").desc_nulls_last(), F.col("sha"), keep=CHANNEL_ITEMS)
+    doc = found(chunk, search.CHUNK_WEIGHTS).join(chunk.select("key", "project_id", "heading_path", F.substring("content", 1, 600).alias("text")), "key")
+    kept = found(memory, search.MEMORY_WEIGHTS).join(memory.select("key", "project_id", F.substring("content", 1, 400).alias("text")), "key")
+    return {
+        "code": shape(hits, "code", "code", F.col("name"), F.col("signature"), F.col("text")),
+        "doc": shape(doc, "doc", "doc", F.col("heading_path"), null, F.col("text")),
+        "memory": shape(kept, "memory", "memory", F.substring("text", 1, 80), null, F.col("text")),
+        "history": shape(last, "history", "commit", F.col("subject"), F.col("short_sha"), null),
+        "graph": shape(near, "graph", "graph", F.col("name"), F.col("signature"), null),
+    }
+
+
+def union_channels(channels: dict[str, DataFrame]) -> DataFrame:
+    parts = list(channels.values())
+    return reduce(DataFrame.unionByName, parts[1:], parts[0])
 
 
 def run_channels(spark: SparkSession, channels: dict[str, DataFrame], deadline_s: float | None = None) -> tuple[dict[str, list], list[str]]:

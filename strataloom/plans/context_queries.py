@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from strataloom.catalog import table
 from strataloom.functions import messages
-from strataloom.operators import compose, history
+from strataloom.operators import compose, graph, history, search
+from strataloom.plans.graph_queries import EDGES
+from strataloom.plans.text_queries import _index, _lexical
 from strataloom.session import shared_dir
 from strataloom.sources import code_parser, decisions
 
@@ -90,27 +92,45 @@ def decision_file_impact(spark, d):
     return decisions.file_impact(decisions.node_rows(spark, [_graph()]))
 
 
-@query()
+_COST = "CAST(ceil(length(coalesce(title, '')) / 4.0) + ceil(length(coalesce(snippet, '')) / 4.0) + ceil(length(coalesce(ref, '')) / 4.0) + 4 AS BIGINT)"
+_WORDS = "handler cache".split()
+_LISTS = {"code": ("si", "sy"), "doc": ("ci", "ch"), "memory": ("mi", "me")}
+
+
+@query(f"""WITH RECURSIVE {EDGES}, words AS (SELECT id AS query_id, id AS project_id, unnest({_WORDS}) AS token, {len(_WORDS)} AS need FROM projects),
+sy AS (SELECT *, 'code:' || id AS key FROM symbols), ch AS (SELECT c.*, 'doc:' || c.id AS key FROM chunks c JOIN documents d ON d.doc_id = c.entity_id), me AS (SELECT project_id, 'memory:' || doc_id AS key, text AS content FROM documents WHERE doc_type = 'note'),
+{_index('si', 'sy', 'key', {"name": 1.0, "doc": 0.4, "body": 0.2})}, {_index('ci', 'ch', 'key', {"heading_path": 1.0, "content": 0.4})}, {_index('mi', 'me', 'key', {"content": 1.0})},
+{_lexical('l1', 'si', 20)}, {_lexical('l2', 'ci', 20)}, {_lexical('l3', 'mi', 20)},
+hits AS (SELECT sy.project_id, sy.id, l1.rank, l1.k AS key, sy.name, sy.signature, left(sy.body, 600) AS text FROM l1 JOIN sy ON sy.key = l1.k),
+links AS (SELECT src AS a, dst AS b FROM resolved WHERE dst IS NOT NULL AND src <> dst UNION ALL SELECT dst, src FROM resolved WHERE dst IS NOT NULL AND src <> dst),
+seeds AS (SELECT id AS a, rank FROM hits WHERE rank <= 3), near AS (SELECT b AS id, min(rank) AS r FROM links JOIN seeds USING (a) WHERE b NOT IN (SELECT a FROM seeds) GROUP BY 1),
+gr AS (SELECT s.project_id, row_number() OVER (PARTITION BY s.project_id ORDER BY n.r, s.key) AS rank, s.key, s.name, s.signature FROM near n JOIN sy s USING (id)),
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id, sha ORDER BY entity_id) AS _r FROM commits) WHERE _r = 1 AND is_fix AND sha IS NOT NULL),
+fx AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY authored_at DESC NULLS LAST, sha) AS rank FROM u),
+items AS (SELECT project_id, 'code' AS channel, rank, key, 'code' AS type, name AS title, signature AS ref, text AS snippet FROM hits UNION ALL SELECT ch.project_id, 'doc', rank, k, 'doc', heading_path, NULL, left(content, 600) FROM l2 JOIN ch ON ch.key = k
+ UNION ALL SELECT me.project_id, 'memory', rank, k, 'memory', left(content, 80), NULL, left(content, 400) FROM l3 JOIN me ON me.key = k UNION ALL SELECT project_id, 'history', rank, 'commit:' || sha, 'commit', subject, short_sha, NULL FROM fx WHERE rank <= 20
+ UNION ALL SELECT project_id, 'graph', rank, key, 'graph', name, signature, NULL FROM gr WHERE rank <= 20),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id, key ORDER BY CASE WHEN snippet IS NULL THEN 1 ELSE 0 END, channel, rank) AS n FROM items) WHERE n = 1),
+fu AS (SELECT project_id, key, round(sum(CASE channel WHEN 'code' THEN 1.0 WHEN 'doc' THEN 0.8 WHEN 'memory' THEN 0.7 WHEN 'history' THEN 0.6 ELSE 0.5 END / (60 + rank)), 5) AS score, array_to_string(list_sort(list(DISTINCT channel)), ',') AS channels FROM items GROUP BY 1, 2),
+ru AS (SELECT * FROM (VALUES {_RULE_VALUES}) t(rule_id, statement, scope, severity, state, confidence)),
+rm AS (SELECT DISTINCT f.project_id, r.rule_id, r.statement, r.severity, r.confidence FROM ru r JOIN files f ON r.state = 'active' AND (r.scope IS NULL OR CASE r.scope WHEN 'src/**' THEN regexp_full_match(f.path, 'src/.*') WHEN 'tools/*.py' THEN regexp_full_match(f.path, 'tools/[^/]*\\.py') ELSE regexp_full_match(f.path, 'app/(.*/)?[^/]*\\.php') END)),
+al AS (SELECT f.project_id, f.key, b.type, b.title, b.ref, b.snippet, f.score, f.channels, false AS pinned, row_number() OVER (PARTITION BY f.project_id ORDER BY f.score DESC, f.key) AS rank FROM fu f JOIN best b USING (project_id, key)
+ UNION ALL SELECT project_id, 'rule:' || rule_id, 'rule', statement, NULL, NULL, NULL, 'rules', true, row_number() OVER (PARTITION BY project_id ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, confidence DESC, rule_id) FROM rm),
+l AS (SELECT *, {_COST} AS cost, row_number() OVER (PARTITION BY project_id ORDER BY NOT pinned, rank, key) AS n FROM al),
+p AS (SELECT project_id, key, n, pinned OR cost <= 2000 AS taken, CASE WHEN pinned OR cost <= 2000 THEN cost ELSE 0 END AS used FROM l WHERE n = 1 UNION ALL SELECT l.project_id, l.key, l.n, l.pinned OR p.used + l.cost <= 2000, CASE WHEN l.pinned OR p.used + l.cost <= 2000 THEN p.used + l.cost ELSE p.used END FROM p JOIN l ON l.project_id = p.project_id AND l.n = p.n + 1)
+SELECT l.project_id, l.key, l.type, l.title, l.score, l.channels, p.taken, p.used AS tokens_after FROM l JOIN p USING (project_id, key)""")
 def compose_context(spark, d):
-    """A composed context over the first project: code, documents and fixes for a task, rules pinned, within 6000 tokens."""
-    from strataloom.functions.ranking import with_rank
-
-    task = spark.createDataFrame([(1, 1, "handler cache")], "query_id bigint, project_id int, query_text string")
-    from strataloom.operators import search
-
-    sym = table(spark, d, "symbols").withColumn("key", F.concat(F.lit("code:"), F.col("id").cast("string")))
-    code = search.lexical(search.inverted_index(sym, "key", search.FIELD_WEIGHTS, "project_id"), task, "key", ["project_id"], 50).join(sym.select("key", "name", "signature", F.substring("body", 1, 600).alias("snippet")), "key")
-    chunk = table(spark, d, "chunks").withColumn("key", F.concat(F.lit("doc:"), F.col("id").cast("string")))
-    doc = search.lexical(search.inverted_index(chunk, "key", {"heading_path": 1.0, "content": 0.4}, "project_id"), task, "key", ["project_id"], 50).join(chunk.select("key", "heading_path", F.substring("content", 1, 600).alias("snippet")), "key")
-    fix = with_rank(history.unique_commits(table(spark, d, "commits")).filter("project_id = 1 AND is_fix"), [], F.col("authored_at").desc_nulls_last(), F.col("sha"), keep=20)
-    null = F.lit(None).cast("string")
-    items = (
-        code.select(F.lit("code").alias("channel"), "rank", "key", F.lit("code").alias("type"), F.col("name").alias("title"), F.col("signature").alias("ref"), "snippet")
-        .unionByName(doc.select(F.lit("doc").alias("channel"), "rank", "key", F.lit("doc").alias("type"), F.col("heading_path").alias("title"), null.alias("ref"), "snippet"))
-        .unionByName(fix.select(F.lit("history").alias("channel"), "rank", F.concat(F.lit("commit:"), "sha").alias("key"), F.lit("commit").alias("type"), F.col("subject").alias("title"), F.col("short_sha").alias("ref"), null.alias("snippet")))
-    )
-    rules = compose.rules_for(spark.createDataFrame(GLOBS, "rule_id int, statement string, scope string, severity string, state string, confidence double"), table(spark, d, "files").filter("project_id = 1").select("path"))
-    return compose.compose(items, rules, 6000)
+    """The context of one task for every project: five channels fused, the project's rules pinned, within 2000 tokens. Notes stand for memories."""
+    tasks = table(spark, d, "projects").select(F.col("id").alias("query_id"), F.col("id").alias("project_id"), F.lit(" ".join(_WORDS)).alias("query_text"))
+    symbols, docs_ = table(spark, d, "symbols"), table(spark, d, "documents")
+    memories = docs_.filter("doc_type = 'note'").select(F.col("doc_id").alias("memory_id"), "project_id", F.col("text").alias("content"), F.lit(None).cast("bigint").alias("supersedes"))
+    fixes = history.unique_commits(table(spark, d, "commits")).filter("is_fix").select("project_id", "sha", "short_sha", "subject", "authored_at")
+    resolved = graph.resolve_edges(graph.call_edges(symbols), symbols)
+    channels = compose.channel_items(tasks, symbols, search.live_chunks(table(spark, d, "chunks"), docs_.select("doc_id", F.lit(None).cast("string").alias("title"), "doc_type")).drop("title", "doc_type"), memories, fixes, resolved)
+    said = spark.createDataFrame([(r[0], r[1]) for r in GLOBS], "rule_id int, statement string")
+    rules = scope_glob_rules(spark, d).join(said, "rule_id").select("project_id", "rule_id", "statement", "rank")
+    out = compose.compose(compose.union_channels(channels), rules, 2000, ["project_id"])
+    return out.select("project_id", "key", "type", "title", "score", F.array_join("channels", ",").alias("channels"), "taken", "tokens_after")
 
 
 @query()
