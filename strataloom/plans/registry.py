@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.plans import context_queries, core_p3, graph_queries, history_queries, text_queries
+from strataloom.plans import context_queries, core_p3, graph_queries, history_queries, lifecycle_queries, text_queries
 
 FLAGSHIP = "hybrid_search_rrf"
-_MODULES = (graph_queries, history_queries, text_queries, context_queries)
+_MODULES = (graph_queries, history_queries, text_queries, context_queries, lifecycle_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
