@@ -11,19 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.catalog import TABLES, table
+from strataloom.functions.documents import chunk_rows
 from strataloom.functions.ranking import with_rank
 from strataloom.operators import compose, derive, graph, history, identity, knowledge, search
 from strataloom.operators.graph import UnknownTarget
 from strataloom.operators.store import Snapshots
 from strataloom.plans import graph_queries
-from strataloom.session import shared_dir
+from strataloom.session import cut
 from strataloom.sources import code_parser, decisions
-from strataloom.sources.embeddings import hashing_embedder
 from strataloom.sources.files import scan_tree, to_process
 
 __all__ = ["OPERATIONS", "ArgumentError", "UnknownTarget", "call", "find", "parse_argv"]
 
 
+#: Texts to their vectors.
+Embedder = Callable[[list[str]], list[list[float]]]
+
+
 class ArgumentError(ValueError):
     """An argument that is missing, unknown or out of range."""
 
@@ -85,8 +89,10 @@ PROJECT = Arg(int)
 class Catalog:
     """The tables of one folder, restricted to a project if one is asked for."""
 
-    def __init__(self, spark: SparkSession, folder: str, project: int | None = None):
-        self.spark, self.folder, self.project = spark, folder, project
+    def __init__(self, spark: SparkSession, folder: str, project: int | None = None, store: str | None = None, embedder: Embedder | None = None):
+        """``store``: the folder of what operations write, shared and kept; ``embedder``: the one that made the tables' vectors, if it is at hand."""
+        self.spark, self.folder, self.project, self.embedder = spark, folder, project, embedder
+        self._store = store
         if project is not None:
             graph.require(self("projects"), f"no project {project}")
 
@@ -96,6 +102,16 @@ class Catalog:
             return df
         return df.filter(F.col("id" if name == "projects" else "project_id") == self.project)
 
+    def store(self) -> Snapshots:
+        if not self._store:
+            raise ArgumentError("this operation needs a store: a folder that outlives the session")
+        return Snapshots(self.spark, self._store)
+
+    def kept(self, name: str, schema: str) -> DataFrame:
+        """A table of the store; empty if there is no store or no such table yet."""
+        found = Snapshots(self.spark, self._store).read(name) if self._store else None
+        return found if found is not None else self.spark.createDataFrame([], schema)
+
     def resolved(self) -> DataFrame:
         return graph.resolve_edges(graph.call_edges(self("symbols")), self("symbols"))
 
@@ -108,37 +124,49 @@ class Catalog:
 
 
 def _query(c: Catalog, text: str) -> DataFrame:
-    """A query for every project, with a vector of the offline embedder."""
-    vector = F.array(*[F.lit(float(x)) for x in hashing_embedder([text])[0]])
-    return c("projects").select(F.col("id").cast("bigint").alias("query_id"), F.col("id").alias("project_id"), F.lit(text).alias("query_text"), vector.alias("embedding"))
+    """A query for every project; with a vector only if the embedder of the tables is at hand."""
+    rows = c("projects").select(F.col("id").cast("bigint").alias("query_id"), F.col("id").alias("project_id"), F.lit(text).alias("query_text"))
+    if c.embedder is None:
+        return rows
+    return rows.withColumn("embedding", F.array(*[F.lit(float(x)) for x in c.embedder([text])[0]]))
 
 
 def _index(c: Catalog, path: str, store: str | None = None) -> DataFrame:
-    """Scans a tree, parses what changed since the last run and commits files and symbols; files that fail keep their old hash."""
-    snap = Snapshots(c.spark, store or f"{shared_dir(c.spark)}/index")
+    """Scans a tree and brings a store up to it in one move: files, symbols, relations between them and chunks of documents.
+
+    Only what changed is parsed; what belongs to unchanged files stays as it is, what belongs to removed ones goes.
+    A file that can not be read keeps its old rows and hash, so the next scan tries it again.
+    """
+    snap = Snapshots(c.spark, store) if store else c.store()
     present, old = scan_tree(c.spark, path), snap.read("files")
-    manifest = old if old is not None else present.limit(0).select("path", "hash")
-    todo = to_process(present, manifest).withColumn("id", F.xxhash64("path"))
-    parsed = code_parser.parse_files(todo)
+    manifest = old if old is not None else present.select("path", "language", "hash", "loc").limit(0)
+    todo = cut(to_process(present, manifest).withColumn("id", F.xxhash64("path")))
+    sources, prose = todo.filter("language IS NOT NULL"), todo.filter("language IS NULL")
+    parsed = cut(code_parser.parse_files(sources))
     bad = code_parser.failed(parsed).select(F.col("file_id").alias("id"))
     good = todo.join(bad, "id", "left_anti")
-    kept = manifest.join(present.select("path"), "path", "left_semi").join(good.select("path"), "path", "left_anti").select("path", "hash")
-    symbols, before = code_parser.symbol_rows(parsed), snap.read("symbols")
-    if before is not None:
-        gone = before.join(kept.select(F.xxhash64("path").alias("file_id")), "file_id", "left_semi")
-        symbols = gone.unionByName(symbols)
-    snap.commit("symbols", symbols)
-    snap.commit("files", kept.unionByName(good.select("path", "hash")))
-    state = snap.manifest()
-    return c.spark.createDataFrame([(state["files"]["rows"], state["symbols"]["rows"])], "files bigint, symbols bigint")
+    kept = manifest.join(present.select("path"), "path", "left_semi").join(good.select("path"), "path", "left_anti")
+    files = cut(kept.unionByName(good.select("path", "language", "hash", "loc")))
+    alive = kept.select(F.xxhash64("path").alias("file_id"))
+    new = {"symbols": code_parser.symbol_rows(parsed), "relations": code_parser.relation_rows(parsed), "chunks": chunk_rows(prose, "id", "content").withColumnRenamed("id", "file_id")}
+    tables = {"files": files}
+    for name, rows in new.items():
+        before = snap.read(name)
+        tables[name] = rows if before is None else before.join(alive, "file_id", "left_semi").unionByName(rows)
+    state = snap.commit_all(tables)
+    return c.spark.createDataFrame([tuple(state[n]["rows"] for n in ("files", *new))], "files bigint, " + ", ".join(f"{n} bigint" for n in new))
 
 
 def _search(c: Catalog, query: str, limit: int) -> DataFrame:
-    found = search.search_code(c("symbols"), _query(c, query), limit)
+    found = search.search_code(c("symbols"), _query(c, query), limit, c.embedder is not None)
     s = c("symbols").select(F.col("id").alias("symbol_id"), "name", "kind", "signature", "file_id", "start_line")
     return found.join(s, "symbol_id").join(c("files").select(F.col("id").alias("file_id"), "path"), "file_id").drop("file_id")
 
 
+def _knowledge(c: Catalog, query: str, limit: int) -> DataFrame:
+    return search.search_knowledge(c("symbols"), c("chunks"), _query(c, query), limit, c.kept("memories", _MEMORIES), c.embedder is not None)
+
+
 def _symbol(c: Catalog, name: str, limit: int) -> DataFrame:
     rows = c.named(name).join(c("files").select(F.col("id").alias("file_id"), "path"), "file_id")
     top = with_rank(rows, [], (F.col("name") == name).desc(), F.col("id"), keep=limit)
@@ -176,14 +204,10 @@ def _owners(c: Catalog, target: str | None = None, limit: int = 10) -> DataFrame
 
 
 _RULES = "rule_id int, statement string, scope string, severity string, state string, confidence double"
+_STORED_RULES = "rule_id int, rule_key string, statement string, scope string, severity string, state string, confidence double, origin string, origin_ref string, verified_by string, verified_at timestamp"
 _MEMORIES = "memory_id bigint, memory_key string, content string, kind string, scope string, supersedes bigint, pinned boolean"
 
 
-def _store_table(c: Catalog, name: str, schema: str) -> DataFrame:
-    found = Snapshots(c.spark, f"{shared_dir(c.spark)}/knowledge").read(name)
-    return found if found is not None else c.spark.createDataFrame([], schema)
-
-
 def _target_paths(c: Catalog, target: str | None) -> DataFrame:
     if not target:
         return c.spark.createDataFrame([], "path string")
@@ -191,24 +215,24 @@ def _target_paths(c: Catalog, target: str | None) -> DataFrame:
 
 
 def _remember(c: Catalog, content: str, kind: str = "note", scope: str | None = None, supersedes: int | None = None, pinned: bool = False) -> DataFrame:
-    out = knowledge.remember(_store_table(c, "memories", _MEMORIES), c.spark, content, kind, scope, supersedes, pinned)
-    store = Snapshots(c.spark, f"{shared_dir(c.spark)}/knowledge")
+    out = knowledge.remember(c.kept("memories", _MEMORIES), c.spark, content, kind, scope, supersedes, pinned)
+    store = c.store()
     store.commit("memories", out)
     return store.read("memories")
 
 
 def _recall(c: Catalog, query: str, limit: int) -> DataFrame:
-    m = _store_table(c, "memories", _MEMORIES)
+    m = c.kept("memories", _MEMORIES)
     rows = m.withColumn("one", F.lit(1))
     q = c.spark.createDataFrame([(1, 1, query)], "query_id int, one int, query_text string")
-    ranked = search.lexical(search.inverted_index(rows, "memory_id", {"content": 1.0}, "one"), q, "memory_id", ["one"]).select("memory_id", "score")
+    ranked = search.lexical_search(rows, q, "memory_id", search.MEMORY_WEIGHTS, ["one"]).select("memory_id", "score")
     return search.recall(m, ranked, limit).join(m.select("memory_id", "content", "kind"), "memory_id")
 
 
 def _review(c: Catalog, paths: str = "") -> DataFrame:
     given = c.spark.createDataFrame([(p.strip(),) for p in paths.split(",") if p.strip()], "path string")
     fixes = history.path_touches(history.unique_commits(c("commits")).filter("is_fix").select("entity_id", "sha", "subject", "authored_at"), c("commit_files"))
-    return compose.review_context(_store_table(c, "rules", _RULES), _store_table(c, "memories", _MEMORIES), fixes.select("sha", "subject", "authored_at", "path"), given)
+    return compose.review_context(c.kept("rules", _RULES), c.kept("memories", _MEMORIES), fixes.select("sha", "subject", "authored_at", "path"), given)
 
 
 def _modules(c: Catalog, sort: str, limit: int) -> DataFrame:
@@ -258,22 +282,46 @@ def _subgraph(c: Catalog, name: str, depth: int) -> DataFrame:
     return graph.subgraph(c.resolved(), seed, depth).join(c("symbols").select("id", "name", "kind"), "id")
 
 
-def _compose(c: Catalog, task: str, budget: int, format: str = "json") -> DataFrame:
+def _compose(c: Catalog, task: str, budget: int, format: str = "json", deadline: float | None = None) -> DataFrame:
+    """The context of a task from five channels; with a ``deadline`` in seconds a channel that is late or fails is left out."""
     parsed = compose.parse_task(task)
-    q = _query(c, " ".join(parsed.terms) or task)
-    null = F.lit(None).cast("string")
-    code = search.search_code(c("symbols"), q, 30).join(c("symbols").select(F.col("id").alias("symbol_id"), "name", "signature", F.substring("body", 1, 600).alias("snippet")), "symbol_id")
-    fix = with_rank(history.unique_commits(c("commits")).filter("is_fix"), [], F.col("authored_at").desc_nulls_last(), F.col("sha"), keep=20)
-    items = code.select(F.lit("code").alias("channel"), "rank", F.concat(F.lit("code:"), F.col("symbol_id").cast("string")).alias("key"), F.lit("code").alias("type"), F.col("name").alias("title"), F.col("signature").alias("ref"), "snippet").unionByName(
-        fix.select(F.lit("history").alias("channel"), "rank", F.concat(F.lit("commit:"), "sha").alias("key"), F.lit("commit").alias("type"), F.col("subject").alias("title"), F.col("short_sha").alias("ref"), null.alias("snippet"))
-    )
-    out = compose.compose(items, compose.rules_for(_store_table(c, "rules", _RULES), c.spark.createDataFrame([(p,) for p in parsed.paths], "path string")), budget)
+    fixes = history.unique_commits(c("commits")).filter("is_fix").select("project_id", "sha", "short_sha", "subject", "authored_at")
+    channels = compose.channel_items(_query(c, " ".join(parsed.terms) or task), c("symbols"), c("chunks"), c.kept("memories", _MEMORIES), fixes, c.resolved(), c.embedder is not None)
+    if deadline is not None:
+        rows, _ = compose.run_channels(c.spark, channels, deadline)
+        channels = {name: c.spark.createDataFrame(rows.get(name, []), df.schema) for name, df in channels.items()}
+    rules = compose.rules_for(c.kept("rules", _RULES), c.spark.createDataFrame([(p,) for p in parsed.paths], "path string"))
+    # People's rules are few; every project gets them as literals.
+    fields = ("rule_id", "statement", "rank")
+    said = [F.struct(*[F.lit(r[f]).alias(f) for f in fields]) for r in rules.select(*fields).collect()]
+    each = c("projects").select(F.col("id").alias("project_id"), F.explode(F.array(*said)).alias("r")).select("project_id", "r.*") if said else rules.select(F.lit(0).alias("project_id"), *fields).limit(0)
+    out = compose.compose(compose.union_channels(channels), each, budget, ["project_id"])
     if format == "markdown":
-        text = compose.to_markdown(parsed, [r.asDict() for r in out.orderBy("tokens_after", "key").collect()])
+        text = compose.to_markdown(parsed, [r.asDict() for r in out.orderBy("project_id", "tokens_after", "key").collect()])
         return c.spark.createDataFrame([(text,)], "markdown string")
     return out
 
 
+def mine_rules(spark: SparkSession, folder: str, store: str) -> DataFrame:
+    """Adds rule candidates mined from the documents to the store; known rules stay as they are."""
+    snap = Snapshots(spark, store)
+    found = knowledge.propose(table(spark, folder, "documents"), "doc")
+    fresh = found.select("rule_key", "statement", "confidence", "origin", F.col("origin_ref").cast("string").alias("origin_ref"))
+    old = snap.read("rules")
+    known = old if old is not None else spark.createDataFrame([], _STORED_RULES)
+    new = fresh.join(known.select("rule_key"), "rule_key", "left_anti")
+    rows = new.select(F.abs(F.hash("rule_key")).alias("rule_id"), "rule_key", "statement", F.lit(None).cast("string").alias("scope"), F.lit("medium").alias("severity"), F.lit("candidate").alias("state"), "confidence", "origin", "origin_ref", F.lit(None).cast("string").alias("verified_by"), F.lit(None).cast("timestamp").alias("verified_at"))
+    snap.append("rules", rows)
+    return snap.read("rules")
+
+
+def decide_rules(spark: SparkSession, store: str, decisions_: DataFrame) -> DataFrame:
+    """People's decisions (rule_key, state, verified_by, verified_at) on candidates, written to the store that ``get_rules`` reads."""
+    snap = Snapshots(spark, store)
+    snap.commit("rules", knowledge.decide(snap.read("rules"), decisions_))
+    return snap.read("rules")
+
+
 def _new_decision(c: Catalog, feature: str, slug: str | None = None, folder: str = ".") -> DataFrame:
     g = decisions.new_graph(feature, slug)
     decisions.save(folder, g)
@@ -299,7 +347,7 @@ OPERATIONS = [
     Operation("list_projects", _per_project(graph_queries.list_projects)),
     Operation("project_overview", _overview),
     Operation("search_code", _search, {"query": _S, "limit": LIMIT(30, 10)}, ("search",)),
-    Operation("search_knowledge", lambda c, query, limit: search.search_knowledge(c("symbols"), c("chunks"), _query(c, query), limit), {"query": _S, "limit": LIMIT(30, 10)}, ("knowledge",)),
+    Operation("search_knowledge", _knowledge, {"query": _S, "limit": LIMIT(30, 10)}, ("knowledge",)),
     Operation("get_symbol", _symbol, {"name": _S, "limit": LIMIT(10, 5)}),
     Operation("get_callers", lambda c, name, limit: _neighbours(c, name, limit, True), {"name": _S, "limit": LIMIT(30, 10)}),
     Operation("get_callees", lambda c, name, limit: _neighbours(c, name, limit, False), {"name": _S, "limit": LIMIT(30, 10)}),
@@ -308,7 +356,7 @@ OPERATIONS = [
     Operation("find_related", _related, {"name": _S, "limit": LIMIT(30, 10)}),
     Operation("get_history", _history, {"target": Arg(), "limit": LIMIT(100, 20)}, ("history",)),
     Operation("who_owns", _owners, {"target": Arg(), "limit": LIMIT(50, 10)}, ("owners",)),
-    Operation("get_rules", lambda c, target=None: compose.rules_for(_store_table(c, "rules", _RULES), _target_paths(c, target)), {"target": Arg()}, ("rules",)),
+    Operation("get_rules", lambda c, target=None: compose.rules_for(c.kept("rules", _RULES), _target_paths(c, target)), {"target": Arg()}, ("rules",)),
     Operation("remember", _remember, {"content": _S, "kind": Arg(default="note", choices=("note", "decision", "preference", "fact")), "scope": Arg(), "supersedes": Arg(int), "pinned": Arg(bool, default=False)}, writes=True),
     Operation("recall", _recall, {"query": _S, "limit": LIMIT(30, 10)}),
     Operation("review_context", _review, {"paths": Arg(default="")}, ("review",)),
@@ -316,7 +364,7 @@ OPERATIONS = [
     Operation("get_module", _module, {"module": _S}, ("module",)),
     Operation("get_cochange", lambda c, target, limit: derive.cochange_of(derive.cochange(c("commits"), c("commit_files")), target, limit), {"target": _S, "limit": LIMIT(50, 15)}, ("cochange",)),
     Operation("get_bug_clusters", _clusters, {"limit": LIMIT(50, 10)}, ("bugs",)),
-    Operation("compose_context", _compose, {"task": _S, "budget": Arg(int, default=6000, least=200, most=60000), "format": Arg(default="json", choices=("json", "markdown"))}, ("context",)),
+    Operation("compose_context", _compose, {"task": _S, "budget": Arg(int, default=6000, least=200, most=60000), "format": Arg(default="json", choices=("json", "markdown")), "deadline": Arg(float, least=0.01, most=3600)}, ("context",)),
     Operation("create_reasoning_graph", _new_decision, {"feature": _S, "slug": Arg(), "folder": Arg(default=".")}, ("reasoning-init",), writes=True),
     Operation("update_reasoning_graph", _patch_decision, {"slug": _S, "patch": _S, "folder": Arg(default=".")}, ("reasoning-update",), writes=True),
 ]
@@ -353,10 +401,10 @@ def parse_argv(name: str, argv: list[str]) -> dict[str, Any]:
     return op.validate(given)
 
 
-def call(spark: SparkSession, folder: str, name: str, args: dict[str, Any] | None = None, project: int | None = None) -> DataFrame:
-    """Runs one operation over the tables of ``folder``, for one project or all."""
+def call(spark: SparkSession, folder: str, name: str, args: dict[str, Any] | None = None, project: int | None = None, store: str | None = None, embedder: Embedder | None = None) -> DataFrame:
+    """Runs one operation over the tables of ``folder``, for one project or all; see ``Catalog`` for ``store`` and ``embedder``."""
     op = find(name)
-    return op.handler(Catalog(spark, folder, project), **op.validate(args or {}))
+    return op.handler(Catalog(spark, folder, project, store, embedder), **op.validate(args or {}))
 
 
 def browse(spark: SparkSession, folder: str, name: str, limit: int = 20) -> DataFrame:

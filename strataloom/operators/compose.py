@@ -137,7 +137,7 @@ def channel_items(tasks: DataFrame, symbols: DataFrame, chunks: DataFrame, memor
     """The five channels of a context, each (project_id, channel, rank, key, type, title, ref, snippet).
 
     ``tasks``: query_id (the project's id), project_id, query_text and, ``with_vectors``, embedding; ``memories``:
-    memory_id, project_id, content, supersedes; ``fixes``: project_id, sha, short_sha, subject, authored_at of
+    memory_id, content, supersedes and maybe project_id; ``fixes``: project_id, sha, short_sha, subject, authored_at of
     commits that fix something; ``resolved``: edges with src and dst. Every channel gives ``CHANNEL_ITEMS``.
     """
     null = F.lit(None).cast("string")
@@ -145,13 +145,15 @@ def channel_items(tasks: DataFrame, symbols: DataFrame, chunks: DataFrame, memor
     keyed = lambda df, kind, key: df.filter(F.col(key).isNotNull()).withColumn("key", F.concat(F.lit(kind + ":"), F.col(key).cast("string")))
 
     def found(rows: DataFrame, fields: dict[str, float]) -> DataFrame:
-        lists = {"fts": search.lexical_search(rows, tasks, "key", fields, ["project_id"], search.pool_size(CHANNEL_ITEMS))}
+        # Rows without a project are everybody's: they meet the tasks by word alone.
+        on = ["project_id"] if "project_id" in rows.columns else []
+        lists = {"fts": search.lexical_search(rows, tasks, "key", fields, on, search.pool_size(CHANNEL_ITEMS))}
         if with_vectors and "embedding" in rows.columns:
-            lists["vector"] = search.nearest(rows, tasks, "key", ["project_id"], search.pool_size(CHANNEL_ITEMS))
-        return search.fuse(lists, "key", CHANNEL_ITEMS).select("key", "rank")
+            lists["vector"] = search.nearest(rows, tasks, "key", on, search.pool_size(CHANNEL_ITEMS))
+        return search.fuse(lists, "key", CHANNEL_ITEMS).select(F.col("query_id").cast("int").alias("project_id"), "key", "rank")
 
     sym, chunk = keyed(symbols, "code", "id"), keyed(chunks, "doc", "id")
-    hits = cut(found(sym, search.FIELD_WEIGHTS).join(sym.select("key", "id", "project_id", "name", "signature", F.substring("body", 1, 600).alias("text")), "key"))
+    hits = cut(found(sym, search.FIELD_WEIGHTS).join(sym.select("key", "id", "name", "signature", F.substring("body", 1, 600).alias("text")), "key"))
     alive = memories.join(memories.filter("supersedes IS NOT NULL").select(F.col("supersedes").alias("memory_id")), "memory_id", "left_anti")
     memory = keyed(alive, "memory", "memory_id")
     # One hop from the best code hits, in either direction.
@@ -162,8 +164,8 @@ def channel_items(tasks: DataFrame, symbols: DataFrame, chunks: DataFrame, memor
     near = keyed(near.join(symbols.select("id", "project_id", "name", "signature"), "id"), "code", "id")
     near = with_rank(near, ["project_id"], F.col("from_rank"), F.col("key"), keep=CHANNEL_ITEMS)
     last = with_rank(fixes.filter("sha IS NOT NULL").withColumn("key", F.concat(F.lit("commit:"), "sha")), ["project_id"], F.col("authored_at").desc_nulls_last(), F.col("sha"), keep=CHANNEL_ITEMS)
-    doc = found(chunk, search.CHUNK_WEIGHTS).join(chunk.select("key", "project_id", "heading_path", F.substring("content", 1, 600).alias("text")), "key")
-    kept = found(memory, search.MEMORY_WEIGHTS).join(memory.select("key", "project_id", F.substring("content", 1, 400).alias("text")), "key")
+    doc = found(chunk, search.CHUNK_WEIGHTS).join(chunk.select("key", "heading_path", F.substring("content", 1, 600).alias("text")), "key")
+    kept = found(memory, search.MEMORY_WEIGHTS).join(memory.select("key", F.substring("content", 1, 400).alias("text")), "key")
     return {
         "code": shape(hits, "code", "code", F.col("name"), F.col("signature"), F.col("text")),
         "doc": shape(doc, "doc", "doc", F.col("heading_path"), null, F.col("text")),

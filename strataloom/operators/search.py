@@ -113,7 +113,7 @@ def search_knowledge(symbols: DataFrame, chunks: DataFrame, queries: DataFrame,
         lists |= {"code_vector": nearest(sym, queries, "item", ["project_id"], pool), "doc_vector": nearest(chunk, queries, "item", ["project_id"], pool)}
     if memories is not None:
         alive = memories.join(memories.filter("supersedes IS NOT NULL").select(F.col("supersedes").alias("memory_id")), "memory_id", "left_anti")
-        lists["memory_fts"] = lexical_search(alive.withColumn("item", F.concat(F.lit("mem:"), F.col("memory_id").cast("string"))), queries, "item", MEMORY_WEIGHTS, ["project_id"], pool)
+        lists["memory_fts"] = lexical_search(alive.withColumn("item", F.concat(F.lit("mem:"), F.col("memory_id").cast("string"))), queries, "item", MEMORY_WEIGHTS, ["project_id"] if "project_id" in memories.columns else [], pool)
     return fuse(lists, "item", limit)
 
 

@@ -229,3 +229,60 @@ def test_operations_answer_over_the_tables(spark, small_data):
         api.call(spark, small_data, name, args).count()
     with pytest.raises(api.UnknownTarget):
         api.call(spark, small_data, "get_callers", {"name": "no_such_symbol_at_all"})
+
+
+def test_vectors_are_used_only_with_their_embedder(spark, small_data):
+    asked = {"query": "cache", "limit": 5}
+    plain = {s for r in api.call(spark, small_data, "search_code", asked).collect() for s in r.sources}
+    assert plain == {"fts"}
+    vector = {s for r in api.call(spark, small_data, "search_code", asked, embedder=lambda texts: [[1.0] * 64 for _ in texts]).collect() for s in r.sources}
+    assert "vector" in vector
+
+
+def test_what_is_written_outlives_the_catalog(spark, small_data, tmp_path):
+    store = f"file://{tmp_path}/kept"
+    with pytest.raises(api.ArgumentError):
+        api.call(spark, small_data, "remember", {"content": "x"})
+    api.call(spark, small_data, "remember", {"content": "keep the cache small"}, store=store)
+    assert [r.content for r in api.call(spark, small_data, "recall", {"query": "cache"}, store=store).collect()] == ["keep the cache small"]
+    assert {r.item[:4] for r in api.call(spark, small_data, "search_knowledge", {"query": "keep small"}, store=store).collect()} == {"mem:"}
+    rules = api.mine_rules(spark, small_data, store)
+    some = rules.orderBy("rule_key").limit(2).collect()
+    assert rules.count() == api.mine_rules(spark, small_data, store).count() > 2
+    decided = spark.createDataFrame([(some[0].rule_key, "active", "ann", None), (some[1].rule_key, "rejected", "ann", None)], "rule_key string, state string, verified_by string, verified_at timestamp")
+    api.decide_rules(spark, store, decided)
+    assert [r.statement for r in api.call(spark, small_data, "get_rules", {}, store=store).collect()] == [some[0].statement]
+    got = api.call(spark, small_data, "compose_context", {"task": "keep the cache", "budget": 500, "deadline": 120.0}, store=store).collect()
+    assert {"rule", "commit"} <= {r.type for r in got} and all(r.tokens_after <= 500 or r.type == "rule" for r in got if r.taken)
+    assert api.call(spark, small_data, "compose_context", {"task": "keep the cache", "format": "markdown"}, store=store).first().markdown.startswith("# Context: keep the cache")
+
+
+def test_index_follows_the_tree(spark, small_data, tmp_path):
+    tree, store = tmp_path / "tree", f"file://{tmp_path}/index"
+    (tree / "src").mkdir(parents=True)
+    (tree / "src" / "a.py").write_text("def f(x):\n    return g(x)\n")
+    (tree / "src" / "b.py").write_text("def g(x):\n    return x\n")
+    (tree / "readme.md").write_text("# Tree\n\nWords about it.\n")
+    run = lambda: api.call(spark, small_data, "index_project", {"path": str(tree), "store": store}).first().asDict()
+    first = run()
+    assert (first["files"], first["symbols"], first["chunks"]) == (3, 2, 1) and first["relations"] >= 1 and run() == first
+    (tree / "src" / "a.py").write_text("def f(x):\n    return 1\n\ndef h():\n    return f(2)\n")
+    (tree / "src" / "b.py").unlink()
+    second = run()
+    assert (second["files"], second["symbols"], second["chunks"]) == (2, 2, 1)
+
+
+def test_state_of_a_project(spark, tmp_path):
+    from strataloom.operators import lifecycle
+    from strataloom.operators.store import Snapshots
+
+    s = Snapshots(spark, f"file://{tmp_path}/s")
+    s.commit("files", spark.createDataFrame([(1, "a"), (2, "b")], "project_id int, path string"))
+    lifecycle.append_usage(s, spark.createDataFrame([(1, "p", "m", 5), (2, "p", "m", 0), (2, "p", "m", 7)], "project_id int, provider string, model string, tokens int"))
+    assert lifecycle.delete_project(s, 1) == {"files": 1, "usage": 0}
+    assert rows(s.read("files")) == [(2, "b")] and sorted(r.project_id or 0 for r in s.read("usage").collect()) == [0, 2]
+    steps = [("one", lambda st: st.commit("t", spark.range(1))), ("two", lambda st: st.append("t", spark.range(2)))]
+    assert lifecycle.migrate(s, steps[:1]) == ["one"] and lifecycle.migrate(s, steps) == ["two"] and lifecycle.migrate(s, steps) == [] and s.read("t").count() == 3
+    kinds = [("m", lambda: spark.range(3)), ("bad", lambda: 1 / 0), ("n", lambda: spark.range(1))]
+    assert lifecycle.derive_all(s, kinds, "w1") == {"m": "derived", "bad": "failed: ZeroDivisionError", "n": "derived"}
+    assert lifecycle.derive_all(s, kinds, "w1") == {"m": "unchanged", "bad": "failed: ZeroDivisionError", "n": "unchanged"} and "bad" not in s.manifest()
