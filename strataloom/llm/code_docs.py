@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from strataloom.llm.gll import Parser
 from strataloom.llm.source_grammar import brace_head, functions_of, head_and_docstring
+from strataloom.session import cut
 
 #: A description given to at least so large a share of the differently named functions, and to so many of them, is a template.
 TEMPLATE_SHARE, TEMPLATE_NAMES = 0.001, 5
@@ -270,15 +271,19 @@ def _batch(out: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types)], names=names)
 
 
-def pairs_with_documentation(symbols: DataFrame, kinds: tuple[str, ...] = ("function", "method")) -> DataFrame:
-    """(symbol_id, description, inside, body): code and description of every function that has one."""
+def pairs_with_documentation(symbols: DataFrame, kinds: tuple[str, ...] = ("function", "method"), columns: tuple[str, ...] = ("symbol_id", "description", "inside", "body")) -> DataFrame:
+    """(symbol_id, description, inside, body): code and description of every function that has one.
+
+    What is asked for by ``columns`` is written once between the parse and the two counts of the templates.
+    """
     source = symbols.filter(F.col("kind").isin(*kinds) & F.col("id").isNotNull() & (F.trim("body") != "")).select(F.col("id").cast("bigint").alias("id"), "name", "signature", "doc", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield _batch(_judged(zip(*(c.to_pylist() for c in batch.columns))), [pa.int64(), *_TYPES], ["symbol_id", "name", "description", "inside", "template", "body"])
 
-    return _without_templates(source.mapInArrow(run, f"symbol_id bigint, {_FOUND}")).select("symbol_id", "description", "inside", "body")
+    found = cut(source.mapInArrow(run, f"symbol_id bigint, {_FOUND}").select(*columns, *[c for c in ("name", "template") if c not in columns]))
+    return _without_templates(found).select(*columns)
 
 
 def pairs_in_files(files: DataFrame) -> DataFrame:
@@ -295,5 +300,5 @@ def pairs_in_files(files: DataFrame) -> DataFrame:
             rows = ((k, f.name, f.signature, f.doc, f.body, f.start_line, f.end_line, f.repairs) for k, text in zip(*(c.to_pylist() for c in batch.columns)) for f in functions_of(text))
             yield _batch(_judged(rows), [pa.int64(), *_TYPES, *[pa.int32()] * 3], ["file_id", "name", "description", "inside", "template", "body", *more])
 
-    found = source.mapInArrow(run, f"file_id bigint, {_FOUND}, start_line int, end_line int, repairs int")
+    found = cut(source.mapInArrow(run, f"file_id bigint, {_FOUND}, start_line int, end_line int, repairs int"))
     return _without_templates(found).select("file_id", "name", "start_line", "end_line", "description", "inside", "repairs", "body")

@@ -13,7 +13,7 @@ from strataloom.llm import author_names, bpe_automaton, code_docs, contamination
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions and methods whose documentation says something."""
-    return code_docs.pairs_with_documentation(table(spark, sf_dir, "symbols")).select("symbol_id")
+    return code_docs.pairs_with_documentation(table(spark, sf_dir, "symbols"), columns=("symbol_id",))
 
 
 def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
