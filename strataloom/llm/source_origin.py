@@ -87,7 +87,7 @@ _MARK = re.compile(r"^(?:<\?php)?\s*(?:/\*+!?|\*+|//+!?|#+!?|--|<!--|;+|%+)\s*")
 
 
 #: Names that build tools reserve for what they write.
-REGISTERED = re.compile(r"(?:[._](?:pb2?|gen|generated|designer)(?:_grpc)?|\.g)\.\w+$|(?:^|/)__generated__/|(?:^|/)generated-(?:test-)?sources/|(?:^|/)cache/compiled/")
+REGISTERED = r"(?:[._](?:pb2?|gen|generated|designer)(?:_grpc)?|\.g)\.\w+$|(?:^|/)__generated__/|(?:^|/)generated-(?:test-)?sources/|(?:^|/)cache/compiled/"
 
 
 def lex(text: str) -> tuple[list[str], list[str], int, int]:
@@ -217,11 +217,11 @@ def is_signed(text: str) -> bool:
     return waiting
 
 
-def own_traits(text: str, path: str) -> tuple[list[str], list[str], list[str]]:
+def own_traits(text: str, path: str = "") -> tuple[list[str], list[str], list[str]]:
     """(reasons found in the file alone, masked tokens, tokens)."""
     masked, raw, literal, comment = lex(text)
     reasons: list[str] = []
-    if is_signed(text) or REGISTERED.search(path.replace("\\", "/")):
+    if is_signed(text) or re.search(REGISTERED, path.replace("\\", "/")):
         reasons.append("generated")
     code = max(1, len(text) - comment)
     if literal_only(masked, literal, code) and (len(masked) >= TINY or literal >= STUB):
@@ -237,18 +237,20 @@ def own_traits(text: str, path: str) -> tuple[list[str], list[str], list[str]]:
 
 
 def _features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The traits of each text; the other columns go along."""
     for part in parts:
         out = []
-        for file, project, path, text, sha in part[["id", "project_id", "path", "content", "sha"]].itertuples(index=False):
-            reasons, masked, raw = own_traits(text, path or "")
+        for text in part["content"]:
+            reasons, masked, raw = own_traits(text)
             shape = names = np.empty(0, np.uint64)
             bands: list[int] = []
             name_bands: list[int] = []
             if len(masked) >= TINY and "data" not in reasons:
                 shape, names = shingles(masked), shingles(raw)
                 bands, name_bands = band_keys(shape), band_keys(names, NAME_BANDS, NAME_ROWS)
-            out.append((file, project, sha, len(masked), sorted(set(reasons)), bands, name_bands, shape.astype(np.int64), names.astype(np.int64)))
-        yield pd.DataFrame(out, columns=["id", "project_id", "sha", "tokens", "reasons", "bands", "name_bands", "shape", "names"])
+            out.append((sorted(set(reasons)), bands, name_bands, shape.astype(np.int64), names.astype(np.int64)))
+        traits = pd.DataFrame(out, columns=["reasons", "bands", "name_bands", "shape", "names"], index=part.index)
+        yield pd.concat([part.drop(columns="content"), traits], axis=1)
 
 
 def _common(a: str, b: str) -> str:
@@ -283,26 +285,28 @@ def alike_files(classes: DataFrame) -> DataFrame:
     """
     place = classes.filter("lo = hi").select("id", F.col("lo").alias("project"))
     sized = classes.select("id", F.col("lo").alias("project"), F.expr("lo = hi").alias("single"), F.size("shape").alias("n"), F.size("names").alias("m"), "bands", "name_bands")
-    shapes = sized.filter("single").select("id", "n", "m", "project", F.explode("bands").alias("band"))
-    named = sized.select("id", "n", "m", F.lit(None).cast("int").alias("project"), F.explode("name_bands").alias("band"))
+    # One key per group: a masked band within its project, an unmasked band over all of them.
+    shapes = sized.filter("single").select("id", "n", "m", F.lit(True).alias("masked"), F.explode("bands").alias("band"), "project")
+    shapes = shapes.select("id", "n", "m", "masked", F.xxhash64("project", "band").alias("key"))
+    named = sized.select("id", "n", "m", F.lit(False).alias("masked"), F.explode("name_bands").alias("key"))
     bands = shapes.unionByName(named)
-    heads = bands.groupBy("project", "band").agg(F.min_by(F.struct("id", "n", "m"), "id").alias("h"), F.count("*").alias("members")).filter("members > 1")
-    heads = heads.select(F.col("project").alias("p1"), F.col("band").alias("b1"), F.col("h.id").alias("head"), F.col("h.n").alias("n2"), F.col("h.m").alias("m2"), F.ceil(F.col("members") / SALT_ROWS).cast("int").alias("salts"))
-    bands = cut(bands.join(heads, F.expr("band = b1 AND project <=> p1")).drop("b1", "p1"))
+    heads = bands.groupBy("key").agg(F.min_by(F.struct("id", "n", "m"), "id").alias("h"), F.count("*").alias("members")).filter("members > 1")
+    heads = heads.select("key", F.col("h.id").alias("head"), F.col("h.n").alias("n2"), F.col("h.m").alias("m2"), F.ceil(F.col("members") / SALT_ROWS).cast("int").alias("salts"))
+    bands = cut(bands.join(heads, "key"))
     # No two sets of these sizes can be as similar as is asked.
-    fits = F.expr(f"least(n, n2) >= {MASKED} * greatest(n, n2) AND (project IS NOT NULL OR least(m, m2) >= {NAMES} * greatest(m, m2))")
+    fits = F.expr(f"least(n, n2) >= {MASKED} * greatest(n, n2) AND (masked OR least(m, m2) >= {NAMES} * greatest(m, m2))")
     stars = _judged(bands.filter("id <> head").filter(fits).select("id", "head").distinct(), classes)
 
     copies = _copies(stars)
     state = classes.select("id").join(copies, "id", "left").join(_relatives(stars, place).withColumn("placed", F.lit(True)), "id", "left")
     state = cut(state.select("id", F.coalesce("component", "id").alias("component"), F.coalesce("placed", F.lit(False)).alias("placed")))
     told = cut(bands.drop("head", "n2", "m2").join(state, "id"))
-    right = [F.col(c).alias(d) for c, d in (("id", "head"), ("band", "b2"), ("project", "p2"), ("n", "n2"), ("m", "m2"), ("component", "c2"), ("placed", "placed2"))]
+    right = [F.col(c).alias(d) for c, d in (("id", "head"), ("key", "key2"), ("n", "n2"), ("m", "m2"), ("component", "c2"), ("placed", "placed2"))]
     left = told.withColumn("salt", F.expr("pmod(hash(id), salts)"))
     second = told.select(*right, F.explode(F.expr("sequence(0, salts - 1)")).alias("s2"))
     # A pair is open if one of the two has no family yet, or if the two are not yet joined by copies.
-    still = F.expr("CASE WHEN project IS NULL THEN component <> c2 ELSE NOT (placed AND placed2) END")
-    rest = left.join(second, F.expr("band = b2 AND salt = s2 AND project <=> p2 AND head < id")).filter(fits & still).select("id", "head").distinct()
+    still = F.expr("CASE WHEN masked THEN NOT (placed AND placed2) ELSE component <> c2 END")
+    rest = left.join(second, F.expr("key = key2 AND salt = s2 AND head < id")).filter(fits & still).select("id", "head").distinct()
     return stars.filter("alike > 0").unionByName(_judged(rest.join(stars, ["id", "head"], "left_anti"), classes).filter("alike > 0"))
 
 
@@ -312,11 +316,12 @@ def file_origins(files: DataFrame) -> DataFrame:
     ``class_id`` is the smallest file of its class of equal or copied texts, ``links`` the number of
     verified links of its text; a file told by itself alone has its own id and no links.
     """
-    texts = files.filter("id IS NOT NULL AND content IS NOT NULL").select("id", F.coalesce("project_id", -F.col("id")).cast("int").alias("project_id"), "path", "content", F.sha2("content", 256).alias("sha")).dropDuplicates(["id"])
-    schema = "id bigint, project_id int, sha string, tokens int, reasons array<string>, bands array<bigint>, name_bands array<bigint>, shape array<bigint>, names array<bigint>"
+    rows = files.filter("id IS NOT NULL AND content IS NOT NULL").select(F.col("id").cast("bigint").alias("id"), F.coalesce("project_id", -F.col("id")).cast("int").alias("project_id"), F.translate(F.coalesce("path", F.lit("")), "\\", "/").alias("path"), "content", F.sha2("content", 256).alias("sha"))
+    # Equal texts are read once; what is left of the files are small rows.
+    texts = rows.groupBy("sha").agg(F.min("id").alias("id"), F.min("project_id").alias("lo"), F.max("project_id").alias("hi"), F.count_distinct("id").alias("files"), F.first("content").alias("content"))
+    schema = "sha string, id bigint, lo int, hi int, files bigint, reasons array<string>, bands array<bigint>, name_bands array<bigint>, shape array<bigint>, names array<bigint>"
     traits = cut(texts.mapInPandas(_features, schema))
-    same = [F.min_by(c, "id").alias(c) for c in ("bands", "name_bands", "shape", "names")]
-    classes = cut(traits.filter(F.size("shape") > 0).groupBy("sha").agg(F.min("id").alias("id"), F.min("project_id").alias("lo"), F.max("project_id").alias("hi"), F.count("*").alias("files"), *same))
+    classes = traits.filter(F.size("shape") > 0)
     links = cut(alike_files(classes))
 
     whole = classes.select("id", "sha", "lo", "hi").join(_copies(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -330,6 +335,8 @@ def file_origins(files: DataFrame) -> DataFrame:
     more = vendored.unionByName(generated).groupBy("id").agg(F.collect_set("reason").alias("more"))
     count = links.select(F.explode(F.array("id", "head")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     told = whole.select("id", "sha", "component").join(more, "id").join(count, "id", "left").drop("id")
-    both = traits.select("id", "sha", "reasons").join(told, "sha", "left")
-    reasons = F.array_sort(F.array_union("reasons", F.coalesce("more", F.array().cast("array<string>"))))
+    members = rows.select("id", "sha", F.col("path").rlike(REGISTERED).alias("registered")).groupBy("id").agg(F.min("sha").alias("sha"), F.max("registered").alias("registered"))
+    none = F.array().cast("array<string>")
+    both = members.join(traits.select("sha", "reasons"), "sha").join(told, "sha", "left")
+    reasons = F.array_sort(F.array_distinct(F.concat("reasons", F.coalesce("more", none), F.when(F.col("registered"), F.array(F.lit("generated"))).otherwise(none))))
     return both.select(F.col("id").cast("int").alias("file_id"), reasons.alias("reasons"), F.coalesce("component", "id").cast("int").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")).filter("size(reasons) > 0")
