@@ -25,7 +25,12 @@ def reciprocal_ranks(ranked: DataFrame, by: list[str], item: str = "id", source:
 
 
 def with_rank(df: DataFrame, by: list[str], *order: Column, name: str = "rank", keep: int | None = None) -> DataFrame:
-    """Ranks from 1 inside ``by``; the order must be total. ``keep`` prunes before the shuffle (window group limit)."""
+    """Ranks from 1 inside ``by``; the order must be total. ``keep`` prunes before the shuffle (window group limit).
+
+    A rank over everything with ``keep`` takes the first rows by a distributed top-k and numbers only these.
+    """
+    if keep and not by:
+        df = df.orderBy(*order).limit(keep)
     w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
     out = df.withColumn(name, F.row_number().over(w))
     return out.filter(F.col(name) <= keep) if keep else out

@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor, TimeoutError
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions.ranking import CHANNEL_WEIGHTS, item_cost, pack, reciprocal_ranks, with_rank
@@ -230,6 +230,5 @@ def review_context(rules: DataFrame, memories: DataFrame, fixes: DataFrame, path
         inside = inside | ((F.col("scope") == scope) & F.lit(touched))
     kept = with_rank(alive.filter(F.col("pinned") | inside), [], F.col("pinned").desc(), F.col("memory_id")).select(F.lit("memory").alias("kind"), F.col("memory_id").cast("string").alias("ref"), F.col("content").alias("text"), "rank")
     hit = fixes.join(paths.select("path").distinct(), "path", "left_semi").select("sha", "subject", "authored_at").distinct()
-    order = Window.orderBy(F.col("authored_at").desc_nulls_last(), "sha")
-    past = hit.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= last_fixes).select(F.lit("fix").alias("kind"), F.col("sha").alias("ref"), F.col("subject").alias("text"), "rank")
+    past = with_rank(hit, [], F.col("authored_at").desc_nulls_last(), F.col("sha"), keep=last_fixes).select(F.lit("fix").alias("kind"), F.col("sha").alias("ref"), F.col("subject").alias("text"), "rank")
     return ruled.unionByName(kept).unionByName(past)

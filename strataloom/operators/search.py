@@ -11,7 +11,7 @@ beyond a project.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.functions.ranking import reciprocal_ranks, with_rank
@@ -132,8 +132,7 @@ def recall(memories: DataFrame, ranked: DataFrame, limit: int) -> DataFrame:
     alive = memories.join(memories.filter("supersedes IS NOT NULL").select(F.col("supersedes").alias("memory_id")), "memory_id", "left_anti")
     best = ranked.groupBy("memory_id").agg(F.max("score").alias("score"))
     rows = alive.join(best, "memory_id", "left").filter("pinned OR score IS NOT NULL").select("memory_id", F.col("pinned").alias("pinned"), F.when(~F.col("pinned"), F.col("score")).alias("score"))
-    order = Window.orderBy(F.col("pinned").desc(), F.col("score").desc_nulls_last(), "memory_id")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    return with_rank(rows, [], F.col("pinned").desc(), F.col("score").desc_nulls_last(), F.col("memory_id"), keep=limit)
 
 
 def snippet(text: Column, chars: int = 600) -> Column:

@@ -12,8 +12,10 @@ from __future__ import annotations
 import ast
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -96,29 +98,79 @@ def _blank(text: str, noise: re.Pattern) -> str:
     return noise.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
 
 
-def _close(plain: str, opened: int) -> int:
-    """Where the bracket opened at ``opened`` is closed; the end of the text if it is not."""
-    depth = 0
-    for k in range(opened, len(plain)):
-        c = plain[k]
-        depth += c == "{"
-        depth -= c == "}"
-        if depth == 0 and c == "}":
-            return k
-    return len(plain) - 1
+class _Places:
+    """Lines, bracket pairs and round brackets of a text, found in one pass each and looked up by bisection."""
+
+    def __init__(self, text: str, plain: str):
+        self.breaks = [m.start() for m in re.finditer("\n", text)]
+        self.round = [m.start() for m in re.finditer(r"\(", plain)]
+        self.last = len(plain) - 1
+        self.closed: dict[int, int] = {}
+        opened: list[int] = []
+        for m in re.finditer(r"[{}]", plain):
+            if m[0] == "{":
+                opened.append(m.start())
+            elif opened:
+                self.closed[opened.pop()] = m.start()
+
+    def line(self, at: int) -> int:
+        return bisect_left(self.breaks, at) + 1
+
+    def close(self, opened: int) -> int:
+        """Where the bracket opened at ``opened`` is closed; the end of the text if it is not."""
+        return self.closed.get(opened, self.last)
+
+    def bracket_between(self, begin: int, end: int) -> bool:
+        k = bisect_left(self.round, begin)
+        return k < len(self.round) and self.round[k] < end
+
+
+class _Spans:
+    """Spans with a value, for the outermost or innermost one around a place."""
+
+    def __init__(self, spans: list[tuple[int, int, Any]]):
+        self.spans = sorted(spans, key=lambda s: (s[0], -s[1]))
+        self.begins = [b for b, _, _ in self.spans]
+        self.around: list[int] = []  # the span that the span begins in
+        open_: list[int] = []
+        for k, (begin, _, _) in enumerate(self.spans):
+            while open_ and self.spans[open_[-1]][1] < begin:
+                open_.pop()
+            self.around.append(open_[-1] if open_ else -1)
+            open_.append(k)
+
+    def inner(self, at: int) -> Any | None:
+        k = bisect_right(self.begins, at) - 1
+        while k >= 0 and self.spans[k][1] < at:
+            k = self.around[k]
+        return self.spans[k][2] if k >= 0 else None
+
+    def outer(self, at: int) -> Any | None:
+        """Of the spans that hold the place inside, the one that begins first."""
+        k, found = bisect_left(self.begins, at) - 1, None
+        while k >= 0:
+            if at < self.spans[k][1]:
+                found = self.spans[k][2]
+            k = self.around[k]
+        return found
 
 
 def _doc_above(text: str, start: int) -> str | None:
-    before = text[:start].rstrip(" \t")
-    before = re.sub(r"(?:export|default|abstract|final|public|private|protected|static|async)\s*\Z", "", before).rstrip()
-    block = re.search(r"/\*\*?(?:(?!\*/).)*\*/\Z", before, re.S)
-    if block:
-        return block[0]
+    """The block comment or the run of line comments that ends where the declaration begins; only these lines are looked at."""
+    line = text.rfind("\n", 0, start) + 1
+    tail = re.sub(r"(?:export|default|abstract|final|public|private|protected|static|async)\s*\Z", "", text[line:start].rstrip(" \t"))
+    end = line + len(tail.rstrip()) if tail.strip() else len(text[:line].rstrip())
+    if text.endswith("*/", 0, end):
+        opened = text.rfind("/*", 0, end - 2)
+        return text[opened:end] if opened >= 0 and "*/" not in text[opened + 2 : end - 2] else None
     lines = []
-    for line in reversed(before.split("\n")):
-        if not re.match(r"\s*(//|#)", line):
+    while end > 0:
+        begin = text.rfind("\n", 0, end) + 1
+        said = text[begin:end]
+        if not re.match(r"\s*(//|#)", said):
             break
-        lines.append(line.strip())
+        lines.append(said.strip())
+        end = begin - 1
     return "\n".join(reversed(lines)) or None
 
 
@@ -142,42 +194,43 @@ _ARROW = re.compile(r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*
 def parse_brackets(text: str, lang: str) -> tuple[list[Symbol], list[Relation]]:
     php, go = lang == "php", lang == "go"
     plain = _blank(text, _PHP_NOISE if php else _NOISE)
-    line_of = lambda k: text.count("\n", 0, k) + 1
+    places = _Places(text, plain)
+    line_of = places.line
     found: list[tuple[int, int, str, str, str]] = []  # begin, end, name, kind, parameters
     space = re.search(r"\bnamespace\s+([\w\\]+)\s*[;{]", plain) if php else None
     prefix = space[1] + "\\" if space else ""
     if go:
-        found += [(m.start(), _close(plain, m.end() - 1), f"{m[1]}::{m[2]}" if m[1] else m[2], "method" if m[1] else "function", m[3]) for m in _GO_FUNC.finditer(plain)]
-        found += [(m.start(), _close(plain, m.end() - 1), m[1], "interface" if m[2] == "interface" else "class", "") for m in _GO_TYPE.finditer(plain)]
+        found += [(m.start(), places.close(m.end() - 1), f"{m[1]}::{m[2]}" if m[1] else m[2], "method" if m[1] else "function", m[3]) for m in _GO_FUNC.finditer(plain)]
+        found += [(m.start(), places.close(m.end() - 1), m[1], "interface" if m[2] == "interface" else "class", "") for m in _GO_TYPE.finditer(plain)]
     else:
         types, functions, members = _DECLARATIONS["php" if php else "script"]
-        classes = [(m.start(), _close(plain, m.end() - 1), prefix + m[2], m[1]) for m in types.finditer(plain)]
+        classes = [(m.start(), places.close(m.end() - 1), prefix + m[2], m[1]) for m in types.finditer(plain)]
         found += [(b, e, n, k, "") for b, e, n, k in classes]
-        within = lambda k: next((n for b, e, n, _ in classes if b < k < e), None)
+        within = _Spans([(b, e, n) for b, e, n, _ in classes]).outer
         for m in functions.finditer(plain):
             if not within(m.start()):
-                found.append((m.start(), _close(plain, m.end() - 1), prefix + m[1], "function", m[2]))
+                found.append((m.start(), places.close(m.end() - 1), prefix + m[1], "function", m[2]))
         for m in members.finditer(plain):
             owner = within(m.start())
             if owner and m[1] not in NOT_CALLS:
-                found.append((m.start() + len(m[0]) - len(m[0].lstrip()), _close(plain, m.end() - 1), f"{owner}::{m[1]}", "method", m[2]))
+                found.append((m.start() + len(m[0]) - len(m[0].lstrip()), places.close(m.end() - 1), f"{owner}::{m[1]}", "method", m[2]))
         if not php:
-            found += [(m.start(), _close(plain, m.end() - 1), m[1], "function", m[2] or "") for m in _ARROW.finditer(plain) if not within(m.start())]
+            found += [(m.start(), places.close(m.end() - 1), m[1], "function", m[2] or "") for m in _ARROW.finditer(plain) if not within(m.start())]
     found = sorted(set(found))
     symbols = [_symbol(n, k, text[b : e + 1], _doc_above(text, b), line_of(b), line_of(e)) for b, e, n, k, _ in found]
     relations: list[Relation] = []
 
-    def owner_of(k: int) -> tuple[str, set[str]]:
-        inner = [(b, e, n, p) for b, e, n, kind, p in found if b <= k <= e and kind in ("function", "method")]
-        if not inner:
-            return FILE_SCOPE, set()
-        b, e, n, p = max(inner, key=lambda x: x[0])
-        return n, set(re.findall(r"[A-Za-z_]\w*", p))
+    bodies = _Spans([(b, e, (n, frozenset(re.findall(r"[A-Za-z_]\w*", p)))) for b, e, n, kind, p in found if kind in ("function", "method")])
 
-    heads = {b for b, *_ in found}
+    def owner_of(k: int) -> tuple[str, frozenset[str]]:
+        return bodies.inner(k) or (FILE_SCOPE, frozenset())
+
+    heads = sorted({b for b, _, _, kind, _ in found if kind in ("function", "method")})
     for m in re.finditer(r"(\bnew\s+)?(?<![\w$])\$?([A-Za-z_][\w$\\]*)\s*\(", plain):
         name = m[2]
-        if name in NOT_CALLS or any(h <= m.start() and "(" not in plain[h : m.start()] for h in heads if h <= m.start() < h + 200):
+        head = bisect_right(heads, m.start()) - 1
+        # The first bracket after the beginning of a declaration is that of its own parameters.
+        if name in NOT_CALLS or (head >= 0 and not places.bracket_between(heads[head], m.start())):
             continue
         owner, hidden = owner_of(m.start())
         if name in hidden:
@@ -226,18 +279,18 @@ def parse_markup(text: str) -> list[Symbol]:
 
 
 def parse_xml(text: str) -> list[Symbol]:
-    line_of = lambda k: text.count("\n", 0, k) + 1
+    line_of = _Places(text, "").line
     return [_symbol(m[1], "element", m[0], None, line_of(m.start()), line_of(m.start())) for m in re.finditer(r"<([A-Za-z_][\w:.-]*)\b[^<>]*>", re.sub(r"<!--.*?-->", lambda c: re.sub(r"[^\n]", " ", c[0]), text, flags=re.S))]
 
 
 def parse_css(text: str) -> list[Symbol]:
     plain = re.sub(r"/\*.*?\*/", lambda c: re.sub(r"[^\n]", " ", c[0]), text, flags=re.S)
-    out = []
+    out, places = [], _Places(text, plain)
     for m in re.finditer(r"([^{};]+)\{", plain):
         name = " ".join(m[1].split())
         if name:
-            begin, end = m.start() + len(m[1]) - len(m[1].lstrip()), _close(plain, m.end() - 1)
-            out.append(_symbol(name, "rule", text[begin : end + 1], None, text.count("\n", 0, begin) + 1, text.count("\n", 0, end) + 1))
+            begin, end = m.start() + len(m[1]) - len(m[1].lstrip()), places.close(m.end() - 1)
+            out.append(_symbol(name, "rule", text[begin : end + 1], None, places.line(begin), places.line(end)))
     return out
 
 
