@@ -115,9 +115,14 @@ def latest_per_path(commits: DataFrame, touches: DataFrame) -> DataFrame:
     return fixes.withColumn("n", F.row_number().over(order)).filter("n = 1").select("project_id", "path", "sha")
 
 
-def resolve_mentions(mentions: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(doc_id, mention, symbol_id): names that documents speak of, where exactly one symbol of the project has the name or ends in it."""
-    keys = F.array_distinct(F.array("name", F.regexp_replace("name", r"^.*::", "")))
-    named = symbols.filter("name IS NOT NULL AND id IS NOT NULL").select("project_id", "id", F.explode(keys).alias("mention"))
-    one = named.groupBy("project_id", "mention").agg(F.min("id").alias("symbol_id"), F.max("id").alias("last")).filter("symbol_id = last").drop("last")
-    return mentions.join(one, ["project_id", "mention"]).select("doc_id", "mention", "symbol_id")
+def resolve_mentions(mentions: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(doc_id, kind, mention, target): names and paths that documents speak of, where exactly one symbol or file of the project has the name or ends in it.
+
+    ``mentions``: doc_id, project_id, kind (identifier or path), mention. Endings are exploded keys, so both are equi-joins.
+    """
+    tails = F.array_distinct(F.array("name", F.regexp_replace("name", r"^.*::", "")))
+    named = symbols.filter("name IS NOT NULL AND id IS NOT NULL").select("project_id", F.lit("identifier").alias("kind"), F.col("id").cast("bigint").alias("id"), F.explode(tails).alias("mention"))
+    ends = F.expr("transform(sequence(1, size(split(path, '/'))), n -> substring_index(path, '/', -n))")
+    placed = files.filter("path IS NOT NULL AND id IS NOT NULL").select("project_id", F.lit("path").alias("kind"), F.col("id").cast("bigint").alias("id"), F.explode(ends).alias("mention"))
+    one = named.unionByName(placed).groupBy("project_id", "kind", "mention").agg(F.min("id").alias("target"), F.max("id").alias("last")).filter("target = last").drop("last")
+    return mentions.join(one, ["project_id", "kind", "mention"]).select("doc_id", "kind", "mention", "target")

@@ -12,6 +12,7 @@ from strataloom.operators import history, lifecycle, search
 from strataloom.plans.evaluation import sample_commits
 from strataloom.plans.history_queries import SQL as HISTORY_SQL
 from strataloom.plans.history_queries import U
+from strataloom.plans.text_queries import MENTIONS
 
 QUERIES, SQL = {}, {}
 
@@ -72,15 +73,15 @@ def commit_issues(spark, d):
     return lifecycle.issues_of(c, refs).withColumn("issues", F.array_join("issues", " "))
 
 
-@query(r"""WITH p AS (SELECT doc_id, project_id, regexp_replace(text, '(?ms)^[ \t]*(?:```.*?(?:^[ \t]*```[^\n]*$|\z)|~~~.*?(?:^[ \t]*~~~[^\n]*$|\z))', '', 'g') AS text FROM documents WHERE text IS NOT NULL),
-m AS (SELECT DISTINCT doc_id, project_id, trim(unnest(regexp_extract_all(text, '`([^`\n]+)`', 1))) AS mention FROM p), k AS (SELECT project_id, id, name AS mention FROM symbols WHERE name IS NOT NULL UNION SELECT project_id, id, regexp_replace(name, '^.*::', '') FROM symbols WHERE name IS NOT NULL),
-o AS (SELECT project_id, mention, min(id) AS symbol_id FROM k GROUP BY 1, 2 HAVING count(DISTINCT id) = 1)
-SELECT m.doc_id, m.mention, o.symbol_id FROM m JOIN o USING (project_id, mention) WHERE regexp_full_match(m.mention, '[A-Za-z_$][A-Za-z0-9_$]*(?:::[A-Za-z_$][A-Za-z0-9_$]*)?')""")
+@query(f"""WITH {MENTIONS}, k AS (SELECT project_id, 'identifier' AS kind, CAST(id AS BIGINT) AS id, unnest(list_distinct([name, regexp_replace(name, '^.*::', '')])) AS key FROM symbols WHERE name IS NOT NULL
+ UNION ALL SELECT project_id, 'path', id, unnest(list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: array_to_string(string_split(path, '/')[i:], '/'))) FROM files WHERE path IS NOT NULL),
+o AS (SELECT project_id, kind, key, min(id) AS target FROM k GROUP BY 1, 2, 3 HAVING count(DISTINCT id) = 1)
+SELECT m.doc_id, m.kind, m.mention, o.target FROM mentions m JOIN o ON o.project_id = m.project_id AND o.kind = m.kind AND o.key = m.mention""")
 def mention_resolution(spark, d):
-    """Names in documents resolved to the one symbol of the project that bears them."""
+    """Names and paths in documents resolved to the one symbol or file of the project that bears them."""
     docs_ = table(spark, d, "documents")
-    said = docs.mention_rows(docs_).filter("kind = 'identifier'").select("doc_id", "mention")
-    return lifecycle.resolve_mentions(said.join(docs_.select("doc_id", "project_id"), "doc_id"), table(spark, d, "symbols"))
+    said = docs.mention_rows(docs_).join(docs_.select("doc_id", "project_id"), "doc_id")
+    return lifecycle.resolve_mentions(said, table(spark, d, "symbols"), table(spark, d, "files"))
 
 
 @query("SELECT c.id AS chunk_id, c.project_id, d.doc_type, d.title, c.ord FROM chunks c JOIN documents d ON d.doc_id = c.entity_id")

@@ -148,40 +148,83 @@ def _cue_sql() -> str:
     return "CASE " + " ".join(rows) + " END"
 
 
-@query(rf"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?ms)^[ \t]*(?:```.*?(?:^[ \t]*```[^\n]*$|\z)|~~~.*?(?:^[ \t]*~~~[^\n]*$|\z))', '', 'g'), '[ \t\r\f]*\n[ \t\r\f]*', chr(10), 'g') AS t FROM documents WHERE text IS NOT NULL),
+_NORMATIVE = rf"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?ms)^[ \t]*(?:```.*?(?:^[ \t]*```[^\n]*$|\z)|~~~.*?(?:^[ \t]*~~~[^\n]*$|\z))', '', 'g'), '[ \t\r\f]*\n[ \t\r\f]*', chr(10), 'g') AS t FROM documents WHERE text IS NOT NULL),
  b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?m)^[ \t\r\f]*[#>|][^\n]*$', '', 'g'), '(?m)^[ \t\r\f]*(?:[-*+]|[0-9]+[.)])[ \t]+', chr(10), 'g') AS t FROM a),
  p AS (SELECT doc_id, unnest(regexp_split_to_array(t, '\n\n+')) AS p FROM b),
  s AS (SELECT doc_id, unnest(string_split(regexp_replace(replace(p, chr(10), ' '), '([.!?])[ \t\r\f]+', '\1' || chr(1), 'g'), chr(1))) AS r FROM p),
  w AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(r, '\*\*|__|`', '', 'g'), '^[ \t\r\f*_-]+', ''), '[ \t\r\f*_]+$', '') AS said FROM s),
  v AS (SELECT doc_id, said FROM w WHERE length(said) BETWEEN 1 AND {docs.LONGEST} AND NOT suffix(said, '?') AND regexp_matches(said, '^[^ \t]+(?:[ \t]+[^ \t]+){{{docs.FEWEST_WORDS - 1},}}') AND NOT regexp_matches(regexp_replace(said, '[.!]+$', ''), '(?i)(?:^|{docs._EDGE})(?:{docs.OPEN_END})$'))
- SELECT doc_id, regexp_replace(said, '[.;,]+$', '') AS sentence, c.confidence AS confidence, c.cue AS cue FROM (SELECT *, {_cue_sql()} AS c FROM v) WHERE c IS NOT NULL""")
+ SELECT doc_id, regexp_replace(said, '[.;,]+$', '') AS sentence, c.confidence AS confidence, c.cue AS cue FROM (SELECT *, {_cue_sql()} AS c FROM v) WHERE c IS NOT NULL"""
+
+
+@query(_NORMATIVE)
 def normative_sentences(spark, d):
     """Sentences that prescribe, of every document."""
     return docs.rule_sentences(table(spark, d, "documents"))
 
 
-@query()
+@query("WITH n AS (" + _NORMATIVE + r"""), s AS (SELECT doc_id, sentence, greatest(0.1, least(0.95, round(confidence, 2))) AS confidence, regexp_replace(regexp_replace(lower(trim(sentence)), '\s+', ' ', 'g'), '[.!?;:,]+$', '') AS norm FROM n)
+SELECT rule_key, statement, confidence, 'doc' AS origin, origin_ref FROM (SELECT 'rule:' || substr(sha256(norm || '|'), 1, 12) AS rule_key, sentence AS statement, confidence, doc_id AS origin_ref, row_number() OVER (PARTITION BY norm ORDER BY confidence DESC, doc_id, sentence) AS r FROM s WHERE confidence >= 0.4) WHERE r = 1""")
 def rule_candidates(spark, d):
     from strataloom.operators.knowledge import propose
 
     return propose(table(spark, d, "documents"), "doc")
 
 
-@query()
-def adr_sections(spark, d):
-    return docs.record_rows(table(spark, d, "documents"))
+_FENCE = r"(?ms)^[ \t]*(?:```.*?(?:^[ \t]*```[^\n]*$|\z)|~~~.*?(?:^[ \t]*~~~[^\n]*$|\z))"
+#: Lines of every text, a fence being one line (its line ends hidden), and sections numbered by the headings before them.
+_SECTIONS = rf"""f AS (SELECT doc_id, string_split(regexp_replace(text, '{_FENCE}', '⟦⟧', 'g'), '⟦⟧') AS p, list_transform(regexp_extract_all(text, '{_FENCE}'), lambda x: replace(x, chr(10), '⟦n⟧')) AS c FROM prose WHERE text IS NOT NULL),
+w AS (SELECT doc_id, array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || coalesce(c[i], '')), '') AS text FROM f),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM w),
+h AS (SELECT *, regexp_matches(line, '^#{{1,6}}\s+\S') AS head FROM l), g AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY n) AS s FROM h),
+sec AS (SELECT doc_id, s, max(CASE WHEN head THEN length(regexp_extract(line, '^(#+)', 1)) ELSE 0 END) AS level, max(CASE WHEN head THEN regexp_extract(line, '^#+\s+(\S.*?)\s*#*\s*$', 1) ELSE '' END) AS heading, replace(array_to_string(list(CASE WHEN head THEN NULL ELSE line END ORDER BY n), chr(10)), '⟦n⟧', chr(10)) AS body FROM g GROUP BY 1, 2),
+kept AS (SELECT *, regexp_replace(regexp_replace(body, '^[\s\p{{Z}}\x0b\x1c-\x1f\x85]+', ''), '[\s\p{{Z}}\x0b\x1c-\x1f\x85]+$', '') AS inner_text FROM sec WHERE s > 0 OR regexp_matches(body, '[^\s\p{{Z}}\x0b\x1c-\x1f\x85]'))"""
 
 
-@query()
+@query(f"""WITH prose AS (SELECT doc_id, text FROM documents), {_SECTIONS}, up AS (SELECT a.doc_id, b.s, string_agg(a.heading, ' > ' ORDER BY a.s) AS trail FROM kept a JOIN kept b ON a.doc_id = b.doc_id AND a.s <= b.s AND a.level > 0 AND (a.s = b.s OR (a.level < b.level AND NOT EXISTS (SELECT 1 FROM kept x WHERE x.doc_id = a.doc_id AND x.s > a.s AND x.s <= b.s AND x.level <= a.level))) GROUP BY 1, 2)
+SELECT kept.doc_id, CAST(row_number() OVER (PARTITION BY kept.doc_id ORDER BY kept.s) - 1 AS INTEGER) AS ord, CAST(level AS INTEGER) AS level, heading, coalesce(trail, '') AS heading_path, length(regexp_replace(inner_text, '\\s', '', 'g')) AS letters FROM kept LEFT JOIN up ON up.doc_id = kept.doc_id AND up.s = kept.s""")
+def markdown_sections(spark, d):
+    """The sections of every document with their breadcrumb; of the content the number of characters that are no blanks."""
+    rows = docs.section_rows(table(spark, d, "documents"))
+    heading = F.when(F.col("level") > 0, F.regexp_replace("content", r"^[^\n]*", "")).otherwise(F.col("content"))
+    return rows.select("doc_id", "ord", "level", "heading", "heading_path", F.length(F.regexp_replace(heading, r"[ \t\n\r\f]", "")).alias("letters"))
+
+
+#: Paths and identifiers of the prose; blanks and quotes are doubled, so that one can end a path and the other begin the next.
+MENTIONS = rf"""p AS (SELECT doc_id, project_id, regexp_replace(text, '{_FENCE}', '', 'g') AS text FROM documents WHERE text IS NOT NULL),
+said AS (SELECT DISTINCT doc_id, project_id, 'identifier' AS kind, trim(unnest(regexp_extract_all(text, '`([^`\n]+)`', 1))) AS mention FROM p
+ UNION ALL SELECT DISTINCT doc_id, project_id, 'path', unnest(regexp_extract_all(' ' || regexp_replace(text, '([\s`"''])', '\1\1', 'g') || ' ', '[\s`("''\[]((?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\.[A-Za-z0-9]{{1,5}})[\s`)"''\],.:;]', 1)) FROM p),
+mentions AS (SELECT * FROM said WHERE CASE kind WHEN 'path' THEN lower(regexp_extract(mention, '([^.]*)$', 1)) IN ({", ".join(f"'{x}'" for x in docs.PATH_EXTENSIONS)}) ELSE regexp_full_match(mention, '[A-Za-z_$][A-Za-z0-9_$]*(?:::[A-Za-z_$][A-Za-z0-9_$]*)?') END)"""
+
+
+@query(f"WITH {MENTIONS} SELECT doc_id, kind, mention FROM mentions")
 def doc_mentions(spark, d):
     return docs.mention_rows(table(spark, d, "documents"))
 
 
-@query()
+_FRONT = r"""WITH h AS (SELECT doc_id, regexp_extract(text, '(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)', 1) AS head FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, unnest(string_split(head, chr(10))) AS line, generate_subscripts(string_split(head, chr(10)), 1) AS n FROM h WHERE head <> ''),
+k AS (SELECT *, regexp_matches(line, '^[A-Za-z0-9_.-]+\s*:') AS starts FROM l), g AS (SELECT *, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY n) AS e FROM k),
+v AS (SELECT doc_id, e, max(CASE WHEN starts THEN regexp_extract(line, '^([A-Za-z0-9_.-]+)', 1) END) AS field, max(CASE WHEN starts THEN trim(regexp_extract(line, '^[^:]*:(.*)$', 1), ' ' || chr(9) || chr(13)) END) AS value, list(regexp_extract(line, '^\s*-\s+(.*?)\s*$', 1) ORDER BY n) FILTER (NOT starts AND regexp_matches(line, '^\s*-\s+')) AS items FROM g WHERE e > 0 GROUP BY 1, 2),
+z AS (SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY e DESC) AS r FROM v)
+SELECT doc_id, field, list_transform(CASE WHEN value = '' THEN coalesce(items, []) WHEN starts_with(value, '[') AND suffix(value, ']') THEN list_filter(list_transform(string_split(value[2:-2], ','), lambda x: trim(x)), lambda x: x <> '') ELSE [value] END, lambda x: regexp_replace(regexp_replace(trim(x), '^[''"]', ''), '[''"]$', '')) AS "values" FROM z WHERE r = 1"""
+
+
+@query(_FRONT)
 def front_matter(spark, d):
     return docs.front_matter_rows(table(spark, d, "documents"))
 
 
+@query(rf"""WITH prose AS (SELECT doc_id, regexp_replace(text, '(?s)\A---[ \t]*\r?\n.*?\r?\n---[ \t]*(?:\r?\n|\z)', '') AS text FROM documents), {_SECTIONS}, fm AS ({_FRONT}),
+m AS (SELECT doc_id, CASE WHEN regexp_matches(heading, '(?i)^status\b') THEN 'status' WHEN regexp_matches(heading, '(?i)^context\b') THEN 'context' WHEN regexp_matches(heading, '(?i)^decision\b') THEN 'decision' WHEN regexp_matches(heading, '(?i)^(consequences|outcome|results?)\b') THEN 'consequences' END AS part, s, nullif(inner_text, '') AS said FROM kept WHERE level > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, part ORDER BY s) AS r FROM m WHERE part IS NOT NULL),
+x AS (SELECT doc_id, max(CASE WHEN part = 'status' THEN nullif(string_split(said, chr(10))[1], '') END) AS status, max(CASE WHEN part = 'context' THEN said END) AS context, max(CASE WHEN part = 'decision' THEN said END) AS decision, max(CASE WHEN part = 'consequences' THEN said END) AS consequences FROM o WHERE r = 1 GROUP BY 1),
+st AS (SELECT doc_id, nullif("values"[1], '') AS given FROM fm WHERE field = 'status')
+SELECT d.doc_id, coalesce(given, status) AS status, context, decision, consequences FROM documents d LEFT JOIN x ON x.doc_id = d.doc_id LEFT JOIN st ON st.doc_id = d.doc_id WHERE coalesce(given, status, context, decision, consequences) IS NOT NULL""")
+def adr_sections(spark, d):
+    """Parts of decision records; a status in the front matter comes before one in a section."""
+    return docs.record_rows(table(spark, d, "documents"))
+
+
 @query(r"""SELECT id AS file_id, CASE WHEN regexp_matches(lower(path), '(^|/)(adr|adrs|decisions|decision-records)/') OR regexp_matches(regexp_extract(lower(path), '([^/]*)$', 1), '^[0-9]{3,4}[-_]') THEN 'adr' WHEN regexp_matches(regexp_extract(lower(path), '([^/]*)$', 1), '^readme\b') THEN 'readme'
  WHEN regexp_matches(regexp_extract(lower(path), '([^/]*)$', 1), '^changelog\b') THEN 'changelog' WHEN regexp_matches(regexp_extract(lower(path), '([^/]*)$', 1), '^contributing\b') THEN 'contributing' WHEN regexp_matches(lower(path), '(^|/)(docs?|documentation|guides?)/') THEN 'guide' ELSE 'note' END AS doc_type FROM files""")
 def doc_classify(spark, d):
