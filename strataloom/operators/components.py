@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strataloom.session import cut, release
@@ -23,8 +23,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     links = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up"), F.lit(True).alias("moved")))
-    while labels.filter("moved").limit(1).count():
+    labels, moved = _written(links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up"), F.lit(True).alias("moved")))
+    while moved:
         above = labels.select(F.col("node").alias("up"), F.col("up").alias("top"))
         jumped = labels.select("node", "up").join(above, "up")
         near = links.join(jumped.select(F.col("node").alias("b"), "top"), "b").groupBy(F.col("a").alias("node")).agg(F.min("top").alias("least"))
@@ -32,6 +32,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         mine = seen.select("node", F.col("up").alias("old"), F.least("top", "least").alias("new"))
         hooked = seen.select(F.col("up").alias("node"), F.lit(None).cast(links.schema["a"].dataType).alias("old"), F.col("least").alias("new"))
         after = mine.unionByName(hooked).groupBy("node").agg(F.max("old").alias("old"), F.min("new").alias("up"))
-        before, labels = labels, cut(after.select("node", "up", (F.col("up") < F.col("old")).alias("moved")))
+        before = labels
+        labels, moved = _written(after.select("node", "up", (F.col("up") < F.col("old")).alias("moved")))
         release(before)
     return labels.select("node", F.col("up").alias("component"))
+
+
+def _written(labels: DataFrame) -> tuple[DataFrame, int]:
+    """The pointers as a table, and how many of them moved, counted while they were written."""
+    seen = Observation()
+    return cut(labels.observe(seen, F.count(F.when(F.col("moved"), True)).alias("moved"))), seen.get["moved"]
