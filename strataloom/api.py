@@ -258,8 +258,10 @@ def _module(c: Catalog, module: str) -> DataFrame:
 
 
 def _clusters(c: Catalog, limit: int) -> DataFrame:
-    rows = derive.fix_clusters(c("commits"), c("commit_files"))
-    return with_rank(rows, ["project_id"], F.col("size").desc(), F.col("module"), F.col("term"), keep=limit)
+    """The largest clusters with the newest fixes of each."""
+    rows = with_rank(derive.fix_clusters(c("commits"), c("commit_files")), ["project_id"], F.col("size").desc(), F.col("module"), F.col("term"), keep=limit)
+    shown = derive.cluster_examples(c("commits"), c("commit_files")).groupBy("project_id", "module", "term").agg(F.array_sort(F.collect_list(F.struct("n", "sha", "subject"))).alias("examples"))
+    return rows.join(shown, ["project_id", "module", "term"])
 
 
 def _overview(c: Catalog) -> DataFrame:

@@ -137,15 +137,28 @@ def top_terms(members: DataFrame, group: str, bucket: str, key: str, text: str,
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= keep).select(group, bucket, "rank", "term", "score")
 
 
-def fix_clusters(commits: DataFrame, commit_files: DataFrame, min_size: int = 2) -> DataFrame:
-    """Recurring fixes by (module, term) bucket: project_id, module, term, size, first_at, last_at."""
-    fixes = unique_commits(commits).filter("is_fix").select("project_id", "entity_id", "subject", "authored_at")
+def _bucketed_fixes(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
+    """Fixes with their module and term: project_id, entity_id, sha, subject, authored_at, module, term."""
+    fixes = unique_commits(commits).filter("is_fix").select("project_id", "entity_id", "sha", "subject", "authored_at")
     bucket = bucket_terms(fixes, "project_id", "entity_id", "subject").select("entity_id", "term")
     home = dominant_module(commits, commit_files).select("entity_id", "module")
-    rows = fixes.join(bucket, "entity_id").join(home, "entity_id", "left").withColumn("module", F.coalesce("module", F.lit("")))
+    return fixes.join(bucket, "entity_id").join(home, "entity_id", "left").withColumn("module", F.coalesce("module", F.lit("")))
+
+
+def fix_clusters(commits: DataFrame, commit_files: DataFrame, min_size: int = 2) -> DataFrame:
+    """Recurring fixes by (module, term) bucket: project_id, module, term, size, first_at, last_at."""
+    rows = _bucketed_fixes(commits, commit_files)
     return rows.groupBy("project_id", "module", "term").agg(F.count("*").alias("size"), F.min("authored_at").alias("first_at"), F.max("authored_at").alias("last_at")).filter(F.col("size") >= min_size)
 
 
+def cluster_examples(commits: DataFrame, commit_files: DataFrame, min_size: int = 2, keep: int = 5) -> DataFrame:
+    """(project_id, module, term, n, sha, subject): the newest fixes of every cluster."""
+    bucket = ["project_id", "module", "term"]
+    order = Window.partitionBy(*bucket).orderBy(F.col("authored_at").desc_nulls_last(), "sha")
+    rows = _bucketed_fixes(commits, commit_files).withColumn("n", F.row_number().over(order)).withColumn("size", F.count("*").over(Window.partitionBy(*bucket)))
+    return rows.filter((F.col("size") >= min_size) & (F.col("n") <= keep)).select(*bucket, "n", "sha", "subject")
+
+
 def leader_clusters(vectors: DataFrame, group: str, key: str, vector: str, threshold: float = 0.82) -> DataFrame:
     """(group, key, cluster, similarity): greedy leader clustering with running-mean centroids, in order of the key.
 

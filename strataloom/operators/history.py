@@ -40,14 +40,14 @@ def path_touches(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
 
 def timeline(commits: DataFrame, commit_files: DataFrame, folder: str, top_paths: int = 5) -> DataFrame:
     """Commits that touch the folder, with their most churned paths, newest first by (authored_at, sha)."""
-    ours = unique_commits(commits).select("entity_id", "project_id", "sha", "authored_at", "is_fix")
+    ours = unique_commits(commits).select("entity_id", "project_id", "sha", "subject", F.col("author_name").alias("author"), "authored_at", "is_fix")
     touched = path_touches(ours, commit_files)
     hit = touched.filter(in_directory(F.col("path"), folder)).select("entity_id").distinct()
     churn = touched.groupBy("entity_id", "path").agg(F.sum(F.coalesce("additions", F.lit(0)) + F.coalesce("deletions", F.lit(0))).alias("churn"))
     rank = Window.partitionBy("entity_id").orderBy(F.col("churn").desc(), "path")
     best = churn.join(hit, "entity_id", "left_semi").withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= top_paths)
     paths = best.groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "path"))), lambda x: x["path"]).alias("paths"))
-    return ours.join(paths, "entity_id").select("project_id", "sha", "authored_at", "is_fix", F.array_join("paths", ",").alias("paths"))
+    return ours.join(paths, "entity_id").select("project_id", "sha", "subject", "author", "authored_at", "is_fix", F.array_join("paths", ",").alias("paths"))
 
 
 def summary(commits: DataFrame) -> DataFrame:
@@ -71,6 +71,26 @@ def owners(commits: DataFrame, as_of: Column, limit: int = 10, half_life: float
     return top.withColumn("share", F.round(F.col("weight") / F.sum("weight").over(Window.partitionBy("project_id")), 4))
 
 
+def owners_within(commits: DataFrame, commit_files: DataFrame, as_of: Column, folder: str, limit: int = 10, half_life: float = HALF_LIFE_DAYS) -> DataFrame:
+    """Owners of a folder: commits that touch it, and of their churn only what lies in it. Columns: project_id, person, weight, commits, churn, rank."""
+    who = person_key(F.col("author_name"), F.col("author_email"))
+    ours = unique_commits(commits).filter("NOT coalesce(is_merge, false)").select("entity_id", "project_id", "authored_at", who.alias("person"))
+    inside = path_touches(ours.select("entity_id"), commit_files).filter(in_directory(F.col("path"), folder))
+    churn = inside.groupBy("entity_id").agg(F.sum(F.coalesce("additions", F.lit(0)) + F.coalesce("deletions", F.lit(0))).alias("churn"))
+    weighed = ours.join(churn, "entity_id").withColumn("w", decay(age_days(F.col("authored_at"), as_of), half_life)).groupBy("project_id", "person")
+    rows = weighed.agg(F.round(F.sum("w"), 4).alias("weight"), F.count("*").alias("commits"), F.sum("churn").alias("churn"))
+    rank = Window.partitionBy("project_id").orderBy(F.col("weight").desc(), "person")
+    return rows.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= limit)
+
+
+def latest_of_people(commits: DataFrame) -> DataFrame:
+    """(project_id, person, sha, subject): the most recent commit of each person."""
+    who = person_key(F.col("author_name"), F.col("author_email"))
+    order = Window.partitionBy("project_id", "person").orderBy(F.col("authored_at").desc_nulls_last(), "sha")
+    rows = unique_commits(commits).withColumn("person", who).withColumn("n", F.row_number().over(order))
+    return rows.filter("n = 1").select("project_id", "person", "sha", "subject")
+
+
 def people(commits: DataFrame) -> DataFrame:
     """(project_id, person, commits, first_at, last_at, emails): authorship only."""
     who = person_key(F.col("author_name"), F.col("author_email"))

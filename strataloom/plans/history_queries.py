@@ -42,7 +42,7 @@ def as_of(spark: SparkSession, d: str):
 
 @query(f"""WITH {U}, {T}, h AS (SELECT DISTINCT entity_id FROM t WHERE path = '{FOLDER}' OR starts_with(path, '{FOLDER}/')), c AS (SELECT entity_id, path, sum(coalesce(additions, 0) + coalesce(deletions, 0)) AS churn FROM t GROUP BY 1, 2),
 p AS (SELECT entity_id, path, row_number() OVER (PARTITION BY entity_id ORDER BY churn DESC, path) AS r FROM c WHERE entity_id IN (SELECT entity_id FROM h)), l AS (SELECT entity_id, string_agg(path, ',' ORDER BY r) AS paths FROM p WHERE r <= 5 GROUP BY 1)
-SELECT u.project_id, u.sha, u.authored_at, u.is_fix, l.paths FROM u JOIN l USING (entity_id)""")
+SELECT u.project_id, u.sha, u.subject, u.author_name AS author, u.authored_at, u.is_fix, l.paths FROM u JOIN l USING (entity_id)""")
 def history_for_target(spark, d):
     return history.timeline(table(spark, d, "commits"), table(spark, d, "commit_files"), FOLDER)
 
@@ -175,6 +175,27 @@ def bug_clusters_terms(spark, d):
     return derive.fix_clusters(table(spark, d, "commits"), table(spark, d, "commit_files"))
 
 
+@query(f"""WITH {U}, {T}, {_DOMINANT}, fx AS (SELECT project_id, entity_id, sha, authored_at, subject FROM u WHERE is_fix), e AS (SELECT project_id, entity_id, unnest({TERMS.format('subject')}) AS term FROM fx), q AS (SELECT project_id, term, count(*) AS df FROM e GROUP BY 1, 2),
+bt AS (SELECT entity_id, term FROM (SELECT e.entity_id, e.term, row_number() OVER (PARTITION BY e.project_id, e.entity_id ORDER BY q.df DESC, e.term) AS r FROM e JOIN q ON q.project_id = e.project_id AND q.term = e.term) WHERE r = 1),
+x AS (SELECT fx.project_id, coalesce(dm.module, '') AS module, bt.term, fx.sha, fx.subject, fx.authored_at FROM fx JOIN bt USING (entity_id) LEFT JOIN dm USING (entity_id)), n AS (SELECT *, row_number() OVER (PARTITION BY project_id, module, term ORDER BY authored_at DESC NULLS LAST, sha) AS n, count(*) OVER (PARTITION BY project_id, module, term) AS size FROM x)
+SELECT project_id, module, term, n, sha, subject FROM n WHERE size >= 2 AND n <= 5""")
+def bug_cluster_examples(spark, d):
+    """The five newest fixes of every cluster."""
+    return derive.cluster_examples(table(spark, d, "commits"), table(spark, d, "commit_files"))
+
+
+@query(f"""WITH {U}, {T}, x AS (SELECT entity_id, any_value(project_id) AS project_id, any_value(authored_at) AS authored_at, any_value({WHO}) AS person, sum(coalesce(additions, 0) + coalesce(deletions, 0)) AS churn FROM t WHERE NOT coalesce(is_merge, false) AND (path = '{FOLDER}' OR starts_with(path, '{FOLDER}/')) GROUP BY 1),
+w AS (SELECT project_id, person, round(sum({DECAY}), 4) AS weight, count(*) AS commits, CAST(sum(churn) AS BIGINT) AS churn FROM x GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY weight DESC, person) AS rank FROM w) WHERE rank <= 10""")
+def owners_of_folder(spark, d):
+    """Who owns a folder, by commits that touch it and the churn inside it."""
+    return history.owners_within(table(spark, d, "commits"), table(spark, d, "commit_files"), as_of(spark, d), FOLDER)
+
+
+@query(f"""WITH {U} SELECT project_id, person, sha, subject FROM (SELECT *, {WHO} AS person, row_number() OVER (PARTITION BY project_id, {WHO} ORDER BY authored_at DESC NULLS LAST, sha) AS n FROM u) WHERE n = 1""")
+def latest_per_person(spark, d):
+    return history.latest_of_people(table(spark, d, "commits"))
+
+
 @query()
 def bug_clusters_semantic(spark, d):
     """Leader clusters over the labelled vectors; a fold, so there is no SQL for it."""
