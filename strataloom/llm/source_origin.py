@@ -90,36 +90,59 @@ _MARK = re.compile(r"^(?:<\?php)?\s*(?:/\*+!?|\*+|//+!?|#+!?|--|<!--|;+|%+)\s*")
 REGISTERED = r"(?:[._](?:pb2?|gen|generated|designer)(?:_grpc)?|\.g)\.\w+$|(?:^|/)__generated__/|(?:^|/)generated-(?:test-)?sources/|(?:^|/)cache/compiled/"
 
 
+class _Kinds(dict):
+    """Token that is no string or comment to its mask."""
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > 1_000_000:
+            self.clear()
+        c = token[0]
+        self[token] = kind = "N" if c.isdigit() else (token if token in KEYWORDS else "I") if c.isalpha() or c in "_$" else token
+        return kind
+
+
+class _Hashes(dict):
+    """Token to its hash."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[token] = found = xxhash.xxh64_intdigest(token)
+        return found
+
+
+_kinds, _hash_of = _Kinds(), _Hashes()
+
+
 def lex(text: str) -> tuple[list[str], list[str], int, int]:
     """(masked tokens, tokens, characters in strings and numbers, characters in comments)."""
     masked, raw, literal, comment = [], [], 0, 0
+    kinds = _kinds
     for t in _TOKEN.findall(text):
         c = t[0]
-        if c == "#" or t[:2] in ("//", "/*"):
-            comment += len(t)
-            continue
-        if t[:3] in ('"""', "'''") and len(t) > 5:
-            comment += len(t)
-            continue
-        if c.isdigit():
-            literal += len(t)
-            if masked and masked[-1] in "+-" and (len(masked) == 1 or masked[-2] in "([{,=:"):
-                masked[-1], raw[-1] = "N", raw[-1] + t
+        if c in "#/\"'`":
+            if c == "#" or t[:2] in ("//", "/*") or (len(t) > 5 and t[:3] in ('"""', "'''")):
+                comment += len(t)
                 continue
-            masked.append("N")
-        elif c in "\"'`" and len(t) > 1:
-            masked.append("S")
-            literal += len(t)
-        elif c.isalpha() or c in "_$":
-            masked.append(t if t in KEYWORDS else "I")
+            if len(t) > 1 and c != "/":
+                masked.append("S")
+                literal += len(t)
+            else:
+                masked.append(t)
         else:
-            masked.append(t)
+            kind = kinds[t]
+            if kind == "N":
+                literal += len(t)
+                if masked and masked[-1] in "+-" and (len(masked) == 1 or masked[-2] in "([{,=:"):
+                    masked[-1], raw[-1] = "N", raw[-1] + t
+                    continue
+            masked.append(kind)
         raw.append(t)
     return masked, raw, literal, comment
 
 
 def _hashes(tokens: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(t) for t in tokens], dtype=np.uint64)
+    return np.fromiter(map(_hash_of.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
 
 
 def _runs(h: np.ndarray, width: int) -> np.ndarray:
@@ -166,26 +189,41 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
+class _Names(dict):
+    """Mask to whether it stands for a name or a word."""
+
+    def __missing__(self, masked: str) -> bool:
+        if len(self) > 100_000:
+            self.clear()
+        self[masked] = found = masked not in ("N", "S") and (masked[0].isalpha() or masked[0] in "_$")
+        return found
+
+
+_name_of = _Names()
+
+
+def _names_before(masked: list[str]) -> np.ndarray:
+    """The number of names before each place."""
+    out = np.zeros(len(masked) + 1, dtype=np.int64)
+    np.cumsum(np.fromiter(map(_name_of.__getitem__, masked), dtype=bool, count=len(masked)), out=out[1:])
+    return out
+
+
 def repeated_share(masked: list[str]) -> float:
     """Share of the file's windows of ``WINDOW`` masked tokens, names among them, that come again in the file."""
     if len(masked) < WINDOW + SHINGLE:
         return 0.0
-    windows = _runs(_hashes(masked), WINDOW)
-    names = np.concatenate([[0], np.cumsum([_is_name(m) for m in masked])])
+    names = _names_before(masked)
     named = names[WINDOW:] > names[:-WINDOW]
-    _, where, times = np.unique(windows, return_inverse=True, return_counts=True)
+    _, where, times = np.unique(_runs(_hashes(masked), WINDOW), return_inverse=True, return_counts=True)
     return float(((times[where] > 1) & named).mean())
 
 
-def _is_name(masked: str) -> bool:
-    return masked not in ("N", "S") and (masked[0].isalpha() or masked[0] in "_$")
-
-
 def literal_only(masked: list[str], literal: int, code: int) -> bool:
     """Whether the text consists of literals: hardly a shingle holds a name, or hardly a character stands outside literals."""
     if not masked or not literal:
         return False
-    names = np.concatenate([[0], np.cumsum([_is_name(m) for m in masked])])
+    names = _names_before(masked)
     if len(masked) >= TINY and float((names[SHINGLE:] == names[:-SHINGLE]).mean()) >= LITERAL_SHINGLES:
         return True
     return literal >= LITERAL_CHARS * code
@@ -237,20 +275,20 @@ def own_traits(text: str, path: str = "") -> tuple[list[str], list[str], list[st
 
 
 def _features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The traits of each text; the other columns go along."""
-    for part in parts:
-        out = []
-        for text in part["content"]:
-            reasons, masked, raw = own_traits(text)
-            shape = names = np.empty(0, np.uint64)
-            bands: list[int] = []
-            name_bands: list[int] = []
-            if len(masked) >= TINY and "data" not in reasons:
-                shape, names = shingles(masked), shingles(raw)
-                bands, name_bands = band_keys(shape), band_keys(names, NAME_BANDS, NAME_ROWS)
-            out.append((sorted(set(reasons)), bands, name_bands, shape.astype(np.int64), names.astype(np.int64)))
-        traits = pd.DataFrame(out, columns=["reasons", "bands", "name_bands", "shape", "names"], index=part.index)
-        yield pd.concat([part.drop(columns="content"), traits], axis=1)
+    """The traits of each text, a few hundred texts at a time; the other columns go along."""
+    for whole in parts:
+        for begin in range(0, len(whole), 300):
+            part = whole.iloc[begin : begin + 300]
+            out = []
+            for text in part["content"]:
+                reasons, masked, raw = own_traits(text)
+                shape = names = bands = name_bands = np.empty(0, np.int64)
+                if len(masked) >= TINY and "data" not in reasons:
+                    shape, names = shingles(masked), shingles(raw)
+                    bands, name_bands = band_keys(shape), band_keys(names, NAME_BANDS, NAME_ROWS)
+                out.append((sorted(set(reasons)), np.asarray(bands), np.asarray(name_bands), shape.astype(np.int64), names.astype(np.int64)))
+            traits = pd.DataFrame(out, columns=["reasons", "bands", "name_bands", "shape", "names"], index=part.index)
+            yield pd.concat([part.drop(columns="content"), traits], axis=1)
 
 
 def _common(a: str, b: str) -> str:
