@@ -4,10 +4,14 @@ Every text is lexed once. Identifiers, numbers (with their sign) and strings are
 masked, comments left out, and the tokens give five-token shingles, numbered by
 occurrence so that a text of many common statements is not alike to every other.
 The MinHash signature of the masked shingles is banded inside each project, that of
-the unmasked ones over all projects. Pairs that share a band are verified on the
-stored shingles: first every file with the smallest file of its band (a star), then
-the pairs that the stars leave open. Pairs whose sizes alone rule likeness out are
-passed over; a big band is split by salt.
+the unmasked ones over all projects. Pairs that share a band are held against each
+other: first every file with the smallest file of its band (a star), then the pairs
+that the stars leave open. A pair must be alike when masked, whatever band it shares, so
+one bit of each of 128 minima of the masked signature goes with every band, and pairs whose
+bits rule that out are passed over where they meet; so are then those whose signatures (a byte
+of each of the 224 minima) rule it out. Only the texts of the pairs that are left are read
+again, and the pairs verified on all their shingles. So what is kept on disk is the bands and
+the signature of a text, not its shingles. A big band is split by salt.
 
 What the clusters say:
 
@@ -45,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.operators.components import connected_components
-from strataloom.session import cut
+from strataloom.session import cut, release
 
 SHINGLE, MASKED, NAMES = 5, 0.8, 0.5
 #: A pair of similarity 0.8 shares no masked band in 1 of 1,900 cases, one of 0.5 no unmasked band in 1 of 200.
@@ -57,6 +61,10 @@ TINY = 20
 WINDOW, REPEATED = 20, 0.5
 #: Share of shingles without a name, or of characters inside literals, from which a text is nothing but literals.
 LITERAL_SHINGLES, LITERAL_CHARS = 0.85, 0.9
+#: Bits of the masked signature, and the fewest that are equal in a pair to verify: a pair of similarity 0.8 has fewer in 1 of 3,500,000 cases.
+BITS, EQUAL_BITS = 128, 96
+#: The same for the bytes of the signature: fewer in 1 of 2,800,000 cases.
+EQUAL_BYTES = 148
 #: Rows of a band that one task compares with the whole band.
 SALT_ROWS = 1000
 #: Characters of literals from which even a text of few tokens is no stub.
@@ -170,13 +178,18 @@ def shingles(tokens: list[str]) -> np.ndarray:
 _SEEDS = np.array([xxhash.xxh64_intdigest(str(i)) | 1 for i in range(max(BANDS * ROWS, NAME_BANDS * NAME_ROWS))], dtype=np.uint64)
 
 
-def band_keys(found: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> list[int]:
-    """One key per band of the MinHash signature."""
+def _minima(found: np.ndarray, count: int) -> np.ndarray:
+    """The MinHash signature."""
     with np.errstate(over="ignore"):
-        mixed = found[None, :] * _SEEDS[: bands * rows, None]
+        mixed = found[None, :] * _SEEDS[:count, None]
         mixed ^= mixed >> np.uint64(32)
         mixed *= np.uint64(0xD6E8FEB86659FD93)
-        low = mixed.min(axis=1).reshape(bands, rows)
+    return mixed.min(axis=1)
+
+
+def _keys(low: np.ndarray, bands: int, rows: int) -> list[int]:
+    low = low.reshape(bands, rows)
+    with np.errstate(over="ignore"):
         key = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for k in range(rows):
             key = (key ^ low[:, k]) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -184,6 +197,24 @@ def band_keys(found: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> list[i
     return key.astype(np.int64).tolist()
 
 
+def band_keys(found: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> list[int]:
+    """One key per band of the MinHash signature."""
+    return _keys(_minima(found, bands * rows), bands, rows)
+
+
+def signature_bits(low: np.ndarray) -> list[int]:
+    """One bit of each of the first ``BITS`` minima, 64 to a number."""
+    with np.errstate(over="ignore"):
+        bit = (low[:BITS] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
+    return np.packbits(bit.astype(np.uint8)).view(np.int64).tolist()
+
+
+def signature_bytes(low: np.ndarray) -> np.ndarray:
+    """One byte of each minimum."""
+    with np.errstate(over="ignore"):
+        return ((low * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(56)).astype(np.uint8).view(np.int8)
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
@@ -282,13 +313,23 @@ def _features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out = []
             for text in part["content"]:
                 reasons, masked, raw = own_traits(text)
-                shape = names = bands = name_bands = np.empty(0, np.int64)
+                bits, low, bands, name_bands = (None, None), np.empty(0, np.uint64), [], []
                 if len(masked) >= TINY and "data" not in reasons:
-                    shape, names = shingles(masked), shingles(raw)
-                    bands, name_bands = band_keys(shape), band_keys(names, NAME_BANDS, NAME_ROWS)
-                out.append((sorted(set(reasons)), np.asarray(bands), np.asarray(name_bands), shape.astype(np.int64), names.astype(np.int64)))
-            traits = pd.DataFrame(out, columns=["reasons", "bands", "name_bands", "shape", "names"], index=part.index)
-            yield pd.concat([part.drop(columns="content"), traits], axis=1)
+                    low = _minima(shingles(masked), BANDS * ROWS)
+                    bits, bands, name_bands = signature_bits(low), _keys(low, BANDS, ROWS), band_keys(shingles(raw), NAME_BANDS, NAME_ROWS)
+                out.append((sorted(set(reasons)), *bits, signature_bytes(low), np.asarray(bands, np.int64), np.asarray(name_bands, np.int64)))
+            traits = pd.DataFrame(out, columns=["reasons", "x", "y", "low", "bands", "name_bands"], index=part.index)
+            yield pd.concat([part.drop(columns="content"), traits.astype({"x": "Int64", "y": "Int64"})], axis=1)
+
+
+def _sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The shingles of each text, 32 bits of each."""
+    for part in parts:
+        out = []
+        for text in part["content"]:
+            masked, raw, _, _ = lex(text)
+            out.append([np.unique((shingles(tokens) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for tokens in (masked, raw)])
+        yield pd.DataFrame({"id": part["id"].to_numpy(), "shape": [a for a, _ in out], "names": [b for _, b in out]})
 
 
 def _common(a: str, b: str) -> str:
@@ -297,12 +338,19 @@ def _common(a: str, b: str) -> str:
     return f"{both} / (size({a}) + size({b}) - {both})"
 
 
-def _judged(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, head, alike) of the pairs: 1 alike when masked, 2 in names too; unlike pairs are 0."""
-    mine = classes.select("id", "shape", "names")
-    other = classes.select(F.col("id").alias("head"), F.col("shape").alias("shape2"), F.col("names").alias("names2"))
+def _judged(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, head, alike) of the pairs that are alike: 1 when masked, 2 in names too. The shingles are made anew, of the texts in pairs only."""
+    signed = pairs.join(classes.select("id", "low"), "id").join(classes.select(F.col("id").alias("head"), F.col("low").alias("low2")), "head")
+    pairs = cut(signed.filter(f"size(filter(zip_with(low, low2, (p, q) -> p = q), e -> e)) >= {EQUAL_BYTES}").select("id", "head"), tidy=True)
+    asked = pairs.select(F.explode(F.array("id", "head")).alias("id")).distinct()
+    mine = cut(texts.join(asked, "id", "left_semi").mapInPandas(_sets, "id bigint, shape array<int>, names array<int>"), tidy=True)
+    other = mine.select(F.col("id").alias("head"), F.col("shape").alias("shape2"), F.col("names").alias("names2"))
     alike = f"CASE WHEN {_common('shape', 'shape2')} < {MASKED} THEN 0 WHEN {_common('names', 'names2')} < {NAMES} THEN 1 ELSE 2 END"
-    return cut(pairs.join(mine, "id").join(other, "head").select("id", "head", F.expr(alike).alias("alike")))
+    told = pairs.join(mine, "id").join(other, "head").select("id", "head", F.expr(alike).alias("alike")).filter("alike > 0")
+    out = cut(told.groupBy("id", "head").agg(F.max("alike").alias("alike")), tidy=True)  # a file that is given twice is read twice
+    release(mine)
+    release(pairs)
+    return out
 
 
 def _copies(links: DataFrame) -> DataFrame:
@@ -316,36 +364,46 @@ def _relatives(links: DataFrame, place: DataFrame) -> DataFrame:
     return family.select(F.explode(F.array("id", "head")).alias("id")).distinct()
 
 
-def alike_files(classes: DataFrame) -> DataFrame:
+def _banded(classes: DataFrame, *more: str) -> DataFrame:
+    """(key, id, x, y and more) of every band: a masked one within its project (odd keys), an unmasked one over all (even keys)."""
+    keep = ["id", "x", "y", *more]
+    shapes = classes.filter("lo = hi").select(*keep, "lo", F.explode("bands").alias("band")).select(F.expr("xxhash64(lo, band) | 1L").alias("key"), *keep)
+    named = classes.select(*keep, F.explode("name_bands").alias("band")).select(F.expr("band & -2L").alias("key"), *keep)
+    # Said here, since filters that only one reader of a shuffle infers would make another shuffle of it.
+    return shapes.unionByName(named).filter(" AND ".join(f"{c} IS NOT NULL" for c in ("key", "id", "x", "y", *more)))
+
+
+#: Whether masked likeness is left open by the bits of two texts.
+_NEAR = f"bit_count(x ^ x2) + bit_count(y ^ y2) <= {BITS - EQUAL_BITS}"
+
+
+def alike_files(classes: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, head, alike): links between different texts, such that every family member has one and every copy is joined to its copies.
 
-    ``classes``: one row per text (id, lo and hi project, bands, name_bands, shape, names).
+    ``classes``: one row per text (id, lo and hi project, bands, name_bands, x and y: bits, low: bytes); ``texts``: id and content of at least these.
     """
     place = classes.filter("lo = hi").select("id", F.col("lo").alias("project"))
-    sized = classes.select("id", F.col("lo").alias("project"), F.expr("lo = hi").alias("single"), F.size("shape").alias("n"), F.size("names").alias("m"), "bands", "name_bands")
-    # One key per group: a masked band within its project, an unmasked band over all of them.
-    shapes = sized.filter("single").select("id", "n", "m", F.lit(True).alias("masked"), F.explode("bands").alias("band"), "project")
-    shapes = shapes.select("id", "n", "m", "masked", F.xxhash64("project", "band").alias("key"))
-    named = sized.select("id", "n", "m", F.lit(False).alias("masked"), F.explode("name_bands").alias("key"))
-    bands = shapes.unionByName(named)
-    heads = bands.groupBy("key").agg(F.min_by(F.struct("id", "n", "m"), "id").alias("h"), F.count("*").alias("members")).filter("members > 1")
-    heads = heads.select("key", F.col("h.id").alias("head"), F.col("h.n").alias("n2"), F.col("h.m").alias("m2"), F.ceil(F.col("members") / SALT_ROWS).cast("int").alias("salts"))
-    bands = cut(bands.join(heads, "key"))
-    # No two sets of these sizes can be as similar as is asked.
-    fits = F.expr(f"least(n, n2) >= {MASKED} * greatest(n, n2) AND (masked OR least(m, m2) >= {NAMES} * greatest(m, m2))")
-    stars = _judged(bands.filter("id <> head").filter(fits).select("id", "head").distinct(), classes)
+    bands = _banded(classes).repartition("key")  # a key's rows are shuffled once; both sides of the join read them there
+    heads = bands.groupBy("key").agg(F.min(F.struct("id", "x", "y")).alias("h"), F.count("*").alias("members")).filter("members > 1")
+    heads = heads.select("key", F.col("h.id").alias("head"), F.col("h.x").alias("x2"), F.col("h.y").alias("y2"))
+    stars = _judged(bands.join(heads, "key").filter("id <> head").filter(_NEAR).select("id", "head").distinct(), classes, texts)
 
     copies = _copies(stars)
-    state = classes.select("id").join(copies, "id", "left").join(_relatives(stars, place).withColumn("placed", F.lit(True)), "id", "left")
-    state = cut(state.select("id", F.coalesce("component", "id").alias("component"), F.coalesce("placed", F.lit(False)).alias("placed")))
-    told = cut(bands.drop("head", "n2", "m2").join(state, "id"))
-    right = [F.col(c).alias(d) for c, d in (("id", "head"), ("key", "key2"), ("n", "n2"), ("m", "m2"), ("component", "c2"), ("placed", "placed2"))]
-    left = told.withColumn("salt", F.expr("pmod(hash(id), salts)"))
-    second = told.select(*right, F.explode(F.expr("sequence(0, salts - 1)")).alias("s2"))
+    state = cut(classes.select("id").join(copies, "id").join(_relatives(stars, place).withColumn("placed", F.lit(True)), "id", "full").select("id", "component", F.coalesce("placed", F.lit(False)).alias("placed")), tidy=True)
+    told = classes.join(state, "id", "left").withColumn("component", F.coalesce("component", "id")).withColumn("placed", F.coalesce("placed", F.lit(False)))
+    told = _banded(told, "component", "placed")
+    hot = cut(told.groupBy("key").agg(F.count("*").alias("members")).filter(f"members > {SALT_ROWS}").select("key", F.ceil(F.col("members") / SALT_ROWS).cast("int").alias("salts")), tidy=True)
+    right = [F.col("key").alias("key2"), *[F.col(c).alias(d) for c, d in (("id", "head"), ("x", "x2"), ("y", "y2"), ("component", "c2"), ("placed", "placed2"))]]
     # A pair is open if one of the two has no family yet, or if the two are not yet joined by copies.
-    still = F.expr("CASE WHEN masked THEN NOT (placed AND placed2) ELSE component <> c2 END")
-    rest = left.join(second, F.expr("key = key2 AND salt = s2 AND head < id")).filter(fits & still).select("id", "head").distinct()
-    return stars.filter("alike > 0").unionByName(_judged(rest.join(stars, ["id", "head"], "left_anti"), classes).filter("alike > 0"))
+    still = "head < id AND CASE WHEN key & 1 = 1 THEN NOT (placed AND placed2) ELSE component <> c2 END"
+    pair = f"{still} AND {_NEAR}"
+    cold = told.join(hot, "key", "left_anti").repartition("key")
+    cold = cut(cold.join(cold.select(*right), F.expr(f"key = key2 AND {pair}")).select("id", "head").distinct(), tidy=True)
+    busy = told.join(hot, "key")
+    halves = busy.withColumn("salt", F.expr("pmod(hash(id), salts)")), busy.select(*right, F.explode(F.expr("sequence(0, salts - 1)")).alias("s2"))
+    busy = cut(halves[0].join(halves[1], F.expr(f"key = key2 AND salt = s2 AND {pair}")).select("id", "head").distinct(), tidy=True)
+    rest = _judged(cold.unionByName(busy).distinct().join(stars, ["id", "head"], "left_anti"), classes, texts)
+    return stars.unionByName(rest)
 
 
 def file_origins(files: DataFrame) -> DataFrame:
@@ -357,10 +415,10 @@ def file_origins(files: DataFrame) -> DataFrame:
     rows = files.filter("id IS NOT NULL AND content IS NOT NULL").select(F.col("id").cast("bigint").alias("id"), F.coalesce("project_id", -F.col("id")).cast("int").alias("project_id"), F.translate(F.coalesce("path", F.lit("")), "\\", "/").alias("path"), "content", F.sha2("content", 256).alias("sha"))
     # Equal texts are read once; what is left of the files are small rows.
     texts = rows.groupBy("sha").agg(F.min("id").alias("id"), F.min("project_id").alias("lo"), F.max("project_id").alias("hi"), F.count_distinct("id").alias("files"), F.first("content").alias("content"))
-    schema = "sha string, id bigint, lo int, hi int, files bigint, reasons array<string>, bands array<bigint>, name_bands array<bigint>, shape array<bigint>, names array<bigint>"
-    traits = cut(texts.mapInPandas(_features, schema))
-    classes = traits.filter(F.size("shape") > 0)
-    links = cut(alike_files(classes))
+    schema = "sha string, id bigint, lo int, hi int, files bigint, reasons array<string>, x bigint, y bigint, low array<tinyint>, bands array<bigint>, name_bands array<bigint>"
+    traits = cut(texts.mapInPandas(_features, schema), tidy=True)
+    classes = traits.filter(F.size("bands") > 0)
+    links = alike_files(classes, rows.select("id", "content"))
 
     whole = classes.select("id", "sha", "lo", "hi").join(_copies(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
     wide = whole.groupBy("component").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).filter("a < b").select("component")

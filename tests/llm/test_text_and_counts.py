@@ -392,6 +392,30 @@ def test_minhash_keeps_similar_sets_together():
     assert hit == 60
 
 
+def test_signature_bits_pass_over_no_alike_pair():
+    import numpy as np
+
+    rnd = random.Random(2)
+    low = lambda s: source_origin._minima(np.array(sorted(s), dtype=np.uint64), source_origin.BANDS * source_origin.ROWS)
+    bits = lambda s: source_origin.signature_bits(low(s))
+    equal = lambda a, b: source_origin.BITS - sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a, b))
+    for _ in range(60):
+        a = {rnd.getrandbits(60) for _ in range(180)}
+        alike, unlike = set(sorted(a)[:160]) | {rnd.getrandbits(60) for _ in range(20)}, {rnd.getrandbits(60) for _ in range(180)}
+        assert equal(bits(a), bits(alike)) >= source_origin.EQUAL_BITS > equal(bits(a), bits(unlike))
+        one, other, far = (source_origin.signature_bytes(low(s)) for s in (a, alike, unlike))
+        assert (one == other).sum() >= source_origin.EQUAL_BYTES > (one == far).sum()
+
+
+def test_source_origin_keeps_less_on_disk_than_it_reads(spark, tmp_path, monkeypatch):
+    rnd = random.Random(5)
+    texts = ["\n".join(f"{rnd.choice(['if', 'for', 'while'])} (w{rnd.randrange(10**6)} {rnd.choice('+-*/<>')} w{rnd.randrange(10**6)}) {{ w{rnd.randrange(10**6)}(); }}" for _ in range(400)) for _ in range(60)]
+    df = spark.createDataFrame([(i, 1 + i % 4, f"f{i}.js", t) for i, t in enumerate(texts)], "id int, project_id int, path string, content string")
+    monkeypatch.setattr("strataloom.session._cut_folder", lambda _: f"file://{tmp_path}")
+    source_origin.file_origins(df).count()
+    assert 0 < sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < sum(map(len, texts)) / 2
+
+
 def test_queries_are_whole_and_registered(spark, small_data):
     made, sql = queries.queries(), queries.oracle_sql()
     assert {f"p{n}_found" for n in (1, 2, 4, 5, 6, 7, 9, 10)} | {"p8_ids"} <= set(made) and set(sql) <= set(made)
