@@ -281,6 +281,12 @@ def test_net_flow_against_brute_force(spark):
     assert outranking.net_flow_ranking(df.limit(0), ["q"], "i", {"s": 1.0}).count() == 0
 
 
+def test_found_symbols_come_in_the_order_of_the_ranking(spark, small_data):
+    flows = {(r.query_id, r.symbol_id): -round(r.net_flow, 9) for r in queries._ranked(spark, small_data, True).collect()}
+    got = [tuple(r) for r in queries.p7_found(spark, small_data).collect()]
+    assert len(got) > 1 and got == sorted(got, key=lambda k: (k[0], flows[k], k[1])) != sorted(got)
+
+
 def test_query_scores(spark):
     v = [1.0] + [0.0] * 63
     q = spark.createDataFrame([(1, 1, "flint  Yoke", v, 0), (2, 1, None, None, 0), (3, 9, "x", v, 0)], "query_id bigint, project_id int, query_text string, embedding array<float>, symbol_id int")
