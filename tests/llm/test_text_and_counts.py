@@ -217,6 +217,22 @@ def test_lattice_readings(spark):
     assert ask("гр\ufffdф", "caf\ufffd\ufffd", "\ufffd", "\ufffdр\ufffdфа", "ж\ufffdж") == {("гр\ufffdф", "граф"), ("caf\ufffd\ufffd", "café"), ("\ufffdр\ufffdфа", "графа")}
 
 
+def test_found_by_lattices(spark):
+    dropped = wrong("История", "utf-8", "cp1251", "ignore")
+    docs = [(i, t) for i, t in enumerate(["see § 4 later", "История изменений"] * 6)] + [(1000, dropped), (1001, "see ┬\ufffd 4 later"), (1002, "prints ┬\ufffd instead of a mark")]
+    got = {r.doc_id for r in mojibake.garbled_documents(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == {1000, 1001}
+
+
+def test_found_by_the_path_through_channels(spark):
+    short, other = wrong("тут", "cp1251", "cp1252"), wrong("там", "cp1251", "koi8_r")
+    same, long = wrong("тут там", "cp1251", "cp1252"), wrong("вызовов читает", "koi8_r", "cp1251")
+    docs = [(i, t) for i, t in enumerate(["тут там"] * 10 + ["вызовов читает"] * 3)]
+    docs += [(1000, f"{short} {other}"), (1001, same), (1002, long), (1003, long), (1004, f"{short} x")]
+    got = {r.doc_id for r in mojibake.garbled_documents(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == {1001, 1002, 1003}
+
+
 def test_viterbi_prefers_one_channel():
     lattice = [[("a", "x1", -1.0), ("b", "y1", -1.1)], [("a", "x2", -3.0), ("b", "y2", -1.0)], [("a", "x3", -1.0), ("b", "y3", -1.2)]]
     assert mojibake.viterbi(lattice) == ["y1", "y2", "y3"] and mojibake.viterbi([]) == []
